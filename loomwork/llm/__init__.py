@@ -6,6 +6,7 @@
 from importlib import import_module
 
 MODULES = (
+    "line_chunks",
     "mixing",
 )
 

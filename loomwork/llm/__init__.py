@@ -7,6 +7,7 @@ from importlib import import_module
 
 MODULES = (
     "line_chunks",
+    "lsh_forest",
     "mixing",
 )
 

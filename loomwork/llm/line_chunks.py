@@ -11,11 +11,21 @@ from pyspark.sql import functions as F
 
 from . import _shared as S
 
-#: Zero-width places after which a line ends.
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
+#: What ends a line, the end included.
+ENDS = ("\n", ". ", "! ", "? ")
+MARK = "\x01"
 BLANK = " \t\r\n"
 
 
+def _lines(text):
+    """Lines of a text with their ends; joined they are the text."""
+    marked = text
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    # a text that holds the mark itself is cut by the slower pattern
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, MARK))
+
+
 def _hold(df, **columns):
     """Adds columns behind a generator, which the optimiser doesn't inline into lambdas element by element."""
     names = list(columns)
@@ -24,10 +34,9 @@ def _hold(df, **columns):
 
 
 def _chunks(df, min_lines, min_chars):
-    """Adds ``body`` (lines without end blanks) and ``chunks``: structs k, s, e, ch of the chunks large enough, and ``starts``."""
-    pieces = F.split("text", LINE_END)
-    body = F.transform(pieces, lambda x: F.rtrim(x, F.lit(BLANK)))
-    x = _hold(df.where("text is not null and text <> ''"), body=body)
+    """For texts not null, adds ``body`` (lines without end blanks) and ``chunks``: structs k, s, e, ch of the chunks large enough, and ``starts``."""
+    body = F.transform(_lines(F.col("text")), lambda x: F.rtrim(x, F.lit(BLANK)))
+    x = _hold(df, body=body)
     x = _hold(x, h=F.transform("body", lambda b: F.xxhash64(b)), at=F.sequence(F.lit(0), F.size("body") - 1))
     x = _hold(x, roll=F.transform("at", lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1))))
     lower = lambda i: (F.get("roll", i) < F.get("roll", i - 1)) & F.coalesce(F.get("roll", i) <= F.get("roll", i + 1), F.lit(True))
@@ -55,7 +64,9 @@ def drop_repeated_chunks(docs, min_lines=2, min_chars=60):
     docs = docs.drop("n_lines", "n_removed")
     d = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
     lean = d.select("doc_id", "text", "_rid")
-    rows = _chunks(lean, min_lines, min_chars).select("_rid", F.explode("chunks").alias("c")).select("_rid", F.col("c.k").alias("k"), F.col("c.ch").alias("ch"))
+    S.ensure_checkpoint_dir(docs.sparkSession)
+    rows = _chunks(lean.where("text <> ''"), min_lines, min_chars).select("_rid", F.explode("chunks").alias("c"))
+    rows = rows.select("_rid", F.col("c.k").alias("k"), F.col("c.ch").alias("ch")).checkpoint()
     repeated = rows.groupBy("ch").count().where("count > 1").select("ch")
     marked = rows.join(repeated, "ch").groupBy("_rid").agg(F.collect_set("k").alias("ks"))
 
@@ -86,7 +97,7 @@ def drop_repeated_chunks(docs, min_lines=2, min_chars=60):
     cuts = cuts.groupBy("_rid").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("_cut"))
     x = d.join(cuts, "_rid", "left")
     some = (F.col("text").isNotNull()) & (F.col("text") != "")
-    x = _hold(x, _pieces=F.when(some, F.split("text", LINE_END)).otherwise(none))
+    x = _hold(x, _pieces=F.when(some, _lines(F.col("text"))).otherwise(none))
     left = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), F.col("_cut"))
     kept = F.array_join(F.transform(left, lambda i: F.get("_pieces", i)), "")
     x = x.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept))

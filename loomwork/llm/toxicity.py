@@ -104,25 +104,40 @@ def association(n, k, rows, positives):
     return part(k, n, p) + part(n - k, n, 1 - p) + part(positives - k, rows - n, p) + part(rows - n - positives + k, rows - n, 1 - p)
 
 
-def fit(docs, grades, n_grades, max_rows=8_000, min_association=24.0, max_features=20_000, **kw):
-    """Model from ``docs(doc_id, text)`` and ``grades(doc_id, grade)``.
+def severity_grades(labels, rows, tiers=2):
+    """Grades for 0/1 labels: 0 where not toxic, else 1 to ``tiers`` by how much evidence (features) a document shows.
+
+    The cuts are quantiles of the evidence among toxic documents that show any; one that shows none has grade 1.
+    """
+    evidence = np.array([len(r) for r in rows])
+    toxic = np.asarray(labels) > 0
+    shown = evidence[toxic & (evidence > 0)]
+    if not len(shown):
+        return toxic.astype(np.int64)
+    cuts = np.quantile(shown, np.arange(1, tiers) / tiers, method="higher")
+    return np.where(toxic, 1 + np.searchsorted(cuts, evidence, side="left"), 0)
+
+
+def fit(docs, labels, tiers=2, max_rows=8_000, min_association=24.0, max_features=20_000, **kw):
+    """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; severity has grades 0 to ``tiers``.
 
     At most ``max_rows`` labelled documents are used, those of least hash of the id, with their whole texts.
-    Features are the words and their beginnings whose presence goes with grades above 0 by a likelihood
+    Features are the words and their beginnings whose presence goes with toxic labels by a likelihood
     ratio of at least ``min_association`` (24: about one in a million by chance), counted on the executors;
-    of these at most ``max_features``, the strongest. Rows with null id, text or grade, or a grade out of range, don't count.
+    of these at most ``max_features``, the strongest. Rows with null id, text or label don't count; a document
+    labelled more than once is toxic if one of its labels says so. With labels of one kind only, nothing is toxic.
     """
     spark = docs.sparkSession
     S.ensure_checkpoint_dir(spark)
-    labelled = grades.where(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull())
-    chosen = labelled.groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = labelled.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = texts.select("grade", "text").mapInPandas(_features, "grade int, features array<binary>").checkpoint()
     total, positives = rows.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
     if not 0 < positives < total:
-        return fit_rows([], [], n_grades)
+        return fit_rows([], [], tiers + 1)
     counted = rows.select(F.explode("features").alias("f"), (F.col("grade") > 0).cast("int").alias("k")).groupBy("f").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
-    counted = counted.where("n > 1").withColumn("g", association(F.col("n"), F.col("k"), F.lit(total), F.lit(positives)))
+    counted = counted.where((F.col("n") > 1) & (F.col("k") * total > F.col("n") * positives)).withColumn("g", association(F.col("n"), F.col("k"), F.lit(total), F.lit(positives)))
     strong = {bytes(r["f"]) for r in counted.where(F.col("g") >= min_association).orderBy(F.desc("g"), "f").limit(max_features).select("f").toLocalIterator()}
     shared = spark.sparkContext.broadcast(strong)
 
@@ -132,7 +147,8 @@ def fit(docs, grades, n_grades, max_rows=8_000, min_association=24.0, max_featur
 
     few = rows.mapInPandas(only, "grade int, features array<binary>").toPandas()
     data = sorted((int(g), sorted(map(bytes, r))) for g, r in zip(few["grade"], few["features"], strict=True))
-    return fit_rows([r for _, r in data], [g for g, _ in data], n_grades, **kw)
+    rows = [r for _, r in data]
+    return fit_rows(rows, severity_grades([g for g, _ in data], rows, tiers), tiers + 1, **kw)
 
 
 def score(docs, model, reject_at=0.5):
@@ -151,14 +167,9 @@ def score(docs, model, reject_at=0.5):
     return docs.select("doc_id", "text").mapInPandas(scored, "doc_id long, severity double, p_toxic double, grade int, rejected boolean")
 
 
-def severity_grades(labels):
-    """Grades of the labels table: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in a poor one."""
-    return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).alias("grade"))
-
-
 def reject_toxic(docs, labels, reject_at=0.5, **kw):
     """``docs`` without the rejected documents; all columns. Null texts have no words and stay."""
-    model = fit(docs, severity_grades(labels), 3, **kw)
+    model = fit(docs, labels, **kw)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -170,7 +181,7 @@ def reject_toxic(docs, labels, reject_at=0.5, **kw):
 
 def op2_toxicity(spark, sf_dir):
     docs, labels = S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "labels")
-    return score(docs, fit(docs, severity_grades(labels), 3))
+    return score(docs, fit(docs, labels))
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}

@@ -9,6 +9,8 @@ MODULES = (
     "line_chunks",
     "lsh_forest",
     "mixing",
+    "language_id",
+    "token_counts",
     "toxicity",
     "packing",
 )

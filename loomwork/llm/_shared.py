@@ -1,9 +1,9 @@
 """Helpers shared by the operators of this subpackage."""
 
-import os
 import tempfile
 import zlib
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -41,46 +41,53 @@ def partitions(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges):
+#: Up to so many edges one task finishes a graph by union-find.
+FEW_EDGES = 50_000
+
+
+def _union_find(pdf):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    return pd.DataFrame({"n": nodes, "to": [root(x) for x in nodes]})
+
+
+def components(edges, few=FEW_EDGES):
     """Connected components of ``edges(a, b)`` (long ids): returns ``(id, component)``, component the smallest id.
 
     Random-priority contraction: every node points at the neighbour (itself included) of least
-    pseudo-random rank, edges are renamed by that pointer and the rest repeats until no edge is left.
-    A round removes a constant share of the nodes in expectation, whatever the shape (chains, stars), so
-    rounds are logarithmic; each one is a partially aggregated minimum and plain equi-joins. Every round
-    is cut with checkpoint(). Null ends and self-links are ignored; no edges give an empty result.
+    pseudo-random rank, edges are renamed by that pointer and the rest repeats. A round removes a constant
+    share of the nodes in expectation, whatever the shape (chains, stars), and is a partially aggregated
+    minimum and plain equi-joins. Once at most ``few`` edges are left, a bound that doesn't grow with the
+    input, one task solves them; the result is the same. Every round is cut with checkpoint(). Null
+    ends and self-links are ignored; no edges give an empty result.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct().checkpoint()
-    start = edges.selectExpr("a as id").union(edges.selectExpr("b as id")).distinct()
-    pointers, salt = [], 0
-    while not edges.isEmpty():
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    at = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("root"))
+    rank = lambda c, salt: F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("id"))
+    salt = 0
+    while edges.count() > few:
         both = edges.union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        point = both.groupBy(F.col("a").alias("n")).agg(F.min(rank("b")).alias("best"))
-        point = point.select("n", F.least("best", rank("n"))["id"].alias("to")).checkpoint()
-        pointers.append(point)
-        edges = (
-            edges.join(point.selectExpr("n as a", "to as ta"), "a")
-            .join(point.selectExpr("n as b", "to as tb"), "b")
-            .where("ta <> tb")
-            .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-            .distinct()
-            .checkpoint()
-        )
+        point = both.groupBy(F.col("a").alias("n")).agg(F.min(rank("b", salt)).alias("best"))
+        point = point.select("n", F.least("best", rank("n", salt))["id"].alias("to")).checkpoint()
+        at = at.join(point, F.col("root") == F.col("n"), "left").select("id", F.coalesce("to", "root").alias("root")).checkpoint()
+        edges = edges.join(point.selectExpr("n as a", "to as ta"), "a").join(point.selectExpr("n as b", "to as tb"), "b").where("ta <> tb")
+        edges = edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct().checkpoint()
         salt += 1
-    at = start.select("id", F.col("id").alias("root"))
-    for point in pointers:
-        at = at.join(point.selectExpr("n as root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-    least = at.groupBy("root").agg(F.min("id").alias("component"))
-    return at.join(least, "root").select("id", "component")
-
-
-def spread_files(df, n):
-    """Deals rows out evenly where few input splits would leave cores idle."""
-    return df.repartition(n)
-
-
-def env_path(name, default):
-    return os.environ.get(name, default)
+    last = edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_union_find, "n long, to long")
+    at = at.join(last, F.col("root") == F.col("n"), "left").select("id", F.coalesce("to", "root").alias("root"))
+    if salt == 0:  # union-find took the smallest id for the root
+        return at.select("id", F.col("root").alias("component")).checkpoint()
+    at = at.checkpoint()
+    return at.join(at.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component").checkpoint()

@@ -9,6 +9,7 @@ MODULES = (
     "line_chunks",
     "lsh_forest",
     "mixing",
+    "flat_graph",
     "pitman_yor",
     "audio",
     "language_id",

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ()
+MODULES = ("retrieval", "store")
 
 
 def _gather(name):

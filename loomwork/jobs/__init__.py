@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "store")
+MODULES = ("retrieval", "store", "graph")
 
 
 def _gather(name):

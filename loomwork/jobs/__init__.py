@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "store", "graph")
+MODULES = ("retrieval", "store", "graph", "conversations")
 
 
 def _gather(name):

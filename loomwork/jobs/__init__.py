@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "store", "graph", "conversations")
+MODULES = ("retrieval", "store", "graph", "conversations", "scalars")
 
 
 def _gather(name):

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "store", "graph", "conversations", "scalars")
+MODULES = ("retrieval", "store", "graph", "conversations", "scalars", "streams")
 
 
 def _gather(name):

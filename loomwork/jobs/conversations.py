@@ -35,7 +35,7 @@ def j10_missing_replies(spark, sf):
 
 
 def j11_orphan_replies(spark, sf):
-    return cv.drop_orphan_replies(_items(spark, sf).where("conv_id % 3 <> 0 or turn % 4 <> 0"), "conv_id", "turn", "role").select("conv_id", "turn", "role")
+    return cv.drop_orphan_replies(_items(spark, sf).where("role <> 'user' or length(text) > 120"), "conv_id", "turn", "role").select("conv_id", "turn", "role")
 
 
 def j12_remove_counterpart(spark, sf):
@@ -133,7 +133,7 @@ ORACLES = {
     "s12_last_entry": f"SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM {C} GROUP BY 1",
     "s13_history_lookup": f"SELECT conv_id, turn, role, n FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {C}) WHERE rn = 4",
     "j10_missing_replies": f"WITH x AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM {C}) SELECT conv_id, turn::DOUBLE AS turn, role, length(text) AS len FROM {C} UNION ALL SELECT conv_id, turn + 0.5::DOUBLE, 'assistant', 7 FROM x WHERE role = 'user' AND nxt IS DISTINCT FROM 'assistant'",
-    "j11_orphan_replies": f"WITH x AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prv FROM {C} WHERE conv_id % 3 <> 0 OR turn % 4 <> 0) SELECT conv_id, turn, role FROM x WHERE role <> 'assistant' OR prv IS NOT DISTINCT FROM 'user'",
+    "j11_orphan_replies": f"WITH x AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prv FROM {C} WHERE role <> 'user' OR length(text) > 120) SELECT conv_id, turn, role FROM x WHERE role <> 'assistant' OR prv IS NOT DISTINCT FROM 'user'",
     "j12_remove_counterpart": f"WITH f AS (SELECT conv_id, min(turn) AS gone FROM {C} WHERE role = 'assistant' GROUP BY 1) SELECT conv_id, turn, role FROM {C} LEFT JOIN f USING (conv_id) WHERE turn > 0 AND turn IS DISTINCT FROM gone",
     "j13_latest_names": f"SELECT conv_id, arg_max(text, turn) AS text FROM {C} WHERE role = 'user' AND conv_id IN (SELECT doc_id FROM labels) GROUP BY 1",
     "w04_newest_within_budget": f"WITH x AS (SELECT conv_id, turn, {TOK} AS cost FROM {C} WHERE role = 'user'), b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x) SELECT conv_id, turn, cost, CAST(least(cost, 150 - before) AS BIGINT) AS taken FROM b WHERE before < 150",

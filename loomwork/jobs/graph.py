@@ -12,36 +12,37 @@ def _near(spark, sf, kind, where, incoming):
 
 
 def g01_callers(spark, sf):
-    return _near(spark, sf, "Calls", "kind = 'Customer' and ord % 10 = 1", True)
+    return _near(spark, sf, "Calls", "kind = 'Customer'", True)
 
 
 def g02_callees(spark, sf):
-    return _near(spark, sf, "Calls", "kind = 'Order' and ord % 10 = 2", False)
+    return _near(spark, sf, "Calls", "kind = 'Order'", False)
 
 
 def g03_dependencies(spark, sf):
-    return _near(spark, sf, "Imports", "kind = 'Order' and ord % 10 = 3", False)
+    return _near(spark, sf, "Imports", "kind = 'Order'", False)
 
 
 def g04_dependents(spark, sf):
-    return _near(spark, sf, "Imports", "kind = 'Part' and ord % 10 = 4", True)
+    return _near(spark, sf, "Imports", "kind = 'Part'", True)
 
 
 def g05_subclasses(spark, sf):
-    return _near(spark, sf, "Inherits", "kind = 'Supplier' and ord % 10 = 5", True)
+    return _near(spark, sf, "Inherits", "kind = 'Supplier'", True)
 
 
 def g06_superclasses(spark, sf):
-    return _near(spark, sf, "Inherits", "kind = 'Part' and ord % 10 = 6", False)
+    return _near(spark, sf, "Inherits", "kind = 'Part'", False)
 
 
 def g07_shortest_path(spark, sf):
+    """From every node of one name to another node."""
     n = nodes(spark, sf)
-    return graph.shortest_paths(edges(spark, sf), n.where("kind = 'Order' and ord < 40"), n.where("kind = 'Supplier'"), 3)
+    return graph.shortest_paths(edges(spark, sf), n.where("name = '1-URGENT'"), n.where("kind = 'Supplier' and ord = 1"), 3)
 
 
 def g08_related(spark, sf):
-    return graph.within_hops(edges(spark, sf), nodes(spark, sf).where("kind = 'Customer' and ord < 5"), 2)
+    return graph.within_hops(edges(spark, sf), nodes(spark, sf).where("kind = 'Supplier'"), 2)
 
 
 def g09_source(spark, sf):
@@ -68,18 +69,18 @@ def g13_file_elements(spark, sf):
 def g14_resolve(spark, sf):
     """Rows of every exported symbol."""
     n = nodes(spark, sf)
-    return n.join(n.where("kind = 'Part' and ord < 50").select("name").distinct(), "name", "left_semi").select("name", "id")
+    return n.join(n.where("kind = 'Part'").select("name").distinct(), "name", "left_semi").select("name", "id")
 
 
 def g15_remove(spark, sf):
-    n, e = graph.remove(nodes(spark, sf), edges(spark, sf), nodes(spark, sf).where("kind = 'Part' and ord % 7 = 0"))
+    n, e = graph.remove(nodes(spark, sf), edges(spark, sf), nodes(spark, sf).where("kind = 'Part' and name like 'red%'"))
     return e.groupBy("kind").agg(F.count("*").alias("edges")).join(n.agg(F.count("*").alias("nodes")))
 
 
 def g16_replace(spark, sf):
-    """Orders divisible by 9 come back without their calls and under a new name."""
+    """Orders of low priority come back without their calls and under a new name."""
     n, e = nodes(spark, sf), edges(spark, sf)
-    changed = n.where("kind = 'Order' and ord % 9 = 0")
+    changed = n.where("kind = 'Order' and name = '5-LOW'")
     mine = changed.select(F.col("id").alias("src_id"))
     new = e.where("kind = 'Imports'").join(mine, "src_id", "left_semi").select("src_id", "dst_id", "kind")
     got_n, got_e = graph.replace(n, e, changed.withColumn("name", F.lit("changed")), new, changed)
@@ -99,15 +100,15 @@ def j02_calls(spark, sf):
 
 
 def j03_context(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name")
-    return graph.starting_with(p, "p_name", p.where("p_partkey % 100 = 1").select(F.substring("p_name", 1, 6).alias("imported")), "imported")
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    return graph.starting_with(p, "p_name", p.where("p_type = 'PROMO'").select(F.substring("p_name", 1, 6).alias("imported")), "imported")
 
 
 def j04_imports(spark, sf):
     """Exact, then the package, then the parent."""
     o, c = table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "customer")
-    exact = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_orderkey"), F.col("c_custkey").alias("a"))
-    package = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("p"), F.col("c_custkey").alias("b"))
+    exact = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_orderkey"), F.col("c_custkey").alias("a"))
+    package = c.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("p"), F.col("c_custkey").alias("b"))
     parent = c.select(F.col("c_custkey").alias("q"), F.col("c_custkey").alias("d"))
     x = o.join(exact, "o_orderkey", "left").withColumn("p", F.col("o_orderkey") - 1).join(package, "p", "left")
     x = x.withColumn("q", F.floor(F.col("o_orderkey") / 10)).join(parent, "q", "left")
@@ -146,19 +147,19 @@ def _near_sql(kind, where, incoming):
 
 
 ORACLES = {
-    "g01_callers": _near_sql("Calls", "kind = 'Customer' AND n.ord % 10 = 1", True),
-    "g02_callees": _near_sql("Calls", "kind = 'Order' AND n.ord % 10 = 2", False),
-    "g03_dependencies": _near_sql("Imports", "kind = 'Order' AND n.ord % 10 = 3", False),
-    "g04_dependents": _near_sql("Imports", "kind = 'Part' AND n.ord % 10 = 4", True),
-    "g05_subclasses": _near_sql("Inherits", "kind = 'Supplier' AND n.ord % 10 = 5", True),
-    "g06_superclasses": _near_sql("Inherits", "kind = 'Part' AND n.ord % 10 = 6", False),
+    "g01_callers": _near_sql("Calls", "kind = 'Customer'", True),
+    "g02_callees": _near_sql("Calls", "kind = 'Order'", False),
+    "g03_dependencies": _near_sql("Imports", "kind = 'Order'", False),
+    "g04_dependents": _near_sql("Imports", "kind = 'Part'", True),
+    "g05_subclasses": _near_sql("Inherits", "kind = 'Supplier'", True),
+    "g06_superclasses": _near_sql("Inherits", "kind = 'Part'", False),
     "g07_shortest_path": f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT DISTINCT src_id, dst_id FROM edges), walk(source, cur, path, hops) AS (
-      SELECT id, id, id, 0 FROM nodes WHERE kind = 'Order' AND ord < 40 UNION ALL
+      SELECT id, id, id, 0 FROM nodes WHERE name = '1-URGENT' UNION ALL
       SELECT source, dst_id, path || '>' || dst_id, hops + 1 FROM walk JOIN e ON src_id = cur WHERE hops < 3),
       best AS (SELECT source, cur, min(hops) AS hops FROM walk GROUP BY 1, 2)
       SELECT w.source, w.cur AS target, w.hops, min(w.path) AS path FROM walk w JOIN best b ON b.source = w.source AND b.cur = w.cur AND b.hops = w.hops
-      WHERE w.cur IN (SELECT id FROM nodes WHERE kind = 'Supplier') GROUP BY 1, 2, 3""",
-    "g08_related": f"""{G}, b AS (SELECT src_id AS a, dst_id AS b FROM edges UNION SELECT dst_id, src_id FROM edges), s AS (SELECT id FROM nodes WHERE kind = 'Customer' AND ord < 5),
+      WHERE w.cur IN (SELECT id FROM nodes WHERE kind = 'Supplier' AND ord = 1) GROUP BY 1, 2, 3""",
+    "g08_related": f"""{G}, b AS (SELECT src_id AS a, dst_id AS b FROM edges UNION SELECT dst_id, src_id FROM edges), s AS (SELECT id FROM nodes WHERE kind = 'Supplier'),
       h1 AS (SELECT DISTINCT b AS id FROM b WHERE a IN (SELECT id FROM s) AND b NOT IN (SELECT id FROM s)), h2 AS (SELECT DISTINCT b AS id FROM b WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM s) AND b NOT IN (SELECT id FROM h1))
       SELECT id, 1 AS hops FROM h1 UNION ALL SELECT id, 2 FROM h2""",
     "g09_source": f"{G} SELECT * FROM nodes WHERE id = 'o42'",
@@ -166,16 +167,16 @@ ORACLES = {
     "g11_files": f"{G} SELECT DISTINCT name AS path FROM nodes",
     "g12_elements": f"{G} SELECT * FROM nodes",
     "g13_file_elements": f"{G} SELECT name, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM nodes WHERE kind = 'Order' GROUP BY 1",
-    "g14_resolve": f"{G} SELECT name, id FROM nodes WHERE name IN (SELECT name FROM nodes WHERE kind = 'Part' AND ord < 50)",
-    "g15_remove": f"{G}, gone AS (SELECT id FROM nodes WHERE kind = 'Part' AND ord % 7 = 0) SELECT kind, count(*) AS edges, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM gone)) AS nodes FROM edges WHERE src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone) GROUP BY 1",
-    "g16_replace": f"{G}, c AS (SELECT id FROM nodes WHERE kind = 'Order' AND ord % 9 = 0) SELECT kind, count(*) AS edges, (SELECT count(*) FROM c) AS changed FROM edges WHERE NOT (kind = 'Calls' AND src_id IN (SELECT id FROM c)) GROUP BY 1",
+    "g14_resolve": f"{G} SELECT name, id FROM nodes WHERE name IN (SELECT name FROM nodes WHERE kind = 'Part')",
+    "g15_remove": f"{G}, gone AS (SELECT id FROM nodes WHERE kind = 'Part' AND name LIKE 'red%') SELECT kind, count(*) AS edges, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM gone)) AS nodes FROM edges WHERE src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone) GROUP BY 1",
+    "g16_replace": f"{G}, c AS (SELECT id FROM nodes WHERE kind = 'Order' AND name = '5-LOW') SELECT kind, count(*) AS edges, (SELECT count(*) FROM c) AS changed FROM edges WHERE NOT (kind = 'Calls' AND src_id IN (SELECT id FROM c)) GROUP BY 1",
     "j01_defines": "SELECT l_orderkey, l_linenumber, l_partkey, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
     "j02_calls": """SELECT c_custkey, s_suppkey, priority FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY priority, s_suppkey) AS rn FROM (
       SELECT c_custkey, s_suppkey, CASE WHEN s_acctbal > c_acctbal AND s_acctbal < c_acctbal + 500 THEN 1 WHEN s_suppkey % 5 = c_custkey % 5 THEN 2 ELSE 3 END AS priority
       FROM customer JOIN supplier ON s_nationkey = c_nationkey)) WHERE rn = 1 AND s_suppkey <> c_custkey""",
-    "j03_context": "SELECT p_partkey, p_name FROM part p WHERE EXISTS (SELECT 1 FROM part i WHERE i.p_partkey % 100 = 1 AND starts_with(p.p_name, left(i.p_name, 6)))",
-    "j04_imports": """SELECT o_orderkey, coalesce(a.c_custkey, b.c_custkey, d.c_custkey) AS target FROM orders LEFT JOIN customer a ON a.c_custkey = o_orderkey AND a.c_custkey % 2 = 0
-      LEFT JOIN customer b ON b.c_custkey = o_orderkey - 1 AND b.c_custkey % 3 = 0 LEFT JOIN customer d ON d.c_custkey = o_orderkey // 10""",
+    "j03_context": "SELECT p_partkey, p_name, p_type FROM part p WHERE EXISTS (SELECT 1 FROM part i WHERE i.p_type = 'PROMO' AND starts_with(p.p_name, left(i.p_name, 6)))",
+    "j04_imports": """SELECT o_orderkey, coalesce(a.c_custkey, b.c_custkey, d.c_custkey) AS target FROM orders LEFT JOIN customer a ON a.c_custkey = o_orderkey AND a.c_mktsegment = 'BUILDING'
+      LEFT JOIN customer b ON b.c_custkey = o_orderkey - 1 AND b.c_mktsegment = 'MACHINERY' LEFT JOIN customer d ON d.c_custkey = o_orderkey // 10""",
     "j05_import_symbols": """WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), t AS (SELECT lower(p_type) AS word, min(p_partkey) AS by_type FROM part GROUP BY 1),
       n AS (SELECT string_split(p_name, ' ')[-1] AS word, min(p_partkey) AS by_name FROM part GROUP BY 1)
       SELECT p_partkey, word, coalesce(by_type, by_name) AS target FROM w LEFT JOIN t USING (word) LEFT JOIN n USING (word) WHERE coalesce(by_type, by_name) IS NOT NULL""",

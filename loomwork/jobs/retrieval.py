@@ -44,7 +44,7 @@ def r03_bm25_search(spark, sf):
 
 def r04_bm25_remove(spark, sf):
     docs = _docs(spark, sf)
-    return bm25.search(bm25.remove(docs, docs.where("doc_id % 10 = 3")), _asked(spark, sf), k=5, df_mode="document")
+    return bm25.search(bm25.remove(docs, table(spark, sf, "labels").where("toxic = 1")), _asked(spark, sf), k=5, df_mode="document")
 
 
 def _knn(spark, sf, **kw):
@@ -105,7 +105,7 @@ ORACLES = {
     "r01_tokenize": f"WITH {TOKENS_SQL} SELECT term, count(*) AS cf FROM tok GROUP BY 1",
     "r02_bm25_postings": f"WITH {TOKENS_SQL} SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2",
     "r03_bm25_search": _bm25_sql("SELECT doc_id, text FROM documents", 10, "sum(tf)"),
-    "r04_bm25_remove": _bm25_sql("SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 3", 5, "count(*)"),
+    "r04_bm25_remove": _bm25_sql("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", 5, "count(*)"),
     "r05_cosine_knn": _cosine_sql(5, -1),
     "r06_cosine_knn_positive": _cosine_sql(3, 0),
     "r09_score_order": "SELECT page_id, url, length(html) AS score, row_number() OVER (ORDER BY length(html) DESC, url, page_id) AS rank FROM pages ORDER BY rank LIMIT 100",

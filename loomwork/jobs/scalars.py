@@ -47,7 +47,7 @@ def s15_line_slice(spark, sf):
 
 def s16_indent_block(spark, sf):
     """Effective indents of page lines: blank lines take over the last one; lines at least as deep as the page's first."""
-    x = table(spark, sf, "pages").select("page_id", F.posexplode(F.split(F.replace("html", F.lit("<"), F.lit("\n\t<")), "\n")).alias("n", "line")).where("page_id % 25 = 0")
+    x = table(spark, sf, "pages").select("page_id", F.posexplode(F.split(F.replace("html", F.lit("<"), F.lit("\n\t<")), "\n")).alias("n", "line"))
     own = F.when(F.trim("line") != "", tx.indent(F.col("line")))
     w = W.partitionBy("page_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     return x.select("page_id", "n", F.last(own, ignorenulls=True).over(w).alias("indent"))
@@ -75,7 +75,7 @@ def e07_builtin_filter(spark, sf):
 
 def e10_global_index(spark, sf):
     """Exports: symbol, file and id of everything but files."""
-    return _paths(spark, sf).where("p_partkey % 10 <> 0").select(F.regexp_extract("path", r"([^/]+)\.[^.]*$", 1).alias("symbol"), "path").groupBy("symbol").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+    return _paths(spark, sf).where(~F.contains("path", F.lit("__init__"))).select(F.regexp_extract("path", r"([^/]+)\.[^.]*$", 1).alias("symbol"), "path").groupBy("symbol").agg(F.count("*").alias("n"), F.min("path").alias("first"))
 
 
 def p01_node_kinds(spark, sf):
@@ -218,7 +218,7 @@ def _patterns(spark, sf):
     """Patterns of the hosts themselves: below some, at or below others, some denied."""
     h = table(spark, sf, "pages").select(tx.host(F.col("url")).alias("host"), "page_id")
     kind = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("*."), "host")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("**."), "host")).otherwise(F.col("host"))
-    return h.where("page_id % 2 = 0").select(kind.alias("pattern"), (F.col("page_id") % 4 == 0).alias("allow")).distinct()
+    return h.select(kind.alias("pattern"), (F.col("page_id") % 4 == 0).alias("allow")).distinct()
 
 
 def j15_match_hosts(spark, sf):
@@ -272,7 +272,7 @@ def n07_pair_events(spark, sf):
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "septajn" and n[1:3].isdigit()}
 HOST_SQL = "regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1)"
 P = f"WITH {PATH_SQL}"
-PATTERN_SQL = f"pat AS (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN '*.' || h WHEN 1 THEN '**.' || h ELSE h END AS pattern, h AS base, page_id % 3 AS how, page_id % 4 = 0 AS allow FROM (SELECT page_id, {HOST_SQL} AS h FROM pages) WHERE page_id % 2 = 0)"
+PATTERN_SQL = f"pat AS (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN '*.' || h WHEN 1 THEN '**.' || h ELSE h END AS pattern, h AS base, page_id % 3 AS how, page_id % 4 = 0 AS allow FROM (SELECT page_id, {HOST_SQL} AS h FROM pages))"
 CLEAN_SQL = (
     "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9]{20,}', '[REDACTED_SECRET]', 'g'), '\\bAKIA[0-9A-Z]{16}\\b', '[REDACTED_SECRET]', 'g'),"
     " '(?i)\\bBearer\\s+[A-Za-z0-9._\\-]{16,}\\b', 'Bearer [REDACTED_SECRET]', 'g'), '(?i)\\b(api[_-]?key|token|secret|password)\\b(\\s*[:=]\\s*)([\"'']?)[^\\s\"'']{8,}', '\\1\\2\\3[REDACTED_SECRET]', 'g')"
@@ -286,7 +286,7 @@ ORACLES = {
     "e04_element_id": f"{P} SELECT p_partkey, 'file_' || left(sha256('file/' || path), 16) AS id FROM p",
     "e05_module_path": f"{P} SELECT p_partkey, regexp_replace(replace(regexp_replace(regexp_replace(path, '^src/', ''), '\\.(py|ts|js|rs|go|java)$', ''), '/', '.'), '\\.__init__$', '') AS module FROM p",
     "e07_builtin_filter": "WITH w AS (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents), s AS (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) SELECT w, count(*) AS n FROM w WHERE w <> '' AND w NOT IN (SELECT w FROM s) GROUP BY 1",
-    "e10_global_index": f"{P} SELECT regexp_extract(path, '([^/]+)\\.[^.]*$', 1) AS symbol, count(*) AS n, min(path) AS first FROM p WHERE p_partkey % 10 <> 0 GROUP BY 1",
+    "e10_global_index": f"{P} SELECT regexp_extract(path, '([^/]+)\\.[^.]*$', 1) AS symbol, count(*) AS n, min(path) AS first FROM p WHERE NOT contains(path, '__init__') GROUP BY 1",
     "p01_node_kinds": "SELECT CASE WHEN p_type = 'ECONOMY' THEN 'Class' WHEN p_type = 'STANDARD' THEN 'Function' WHEN p_type IN ('PROMO', 'LARGE') THEN 'Module' ELSE 'File' END AS kind, count(*) AS n FROM part GROUP BY 1",
     "t02_token_estimate": "SELECT doc_id, CAST(ceil(strlen(text) / 4) AS BIGINT) AS tokens, CAST(ceil(strlen(text) / 4) * 4 AS BIGINT) AS bytes FROM documents",
     "t04_redact": f"SELECT doc_id, md5(clean) AS digest FROM (SELECT doc_id, text, {CLEAN_SQL} AS clean FROM documents) WHERE text <> clean",

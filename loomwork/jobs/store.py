@@ -38,8 +38,8 @@ def s19_ordered_children(spark, sf):
 
 def s20_path_by_id(spark, sf):
     """Lookup with a three-way filter: only archived, only active, either."""
-    t = _thread(spark, sf).where("id % 97 = 5")
-    return t.select("id", "status", F.when(F.col("status") == "F", F.lit("archived")).otherwise(F.lit("active")).alias("root")).where("status in ('F', 'O')")
+    t = _thread(spark, sf).where("status in ('F', 'O')")
+    return t.select("id", "status", F.when(F.col("status") == "F", F.lit("archived")).otherwise(F.lit("active")).alias("root"))
 
 
 def k02_insert_logs(spark, sf):
@@ -47,7 +47,7 @@ def k02_insert_logs(spark, sf):
 
 
 def _incoming(spark, sf):
-    return _thread(spark, sf).where("id % 3 = 0").withColumn("status", F.lit("X")).withColumn("updated", F.col("updated") + F.when(F.col("id") % 2 == 0, 86400).otherwise(-86400))
+    return _thread(spark, sf).where("provider is null").withColumn("status", F.lit("X")).withColumn("updated", F.col("updated") + F.when(F.col("id") % 2 == 0, 86400).otherwise(-86400))
 
 
 def k03_upsert(spark, sf):
@@ -56,7 +56,7 @@ def k03_upsert(spark, sf):
 
 def k04_insert_absent(spark, sf):
     new = _incoming(spark, sf).withColumn("id", F.col("id") * 2)
-    return store.insert_absent(_thread(spark, sf).where("id % 5 <> 0"), new, ["id"]).select("id", "status", "updated")
+    return store.insert_absent(_thread(spark, sf).where("status <> 'P'"), new, ["id"]).select("id", "status", "updated")
 
 
 def k05_conditional_upsert(spark, sf):
@@ -71,7 +71,7 @@ def k06_retention(spark, sf):
 
 def k07_delete_cascade(spark, sf):
     t, line = _thread(spark, sf), table(spark, sf, "lineitem")
-    parent, child = store.delete_cascade(t, line, t.where("id % 4 = 1"), "id", "l_orderkey")
+    parent, child = store.delete_cascade(t, line, t.where("status = 'P'"), "id", "l_orderkey")
     kids = child.groupBy("l_orderkey").agg(F.count("*").alias("kids")).withColumnRenamed("l_orderkey", "id")
     return parent.join(kids, "id", "left").select("id", F.coalesce("kids", F.lit(0)).alias("kids"))
 
@@ -82,7 +82,7 @@ def k08_clear_kinds(spark, sf):
 
 def k09_archive(spark, sf):
     t = _thread(spark, sf)
-    gone = F.col("id") % 6 == 0
+    gone = F.col("provider").isNull()
     return t.select("id", F.when(gone, "archived").otherwise(F.col("status")).alias("status"), F.when(gone, F.col("updated")).alias("archived_at"))
 
 
@@ -244,20 +244,20 @@ def x15_recent_buffer(spark, sf):
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "skpawjoux" and n[1:3].isdigit()}
 L, T = f"WITH {LOGS_SQL}", f"WITH {THREAD_SQL}"
-INCOMING_SQL = "inc AS (SELECT id, owner, 'X' AS status, updated + CASE WHEN id % 2 = 0 THEN 86400 ELSE -86400 END AS updated, provider, price FROM thread WHERE id % 3 = 0)"
+INCOMING_SQL = "inc AS (SELECT id, owner, 'X' AS status, updated + CASE WHEN id % 2 = 0 THEN 86400 ELSE -86400 END AS updated, provider, price FROM thread WHERE provider IS NULL)"
 RUNNING = "sum(estimated_bytes) OVER (PARTITION BY {} ORDER BY ts DESC, id DESC ROWS UNBOUNDED PRECEDING)"
 ORACLES = {
     "s18_point_lookup": f"{T} SELECT * FROM thread WHERE id = 42",
     "s19_ordered_children": "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY 1",
-    "s20_path_by_id": f"{T} SELECT id, status, CASE WHEN status = 'F' THEN 'archived' ELSE 'active' END AS root FROM thread WHERE id % 97 = 5 AND status IN ('F', 'O')",
+    "s20_path_by_id": f"{T} SELECT id, status, CASE WHEN status = 'F' THEN 'archived' ELSE 'active' END AS root FROM thread WHERE status IN ('F', 'O')",
     "k02_insert_logs": f"{L} SELECT id, estimated_bytes FROM logs",
     "k03_upsert": f"{T}, {INCOMING_SQL} SELECT * FROM inc UNION ALL SELECT * FROM thread WHERE id NOT IN (SELECT id FROM inc)",
-    "k04_insert_absent": f"{T}, {INCOMING_SQL}, base AS (SELECT * FROM thread WHERE id % 5 <> 0) SELECT id, status, updated FROM base UNION ALL SELECT id * 2, status, updated FROM inc WHERE id * 2 NOT IN (SELECT id FROM base)",
+    "k04_insert_absent": f"{T}, {INCOMING_SQL}, base AS (SELECT * FROM thread WHERE status <> 'P') SELECT id, status, updated FROM base UNION ALL SELECT id * 2, status, updated FROM inc WHERE id * 2 NOT IN (SELECT id FROM base)",
     "k05_conditional_upsert": f"{T}, {INCOMING_SQL} SELECT t.id, CASE WHEN i.updated >= t.updated THEN i.status ELSE t.status END AS status, CASE WHEN i.updated >= t.updated THEN i.updated ELSE t.updated END AS updated FROM thread t LEFT JOIN inc i USING (id)",
     "k06_retention": f"{L} SELECT id FROM logs WHERE ts >= (SELECT max(ts) - INTERVAL 10 DAY FROM logs)",
-    "k07_delete_cascade": f"{T} SELECT t.id, count(l.l_orderkey) AS kids FROM thread t LEFT JOIN lineitem l ON l.l_orderkey = t.id WHERE t.id % 4 <> 1 GROUP BY 1",
+    "k07_delete_cascade": f"{T} SELECT t.id, count(l.l_orderkey) AS kids FROM thread t LEFT JOIN lineitem l ON l.l_orderkey = t.id WHERE t.status <> 'P' GROUP BY 1",
     "k08_clear_kinds": f"{L} SELECT level, count(*) AS n FROM logs WHERE level NOT IN ('view', 'click') GROUP BY 1",
-    "k09_archive": f"{T} SELECT id, CASE WHEN id % 6 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN id % 6 = 0 THEN updated END AS archived_at FROM thread",
+    "k09_archive": f"{T} SELECT id, CASE WHEN provider IS NULL THEN 'archived' ELSE status END AS status, CASE WHEN provider IS NULL THEN updated END AS archived_at FROM thread",
     "k10_trim_history": "WITH h AS (SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS bytes FROM conversations), r AS (SELECT *, sum(bytes) OVER w AS running, greatest(800, first_value(bytes) OVER w) AS target FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) SELECT conv_id, turn, bytes FROM r WHERE running <= target",
     "k12_persist_kinds": f"{L} SELECT * FROM (SELECT id, CASE WHEN level IN ('error', 'purchase', 'signup') THEN 'always' WHEN level = 'view' AND value > 10 THEN 'extended' END AS mode FROM logs) WHERE mode IS NOT NULL",
     "p02_log_filter": f"{L} SELECT id, level, thread_id FROM logs WHERE upper(level) IN ('ERROR', 'VIEW', 'CLICK') AND ts >= TIMESTAMP '2024-01-03 00:00:00' AND (message ILIKE '%K\": 1%' OR message ILIKE '%k\": 7%') AND ((thread_id < 4000 AND thread_id % 3 = 0) OR thread_id IS NULL) AND id > 100 AND instr(message, 'k') > 0",

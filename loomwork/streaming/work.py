@@ -1,0 +1,45 @@
+"""Keyed work: claims, leases, retries and watermarks as stream state."""
+
+import pandas as pd
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+RETRIES, LEASE_S, DELAY_S = 3, 3600, 3600
+STATE = "status string, retries int, input long, success long, lease_end long, retry_at long, claimed long"
+START = ("idle", RETRIES, -1, -1, 0, 0, -1)
+
+
+def step(state, action, value, now):
+    """The state after one event; ``value`` is an enqueue's watermark.
+
+    enqueue: a watermark at or below the known one counts as the known one + 1, so late input is never dropped. claim: only if
+    input is newer than the last success, the retry time has come, retries are left and no lease runs. succeed and fail count
+    only while running; success advances to the watermark claimed; each failure takes a retry and waits.
+    """
+    status, retries, given, success, lease_end, retry_at, claimed = state
+    if action == "enqueue":
+        return (status, RETRIES, value if value > given else given + 1, success, lease_end, retry_at, claimed)
+    if action == "claim":
+        free = status != "running" or now >= lease_end
+        if free and given > success and now >= retry_at and retries > 0:
+            return ("running", retries, given, success, now + LEASE_S, retry_at, given)
+    elif action == "heartbeat" and status == "running":
+        return (status, retries, given, success, now + LEASE_S, retry_at, claimed)
+    elif action == "succeed" and status == "running":
+        return ("done", retries, given, max(success, claimed), 0, 0, claimed)
+    elif action == "fail" and status == "running":
+        return ("failed", retries - 1, given, success, 0, now + DELAY_S, claimed)
+    return state
+
+
+def fold(events):
+    """State of each key after ``events(key, seq, action, value, now)`` in order of seq, kept across micro-batches."""
+
+    def update(key, batches, state):
+        now_state = state.get if state.exists else START
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for r in rows.itertuples():
+            now_state = step(tuple(now_state), r.action, r.value, r.now)
+        state.update(now_state)
+        yield pd.DataFrame([(key[0], int(rows["seq"].max()), *now_state)], columns=["key", "seq", *[c.split()[0] for c in STATE.split(", ")]])
+
+    return events.groupBy("key").applyInPandasWithState(update, f"key long, seq long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)

@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.operators import bm25, vectors
@@ -73,7 +74,7 @@ def r07_tool_search(spark, sf):
     return bm25.search(plain(_docs(spark, sf)), plain(_asked(spark, sf)), k=8, df_mode="document")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _fuzzy(text: pd.Series, needle: pd.Series) -> pd.Series:
     return pd.Series([fuzzy_score(t, n) for t, n in zip(text, needle, strict=True)], dtype="Int32")
 

@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions import policy
 from loomwork.functions import text as tx
@@ -166,7 +167,7 @@ def t15_derived_usage(spark, sf):
     return line.groupBy("l_returnflag").agg(F.sum(F.greatest(total - cached, F.lit(0))).alias("non_cached"), F.sum(F.greatest(cached, F.lit(0))).alias("cached"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _seek(text: pd.Series) -> pd.Series:
     return pd.Series([tx.seek_lines(lines := t.split("\n"), [x.strip() + " " for x in lines[1:3]]) for t in text], dtype="Int32")
 

@@ -306,3 +306,10 @@ def op7_flat_graph(spark, sf_dir):
 
 
 QUERIES = {"op7_flat_graph": op7_flat_graph}
+
+ORACLES = {
+    "op7_flat_graph": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+      l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+      r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+      SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept, 1.0::DOUBLE AS recall FROM embeddings JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) ON a = vec_id"""
+}

@@ -21,7 +21,7 @@ BEGIN = "▁"
 
 def words(text):
     """Lower-cased runs of letters, with the word-begin mark."""
-    return [BEGIN + w for w in LETTERS.findall(text.lower())] if text else []
+    return [BEGIN + w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 class Languages:

@@ -61,6 +61,7 @@ def test_defined_results(docs):
     mixed = by(mixing.mix(docs))
     assert all(mixed[r[0]]["size"] == len(words(r[1])) and mixed[r[0]]["taken"] <= 2 * mixed[r[0]]["size"] for r in ROWS)
     assert {i: by(OPERATORS["identify"](docs))[i]["lang_pred"] for i in (2, 3, 4)} == {2: "und", 3: "und", 4: "und"}
+    assert not language_id.words("² 12 _ --") and language_id.words("Aé1b") == ["▁aé", "▁b"]
     counts = by(token_counts.token_counts(docs))
     assert all(counts[r[0]]["n_pretokens"] == len(words(r[1])) for r in ROWS)
     pieces = [r for r in packing.pack(docs, max_len=1000).collect() if r["doc_id"] == 5]

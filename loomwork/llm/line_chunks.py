@@ -1,10 +1,12 @@
 """Operator 5: removal of repeated line chunks with content-defined boundaries (native).
 
-Lines are cut after newlines and, within a line, after sentence ends, so that a passage on one long line
-has boundaries too. The hashes of two neighbouring lines roll over a document; a chunk begins where that
-value is a local minimum, which depends on four lines only and so shifts with the text. Chunks of
-several lines whose hash occurs more than once are compared byte by byte with their first occurrence, and
-equal neighbouring lines just before and after are added to the cut.
+Lines are cut after newlines and, within a line, after every word whose last character isn't one of the commonest last
+letters (so also after commas and sentence ends) and before every word that begins with certain letters: some two or three
+words a line, and where depends on neighbouring characters alone.
+The hashes of two neighbouring lines roll over a document; a chunk begins where that value is a local minimum,
+which depends on four lines only and so shifts with the text. It runs to the first line end that makes it large enough,
+so a passage needs one such start; chunks may overlap. Those whose hash occurs more than once are compared byte by
+byte with their first occurrence, and equal neighbouring lines just before and after are added to the cut.
 """
 
 from pyspark.sql import functions as F
@@ -12,18 +14,16 @@ from pyspark.sql import functions as F
 from . import _shared as S
 
 #: What ends a line, the end included.
-ENDS = ("\n", ". ", "! ", "? ")
+ENDS = r"\n| (?:(?<=[^entrhdsa] )|(?=[bdklp]))"
 MARK = "\x01"
 BLANK = " \t\r\n"
 
 
 def _lines(text):
     """Lines of a text with their ends; joined they are the text."""
-    marked = text
-    for end in ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    marked = F.regexp_replace(text, F.lit(f"({ENDS})"), F.lit("$1" + MARK))
     # a text that holds the mark itself is cut by the slower pattern
-    return F.when(F.contains(text, F.lit(MARK)), F.split(text, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, MARK))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, f"(?<={ENDS})")).otherwise(F.split(marked, MARK))
 
 
 def _hold(df, **columns):
@@ -34,23 +34,31 @@ def _hold(df, **columns):
 
 
 def _chunks(df, min_lines, min_chars):
-    """For texts not null, adds ``body`` (lines without end blanks) and ``chunks``: structs k, s, e, ch of the chunks large enough, and ``starts``."""
+    """For texts not null, adds ``body`` (lines without end blanks), ``starts`` and ``chunks``: structs k, s, e, ch of the chunks, the k-th start being s."""
     body = F.transform(_lines(F.col("text")), lambda x: F.rtrim(x, F.lit(BLANK)))
     x = _hold(df, body=body)
-    x = _hold(x, h=F.transform("body", lambda b: F.xxhash64(b)), at=F.sequence(F.lit(0), F.size("body") - 1))
+    x = _hold(x, h=F.transform("body", lambda b: F.xxhash64(b)), chars=F.transform("body", lambda b: F.length(b)), at=F.sequence(F.lit(0), F.size("body") - 1))
     x = _hold(x, roll=F.transform("at", lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1))))
     lower = lambda i: (F.get("roll", i) < F.get("roll", i - 1)) & F.coalesce(F.get("roll", i) <= F.get("roll", i + 1), F.lit(True))
     x = _hold(x, starts=F.filter("at", lambda i: (i == 0) | lower(i)))
 
-    def chunk(s, k):
-        e = F.coalesce(F.get("starts", k + 1), F.size("body"))
-        return F.struct(k.cast("int").alias("k"), s.alias("s"), e.alias("e"))
-
-    x = _hold(x, spans=F.transform("starts", chunk))
-    chars = lambda c: F.aggregate(F.slice("body", c["s"] + 1, c["e"] - c["s"]), F.lit(0), lambda n, b: n + F.length(b))
-    big = F.filter("spans", lambda c: (c["e"] - c["s"] >= min_lines) & (chars(c) >= min_chars))
-    full = F.transform(big, lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), F.xxhash64(F.slice("h", c["s"] + 1, c["e"] - c["s"])).alias("ch")))
-    return x.withColumn("chunks", full)
+    def end(s):
+        """The first line after which the chunk is large enough; null where the text ends before."""
+        n, found = F.lit(0), F
+        for m in range(1, 9):
+            n = n + F.get("chars", s + (m - 1))  # null beyond the text
+            if m >= min_lines:
+                found = found.when(n >= min_chars, s + m)
+        # single characters need min_chars lines; blank lines are allowed for
+        lines = F.slice("chars", s + 1, 4 * min_chars + min_lines)
+        large = lambda a: (a["n"] >= min_chars) & (a["m"] >= min_lines)
+        step = lambda a, c: F.when(large(a), a).otherwise(F.struct((a["m"] + 1).alias("m"), (a["n"] + c).alias("n")))
+        last = F.aggregate(lines, F.struct(F.lit(0).alias("m"), F.lit(0).alias("n")), step, lambda a: F.when(large(a), s + a["m"]))
+        return last if found is F else found.when(s + 8 < F.size("body"), last)
+
+    x = _hold(x, spans=F.transform("starts", lambda s, k: F.struct(k.cast("int").alias("k"), s.alias("s"), end(s).alias("e"))))
+    full = lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), F.xxhash64(F.slice("h", c["s"] + 1, c["e"] - c["s"])).alias("ch"))
+    return x.withColumn("chunks", F.transform(F.filter("spans", lambda c: c["e"].isNotNull()), full))
 
 
 def drop_repeated_chunks(docs, min_lines=2, min_chars=60):
@@ -76,11 +84,14 @@ def drop_repeated_chunks(docs, min_lines=2, min_chars=60):
     k, s, e = F.col("c.k"), F.col("c.s"), F.col("c.e")
     none = F.array().cast("array<string>")
     prev = F.when(k > 0, part(F.get("starts", k - 1), s)).otherwise(none)
-    after = F.coalesce(F.get("starts", k + 2), F.size("body"))
+    # up to the first start not inside the chunk, or the one after where the chunk ends at a start
+    j = k + F.size(F.filter(F.slice("starts", k + 1, e - s), lambda x: x < e))
+    meets = F.get("starts", j) == e
+    after = F.coalesce(F.when(meets, F.get("starts", j + 1)).otherwise(F.get("starts", j)), F.size("body"))
     nxt = F.when(e < F.size("body"), part(e, after)).otherwise(none)
     found = found.select(
         F.col("c.ch").alias("ch"), F.struct("doc_id", "_rid", k.alias("k")).alias("key"), s.alias("s"), e.alias("e"), part(s, e).alias("cur"), prev.alias("prev"), nxt.alias("nxt"),
-        F.array_contains("ks", k - 1).alias("prev_too"), F.array_contains("ks", k + 1).alias("nxt_too"),
+        F.array_contains("ks", k - 1).alias("prev_too"), (F.coalesce(meets, F.lit(False)) & F.array_contains("ks", j)).alias("nxt_too"),
     )
     first = found.groupBy("ch").agg(F.min_by(F.struct("key", "cur", "prev", "nxt"), "key").alias("first"))
     # neighbours that are repeated chunks themselves are cut on their own account
@@ -92,8 +103,16 @@ def drop_repeated_chunks(docs, min_lines=2, min_chars=60):
         same = F.zip_with(mine, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
         return F.when(F.size(mine) == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(mine)).cast("int"))
 
-    before = shared(F.reverse("prev"), F.reverse("first.prev"))
-    cuts = twins.select(F.col("key._rid").alias("_rid"), F.sequence(F.col("s") - before, F.col("e") + shared(F.col("nxt"), F.col("first.nxt")) - 1).alias("cut"))
+    def to_sentence(lines, n):
+        """Of ``n`` equal lines those up to the last sentence end among ``lines``; all where there is none."""
+        last = F.array_position(F.reverse(F.transform(lines, lambda x: F.rlike(x, F.lit("[.!?]$")))), True)
+        return F.when(F.coalesce(last, F.lit(0)) > 0, F.size(lines) - last).otherwise(n).cast("int")
+
+    # beyond a sentence end a few equal words may be chance: what is cut ends there
+    before, behind = shared(F.reverse("prev"), F.reverse("first.prev")), shared(F.col("nxt"), F.col("first.nxt"))
+    before = to_sentence(F.slice(F.reverse("prev"), 1, before + 1), before)
+    behind = to_sentence(F.concat(F.slice("cur", -1, 1), F.slice("nxt", 1, behind)), behind)
+    cuts = twins.select(F.col("key._rid").alias("_rid"), F.sequence(F.col("s") - before, F.col("e") + behind - 1).alias("cut"))
     cuts = cuts.groupBy("_rid").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("_cut"))
     x = d.join(cuts, "_rid", "left")
     some = (F.col("text").isNotNull()) & (F.col("text") != "")

@@ -188,6 +188,31 @@ def test_line_chunks(spark):
     assert {r["doc_id"]: r["text"] for r in line_chunks.drop_repeated_chunks(marked).collect()} == {1: "a\x01b. c\nd", 2: "\x01"}
 
 
+@pytest.mark.parametrize("ends", [True, False])
+def test_lone_passages_between_documents(spark, ends):
+    """Passages of 50 to 60 words, whole copies left out: between unrelated words in two documents, also without sentence ends."""
+    rng = random.Random(17)
+    some = lambda n: (prose(rng, n) if ends else " ".join(rng.choices(VOCABULARY, k=n))).split()
+    rows, planted = [], []
+    for _ in range(60):
+        passage = some(rng.randrange(50, 61))
+        for _ in range(2):
+            own = [["vo" + w for w in some(rng.randrange(20, 80))] for _ in range(2)]  # no word of a passage
+            planted.append((own, passage))
+            rows.append((len(rows), " ".join([*own[0], *passage, *own[1]])))
+    got = {r["doc_id"]: r["text"] for r in line_chunks.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cut = []
+    for i, text in rows:
+        (head, tail), passage = planted[i]
+        left = got[i].split()
+        assert left[: len(head)] == head and left[-len(tail) :] == tail  # what is a document's own stays
+        if i % 2 == 0:
+            assert got[i] == text
+        else:
+            cut.append((len(head) + len(passage) + len(tail) - len(left)) / len(passage))
+    assert sum(c > 0 for c in cut) >= 0.95 * len(cut) and sum(cut) >= 0.8 * len(cut)
+
+
 def segmentations(word, ids):
     if not word:
         yield ()

@@ -29,7 +29,8 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    return lsh_forest.keep_one(_documents(docs))
+    """Links are pairs of five-word shingle sets at a similarity of 0.8 and over; the query op1 has a threshold of its own."""
+    return lsh_forest.keep_one(_documents(docs), share=80)
 
 
 def mix_sources(spark, docs, sf_dir):

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomwork.llm import _shared, _trie, audio, flat_graph, language_id, line_chunks, lsh_forest, mixing, packing, pitman_yor, token_counts, toxicity
 
 VOCABULARY = [f"{a}{b}{c}" for a in ("ba", "do", "ki", "lu") for b in ("men", "rat", "sol", "tig") for c in ("a", "en", "or", "us")]
@@ -74,6 +75,20 @@ def test_near_duplicates(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(s), plain.root(i), plain.root(i) == i) for i, s in sets.items()}
 
 
+def test_pipeline_links_from_four_fifths(spark):
+    """Pairs of a similarity from 0.80 to 0.85: the near dedup stage keeps the first, the query op1 both."""
+    rng, rows = random.Random(12), []
+    for i in range(30):
+        base = rng.choices(VOCABULARY, k=100)
+        other = list(base)
+        for at in (20, 60):  # ten of 96 shingles differ on each side: 86 / 106
+            other[at] = f"new{i}x{at}"
+        rows += [(2 * i, " ".join(base), "en", "s", 1), (2 * i + 1, " ".join(other), "en", "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, d, None).collect()) == list(range(0, 60, 2))
+    assert lsh_forest.keep_one(d).count() == 60
+
+
 def test_toxicity_held_out(spark):
     rng, bad = random.Random(3), ["nasgor", "nasgoren", "plofta", "ploftin"]
     rows = []

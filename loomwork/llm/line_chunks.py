@@ -1,126 +1,143 @@
 """Operator 5: removal of repeated line chunks with content-defined boundaries (native).
 
-Lines are cut after newlines and, within a line, after every word whose last character isn't one of the commonest last
-letters (so also after commas and sentence ends) and before every word that begins with certain letters: some two or three
-words a line, and where depends on neighbouring characters alone.
-The hashes of two neighbouring lines roll over a document; a chunk begins where that value is a local minimum,
-which depends on four lines only and so shifts with the text. It runs to the first line end that makes it large enough,
-so a passage needs one such start; chunks may overlap. Those whose hash occurs more than once are compared byte by
-byte with their first occurrence, and equal neighbouring lines just before and after are added to the cut.
+A line ends at a newline, or at a blank after a word whose last character isn't one of the commonest last letters (so also
+after commas and sentence ends): some three words a line, and where depends on neighbouring characters alone. A hash rolls
+over the hashes of two neighbouring lines; a chunk starts where it is a local minimum, which depends on four lines only and
+so shifts with the text. A chunk is ``CHUNK`` lines long; chunks may overlap, and a passage needs one start with a chunk behind it. Chunks whose hash occurs more than once are compared byte by byte with their first
+occurrence, and equal neighbouring lines before and after it are cut with them.
 """
 
+import os
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _shared as S
 
-#: What ends a line, the end included.
-ENDS = r"\n| (?:(?<=[^entrhdsa] )|(?=[bdklp]))"
-MARK = "\x01"
-BLANK = " \t\r\n"
+#: What ends a line: one character, a newline, or a blank after a character that isn't a common last letter.
+UNCOMMON = "[^entrhdsai]"
+ENDS = rf"\n| (?<={UNCOMMON} )"
+AFTER_END = rf"(?<=\n|{UNCOMMON} )"
+CHUNK, CONTEXT = 8, 8
+#: Equal neighbouring lines count up to the last one of so many characters; shorter ones may be equal by chance.
+LONG_LINE = 12
+#: Chunk hashes seen in at least HOT_SEEN of the documents sampled (one in SAMPLE, by hash) are dealt by document, at most MAX_HOT of them.
+SAMPLE, HOT_SEEN, MAX_HOT = 64, 24, 10_000
+#: Occurrences compared with one copy of the first.
+GROUP = 1000
+
+
+def _let(value, f):
+    """``f(value)`` with ``value`` computed once a row, also inside lambdas."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _lines(text):
-    """Lines of a text with their ends; joined they are the text."""
-    marked = F.regexp_replace(text, F.lit(f"({ENDS})"), F.lit("$1" + MARK))
-    # a text that holds the mark itself is cut by the slower pattern
-    return F.when(F.contains(text, F.lit(MARK)), F.split(text, f"(?<={ENDS})")).otherwise(F.split(marked, MARK))
-
-
-def _hold(df, **columns):
-    """Adds columns behind a generator, which the optimiser doesn't inline into lambdas element by element."""
-    names = list(columns)
-    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return df.select("*", made.alias("_held")).select("*", *[F.col("_held")[n].alias(n) for n in names]).drop("_held")
-
-
-def _chunks(df, min_lines, min_chars):
-    """For texts not null, adds ``body`` (lines without end blanks), ``starts`` and ``chunks``: structs k, s, e, ch of the chunks, the k-th start being s."""
-    body = F.transform(_lines(F.col("text")), lambda x: F.rtrim(x, F.lit(BLANK)))
-    x = _hold(df, body=body)
-    x = _hold(x, h=F.transform("body", lambda b: F.xxhash64(b)), chars=F.transform("body", lambda b: F.length(b)), at=F.sequence(F.lit(0), F.size("body") - 1))
-    x = _hold(x, roll=F.transform("at", lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1))))
-    lower = lambda i: (F.get("roll", i) < F.get("roll", i - 1)) & F.coalesce(F.get("roll", i) <= F.get("roll", i + 1), F.lit(True))
-    x = _hold(x, starts=F.filter("at", lambda i: (i == 0) | lower(i)))
-
-    def end(s):
-        """The first line after which the chunk is large enough; null where the text ends before."""
-        n, found = F.lit(0), F
-        for m in range(1, 9):
-            n = n + F.get("chars", s + (m - 1))  # null beyond the text
-            if m >= min_lines:
-                found = found.when(n >= min_chars, s + m)
-        # single characters need min_chars lines; blank lines are allowed for
-        lines = F.slice("chars", s + 1, 4 * min_chars + min_lines)
-        large = lambda a: (a["n"] >= min_chars) & (a["m"] >= min_lines)
-        step = lambda a, c: F.when(large(a), a).otherwise(F.struct((a["m"] + 1).alias("m"), (a["n"] + c).alias("n")))
-        last = F.aggregate(lines, F.struct(F.lit(0).alias("m"), F.lit(0).alias("n")), step, lambda a: F.when(large(a), s + a["m"]))
-        return last if found is F else found.when(s + 8 < F.size("body"), last)
-
-    x = _hold(x, spans=F.transform("starts", lambda s, k: F.struct(k.cast("int").alias("k"), s.alias("s"), end(s).alias("e"))))
-    full = lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), F.xxhash64(F.slice("h", c["s"] + 1, c["e"] - c["s"])).alias("ch"))
-    return x.withColumn("chunks", F.transform(F.filter("spans", lambda c: c["e"].isNotNull()), full))
-
-
-def drop_repeated_chunks(docs, min_lines=2, min_chars=60):
-    """Documents with ``text`` less the repeated chunks, plus ``n_lines`` and ``n_removed`` (lines cut).
+    """Lines of a text without the characters that end them."""
+    return F.split(text, ENDS)
+
+
+def _starts(h):
+    """Places of the lines at which chunks start that fit in the text; ``h``: line hashes."""
+    rolled = _let(h, lambda v: F.transform(v, lambda x, i: F.shiftleft(x, 1).bitwiseXOR(F.get(v, i + 1))))
+    least = lambda r, i: (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) <= F.get(r, i + 1))
+    places = lambda r: F.when(F.size(r) >= CHUNK, F.sequence(F.lit(0), F.size(r) - CHUNK)).otherwise(F.array().cast("array<int>"))
+    return _let(rolled, lambda r: F.filter(places(r), lambda i: (i == 0) | least(r, i)))
+
+
+def _chunks(text):
+    """The hash of each chunk in the text, in order of starts."""
+    hashes = F.transform(_lines(text), lambda x: F.xxhash64(x))
+    return _let(hashes, lambda h: F.transform(_starts(h), lambda s: F.xxhash64(*[F.get(h, s + m) for m in range(CHUNK)])))
+
+
+def _marked(text, marks):
+    """For ``marks`` (structs k, ch, first, n in order of k) structs with the chunk's first line s, its text, and its neighbouring lines
+    outwards: CONTEXT of them for a first occurrence and at the ends of a run, those up to the next chunk within a run."""
+
+    def made(lines, starts):
+        def one(m, i):
+            s, before, behind = F.get(starts, m["k"]), F.get(marks, i - 1), F.get(marks, i + 1)
+            whole = lambda near, k: m["first"] | ~F.coalesce((near["k"] == k) & ~near["first"], F.lit(False))
+
+            left = F.when(whole(before, m["k"] - 1), F.least(F.lit(CONTEXT), s)).otherwise(0)
+            right = F.when(whole(behind, m["k"] + 1), F.lit(CONTEXT)).otherwise(F.greatest(F.lit(0), F.get(starts, m["k"] + 1) - s - CHUNK))
+            return F.struct(
+                m["ch"].alias("ch"), m["first"].alias("first"), m["n"].alias("n"), s.alias("s"), F.array_join(F.slice(lines, s + 1, CHUNK), "\n").alias("cur"),
+                F.reverse(F.slice(lines, s - left + 1, left)).alias("left"), F.slice(lines, s + 1 + CHUNK, right).alias("right"),
+            )
+
+        return F.transform(marks, one)
+
+    return _let(_lines(text), lambda lines: _let(_starts(F.transform(lines, lambda x: F.xxhash64(x))), lambda starts: made(lines, starts)))
+
+
+def _shared(mine, theirs):
+    """Equal lines at the head of two arrays, up to the last long one."""
+    same = F.zip_with(mine, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(mine)).cast("int")
+    return F.coalesce(F.array_max(F.transform(F.slice(mine, 1, n), lambda x, i: F.when(F.length(x) >= LONG_LINE, i + 1))), F.lit(0)).cast("int")
+
+
+def _marks(texts, folder):
+    """doc_id, r, k, ch, first, n: the occurrences of repeated chunks, written below ``folder``.
+
+    ``first`` marks the first occurrence by doc_id, r and place. Chunks that a sample of documents shows often are known to be repeated; they
+    are dealt by document, and only their first places are aggregated. So no chunk's occurrences meet in one task.
+    """
+    spark = texts.sparkSession
+    some = texts.where(F.pmod(F.xxhash64(F.lit(SAMPLE), "doc_id", "r"), F.lit(SAMPLE)) == 0)
+    often = some.select(F.explode(F.array_distinct(_chunks(F.col("text")))).alias("ch")).groupBy("ch").count().where(F.col("count") >= HOT_SEEN)
+    often = often.orderBy(F.desc("count"), "ch").limit(MAX_HOT).select("ch", F.lit(True).alias("hot"))
+    rows = texts.select("doc_id", "r", F.posexplode(_chunks(F.col("text"))).alias("k", "ch")).select("doc_id", F.shiftleft(F.col("r").cast("long"), 32).bitwiseOR(F.col("k").cast("long")).alias("rk"), "ch")
+    rows = rows.join(F.broadcast(often), "ch", "left").withColumn("salt", F.when(F.col("hot"), F.xxhash64("doc_id", "rk")))
+    group = W.partitionBy("ch", "salt").orderBy("doc_id", "rk")
+    rows = rows.withColumn("at", F.row_number().over(group)).withColumn("n", F.count("*").over(group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    rows.where("hot or n > 1").select("doc_id", "rk", "ch", F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("at") == 1).alias("first"), F.col("n").cast("int").alias("n")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    top = rows.where("hot").groupBy("ch").agg(F.min(F.struct("doc_id", "rk")).alias("least"), F.count("*").alias("all"))  # at most MAX_HOT rows
+    rows = rows.join(F.broadcast(top), "ch", "left")
+    first = F.when(F.col("hot"), F.struct("doc_id", "rk") == F.col("least")).otherwise(F.col("first"))
+    place = F.col("rk").bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    return rows.select("doc_id", F.shiftright("rk", 32).cast("int").alias("r"), place.alias("k"), "ch", first.alias("first"), F.coalesce("all", "n").cast("int").alias("n"))
+
+
+def drop_repeated_chunks(docs):
+    """Documents with ``text`` less the repeated chunks, plus ``n_removed``, the number of lines cut.
 
     Of each chunk the first occurrence, by doc_id and then place, stays. All documents stay, some with
-    empty text. Null and empty texts pass unchanged with 0 lines; rows alike in doc_id and text are one
-    document (both stay, with the same text); null ids come first in order. Other columns pass through;
-    columns named ``n_lines`` and ``n_removed`` are replaced. An empty table gives an empty result.
+    empty text. Null and empty texts pass unchanged with 0 lines cut; rows alike in doc_id and text are one
+    document (both stay, with the same text); null ids come first in order. Texts of fewer than CHUNK lines hold no chunk, nor do texts
+    without blanks and newlines. Other columns pass through; a column named ``n_removed`` is replaced. An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    d = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    lean = d.select("doc_id", "text", "_rid")
-    S.ensure_checkpoint_dir(docs.sparkSession)
-    rows = _chunks(lean.where("text <> ''"), min_lines, min_chars).select("_rid", F.explode("chunks").alias("c"))
-    rows = rows.select("_rid", F.col("c.k").alias("k"), F.col("c.ch").alias("ch")).checkpoint()
-    repeated = rows.groupBy("ch").count().where("count > 1").select("ch")
-    marked = rows.join(repeated, "ch").groupBy("_rid").agg(F.collect_set("k").alias("ks"))
-
-    found = _chunks(lean.join(marked, "_rid"), min_lines, min_chars)
-    found = found.select("_rid", "doc_id", "body", "starts", "ks", F.explode(F.filter("chunks", lambda c: F.array_contains("ks", c["k"]))).alias("c"))
-    part = lambda s, e: F.slice("body", s + 1, e - s)
-    k, s, e = F.col("c.k"), F.col("c.s"), F.col("c.e")
-    none = F.array().cast("array<string>")
-    prev = F.when(k > 0, part(F.get("starts", k - 1), s)).otherwise(none)
-    # up to the first start not inside the chunk, or the one after where the chunk ends at a start
-    j = k + F.size(F.filter(F.slice("starts", k + 1, e - s), lambda x: x < e))
-    meets = F.get("starts", j) == e
-    after = F.coalesce(F.when(meets, F.get("starts", j + 1)).otherwise(F.get("starts", j)), F.size("body"))
-    nxt = F.when(e < F.size("body"), part(e, after)).otherwise(none)
-    found = found.select(
-        F.col("c.ch").alias("ch"), F.struct("doc_id", "_rid", k.alias("k")).alias("key"), s.alias("s"), e.alias("e"), part(s, e).alias("cur"), prev.alias("prev"), nxt.alias("nxt"),
-        F.array_contains("ks", k - 1).alias("prev_too"), (F.coalesce(meets, F.lit(False)) & F.array_contains("ks", j)).alias("nxt_too"),
-    )
-    first = found.groupBy("ch").agg(F.min_by(F.struct("key", "cur", "prev", "nxt"), "key").alias("first"))
-    # neighbours that are repeated chunks themselves are cut on their own account
-    others = found.select("ch", "key", "s", "e", "cur", F.when(~F.col("prev_too"), F.col("prev")).otherwise(none).alias("prev"), F.when(~F.col("nxt_too"), F.col("nxt")).otherwise(none).alias("nxt"))
-    twins = others.join(first, "ch").where((F.col("key") != F.col("first.key")) & (F.col("cur") == F.col("first.cur")))
-
-    def shared(mine, theirs):
-        """Equal elements at the head of two arrays."""
-        same = F.zip_with(mine, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
-        return F.when(F.size(mine) == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(mine)).cast("int"))
-
-    def to_sentence(lines, n):
-        """Of ``n`` equal lines those up to the last sentence end among ``lines``; all where there is none."""
-        last = F.array_position(F.reverse(F.transform(lines, lambda x: F.rlike(x, F.lit("[.!?]$")))), True)
-        return F.when(F.coalesce(last, F.lit(0)) > 0, F.size(lines) - last).otherwise(n).cast("int")
-
-    # beyond a sentence end a few equal words may be chance: what is cut ends there
-    before, behind = shared(F.reverse("prev"), F.reverse("first.prev")), shared(F.col("nxt"), F.col("first.nxt"))
-    before = to_sentence(F.slice(F.reverse("prev"), 1, before + 1), before)
-    behind = to_sentence(F.concat(F.slice("cur", -1, 1), F.slice("nxt", 1, behind)), behind)
-    cuts = twins.select(F.col("key._rid").alias("_rid"), F.sequence(F.col("s") - before, F.col("e") + behind - 1).alias("cut"))
-    cuts = cuts.groupBy("_rid").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("_cut"))
-    x = d.join(cuts, "_rid", "left")
-    some = (F.col("text").isNotNull()) & (F.col("text") != "")
-    x = _hold(x, _pieces=F.when(some, _lines(F.col("text"))).otherwise(none))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), F.col("_cut"))
-    kept = F.array_join(F.transform(left, lambda i: F.get("_pieces", i)), "")
-    x = x.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept))
-    return x.select(*docs.columns, F.size("_pieces").alias("n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).alias("n_removed"))
+    spark = docs.sparkSession
+    S.ensure_checkpoint_dir(spark)
+    folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"chunks-{uuid.uuid4().hex}")
+    docs = docs.drop("n_removed")
+    own = docs.columns
+    r = F.hash("text")
+    marks = _marks(docs.where("text <> ''").select("doc_id", "text", r.alias("r")), folder)
+    # a document is known by doc_id and r; _at deals them
+    key = ["_at", "doc_id", "_r"]
+    by_doc = marks.groupBy(F.xxhash64("doc_id", "r").alias("_at"), F.col("doc_id").alias("_id"), F.col("r").alias("_r")).agg(F.sort_array(F.collect_list(F.struct("k", "ch", "first", "n"))).alias("_marks"))
+    d = docs.select(*own, r.alias("_r")).withColumn("_at", F.xxhash64("doc_id", "_r"))
+    # both joins read whole rows, so that they share one exchange of the texts
+    same = lambda other: (d["_at"] == other["_at"]) & d["doc_id"].eqNullSafe(other["_id"]) & (d["_r"] == other["_r"])
+    whole = F.size(F.array(F.xxhash64(*[d[c] for c in own]))) <= F.size(by_doc["_marks"])
+    found = d.join(by_doc, same(by_doc) & whole).select(d["_at"], d["doc_id"], d["_r"], F.explode(_marked(d["text"], by_doc["_marks"])).alias("c")).select(*key, "c.*")
+    dealt = F.ceil(F.col("n") / GROUP).cast("int")
+    salts = F.when(F.col("first"), F.sequence(F.lit(0), dealt - 1)).otherwise(F.array(F.pmod(F.col("_at"), dealt).cast("int")))
+    found = found.withColumn("salt", F.explode(salts))
+    kept = F.first(F.struct("cur", "left", "right", "first")).over(W.partitionBy("ch", "salt").orderBy(F.desc("first")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    twins = found.withColumn("kept", kept).where((F.col("first") == F.lit(False)) & F.col("kept.first") & (F.col("cur") == F.col("kept.cur")))
+    cuts = twins.select("_at", F.col("doc_id").alias("_id"), "_r", F.sequence(F.col("s") - _shared(F.col("left"), F.col("kept.left")), F.col("s") + CHUNK - 1 + _shared(F.col("right"), F.col("kept.right"))).alias("cut"))
+    cuts = cuts.groupBy("_at", "_id", "_r").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("_cut"))
+    x = d.join(cuts, same(cuts), "left")
+    pieces = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), cuts["_cut"]), lambda i: F.get(p, i))
+    left = F.array_join(_let(F.split(d["text"], AFTER_END), pieces), "")
+    text = F.when(cuts["_cut"].isNull(), d["text"]).otherwise(left)
+    return x.select(*[(text if c == "text" else d[c]).alias(c) for c in own], F.coalesce(F.size(cuts["_cut"]), F.lit(0)).alias("n_removed"))
 
 
 def op5_line_chunks(spark, sf_dir):

@@ -3,8 +3,8 @@
 A line ends at a newline, or at a blank after a word whose last character isn't one of the commonest last letters (so also
 after commas and sentence ends): some three words a line, and where depends on neighbouring characters alone. A hash rolls
 over the hashes of two neighbouring lines; a chunk starts where it is a local minimum, which depends on four lines only and
-so shifts with the text. A chunk is ``CHUNK`` lines long; chunks may overlap, and a passage needs one start with a chunk behind it. Chunks whose hash occurs more than once are compared byte by byte with their first
-occurrence, and equal neighbouring lines before and after it are cut with them.
+so shifts with the text. A chunk is ``CHUNK`` lines long; chunks may overlap, and a passage needs one start with a chunk behind it. Of chunks whose hash occurs more than once, the later ones are compared byte by
+byte with the first, stretch by stretch, and equal neighbouring lines are cut with them.
 """
 
 import os
@@ -24,8 +24,6 @@ CHUNK, CONTEXT = 8, 8
 LONG_LINE = 12
 #: Chunk hashes seen in at least HOT_SEEN of the documents sampled (one in SAMPLE, by hash) are dealt by document, at most MAX_HOT of them.
 SAMPLE, HOT_SEEN, MAX_HOT = 64, 24, 10_000
-#: Occurrences compared with one copy of the first.
-GROUP = 1000
 
 
 def _let(value, f):
@@ -47,60 +45,75 @@ def _starts(h):
 
 
 def _chunks(text):
-    """The hash of each chunk in the text, in order of starts."""
+    """Structs s, ch: the first line and the hash of each chunk in the text."""
     hashes = F.transform(_lines(text), lambda x: F.xxhash64(x))
-    return _let(hashes, lambda h: F.transform(_starts(h), lambda s: F.xxhash64(*[F.get(h, s + m) for m in range(CHUNK)])))
+    chunk = lambda h, s: F.struct(s.alias("s"), F.xxhash64(*[F.get(h, s + m) for m in range(CHUNK)]).alias("ch"))
+    return _let(hashes, lambda h: F.transform(_starts(h), lambda s: chunk(h, s)))
 
 
-def _marked(text, marks):
-    """For ``marks`` (structs k, ch, first, n in order of k) structs with the chunk's first line s, its text, and its neighbouring lines
-    outwards: CONTEXT of them for a first occurrence and at the ends of a run, those up to the next chunk within a run."""
+def _twins(texts, folder):
+    """doc_id, r, s, first_id, first_r, first_s: the later occurrences of repeated chunks and the first one of each, by doc_id, r and place.
 
-    def made(lines, starts):
-        def one(m, i):
-            s, before, behind = F.get(starts, m["k"]), F.get(marks, i - 1), F.get(marks, i + 1)
-            whole = lambda near, k: m["first"] | ~F.coalesce((near["k"] == k) & ~near["first"], F.lit(False))
+    Chunks that a sample of documents shows often are known to be repeated; they are dealt by document, and only their first
+    places are aggregated. So no chunk's occurrences meet in one task. Rows are written below ``folder``.
+    """
+    spark = texts.sparkSession
+    some = texts.where(F.pmod(F.xxhash64(F.lit(SAMPLE), "doc_id", "r"), F.lit(SAMPLE)) == 0)
+    often = some.select(F.explode(F.array_distinct(_chunks(F.col("text"))["ch"])).alias("ch")).groupBy("ch").count().where(F.col("count") >= HOT_SEEN)
+    often = often.orderBy(F.desc("count"), "ch").limit(MAX_HOT).select("ch", F.lit(True).alias("hot"))
+    rows = texts.select("doc_id", "r", F.explode(_chunks(F.col("text"))).alias("c"))
+    # r and the chunk's line in one number
+    rows = rows.select("doc_id", F.shiftleft(F.col("r").cast("long"), 32).bitwiseOR(F.col("c.s").cast("long")).alias("rs"), F.col("c.ch").alias("ch"))
+    rows = rows.join(F.broadcast(often), "ch", "left").withColumn("salt", F.when(F.col("hot"), F.xxhash64("doc_id", "rs")))
+    place = F.struct("doc_id", "rs")
+    first = F.first(place).over(W.partitionBy("ch", "salt").orderBy("doc_id", "rs").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("first", first).where(F.col("hot") | (F.col("first") != place))
+    rows.select("doc_id", "rs", F.when(F.col("hot"), F.col("ch")).alias("hot"), "first").write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    top = rows.where("hot is not null").groupBy("hot").agg(F.min(place).alias("least"))  # at most MAX_HOT rows
+    rows = rows.join(F.broadcast(top), "hot", "left").withColumn("first", F.coalesce("least", "first")).where(F.col("first") != place)
+    r, s = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    return rows.select("doc_id", r("rs").alias("r"), s("rs").alias("s"), F.col("first.doc_id").alias("first_id"), r("first.rs").alias("first_r"), s("first.rs").alias("first_s"))
 
-            left = F.when(whole(before, m["k"] - 1), F.least(F.lit(CONTEXT), s)).otherwise(0)
-            right = F.when(whole(behind, m["k"] + 1), F.lit(CONTEXT)).otherwise(F.greatest(F.lit(0), F.get(starts, m["k"] + 1) - s - CHUNK))
-            return F.struct(
-                m["ch"].alias("ch"), m["first"].alias("first"), m["n"].alias("n"), s.alias("s"), F.array_join(F.slice(lines, s + 1, CHUNK), "\n").alias("cur"),
-                F.reverse(F.slice(lines, s - left + 1, left)).alias("left"), F.slice(lines, s + 1 + CHUNK, right).alias("right"),
-            )
 
-        return F.transform(marks, one)
+def _stretches(twins):
+    """By document (_at, _id, _r), an array of stretches: first_id, first_r, delta, and the lines lo to hi that later chunks span without a gap of more than CONTEXT lines."""
+    pair = ["_at", "_id", "_r", "first_id", "first_r", "delta"]
+    x = twins.select(F.xxhash64("doc_id", "r").alias("_at"), F.col("doc_id").alias("_id"), F.col("r").alias("_r"), "first_id", "first_r", (F.col("s") - F.col("first_s")).alias("delta"), "s").repartition("_at")
+    order = W.partitionBy(*pair).orderBy("s")
+    apart = F.coalesce(F.col("s") - F.lag("s").over(order) > CHUNK + CONTEXT, F.lit(False)).cast("int")
+    x = x.withColumn("apart", apart).withColumn("part", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    x = x.groupBy(*pair, "part").agg(F.min("s").alias("lo"), (F.max("s") + CHUNK).alias("hi"))
+    return x.groupBy("_at", "_id", "_r").agg(F.collect_list(F.struct("first_id", "first_r", "delta", "lo", "hi")).alias("_stretches"))
 
-    return _let(_lines(text), lambda lines: _let(_starts(F.transform(lines, lambda x: F.xxhash64(x))), lambda starts: made(lines, starts)))
 
+def _with_lines(text, stretches):
+    """The stretches, each with the lines before it and its own and following lines."""
 
-def _shared(mine, theirs):
-    """Equal lines at the head of two arrays, up to the last long one."""
-    same = F.zip_with(mine, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(mine)).cast("int")
-    return F.coalesce(F.array_max(F.transform(F.slice(mine, 1, n), lambda x, i: F.when(F.length(x) >= LONG_LINE, i + 1))), F.lit(0)).cast("int")
+    def one(lines, x):
+        n = F.least(F.lit(CONTEXT), x["lo"], x["lo"] - x["delta"])
+        return F.struct(*[x[c].alias(c) for c in ("first_id", "first_r", "delta", "lo", "hi")], n.alias("before"), F.slice(lines, x["lo"] - n + 1, x["hi"] - x["lo"] + n + CONTEXT).alias("lines"))
 
+    return _let(_lines(text), lambda lines: F.transform(stretches, lambda x: one(lines, x)))
 
-def _marks(texts, folder):
-    """doc_id, r, k, ch, first, n: the occurrences of repeated chunks, written below ``folder``.
 
-    ``first`` marks the first occurrence by doc_id, r and place. Chunks that a sample of documents shows often are known to be repeated; they
-    are dealt by document, and only their first places are aggregated. So no chunk's occurrences meet in one task.
-    """
-    spark = texts.sparkSession
-    some = texts.where(F.pmod(F.xxhash64(F.lit(SAMPLE), "doc_id", "r"), F.lit(SAMPLE)) == 0)
-    often = some.select(F.explode(F.array_distinct(_chunks(F.col("text")))).alias("ch")).groupBy("ch").count().where(F.col("count") >= HOT_SEEN)
-    often = often.orderBy(F.desc("count"), "ch").limit(MAX_HOT).select("ch", F.lit(True).alias("hot"))
-    rows = texts.select("doc_id", "r", F.posexplode(_chunks(F.col("text"))).alias("k", "ch")).select("doc_id", F.shiftleft(F.col("r").cast("long"), 32).bitwiseOR(F.col("k").cast("long")).alias("rk"), "ch")
-    rows = rows.join(F.broadcast(often), "ch", "left").withColumn("salt", F.when(F.col("hot"), F.xxhash64("doc_id", "rk")))
-    group = W.partitionBy("ch", "salt").orderBy("doc_id", "rk")
-    rows = rows.withColumn("at", F.row_number().over(group)).withColumn("n", F.count("*").over(group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    rows.where("hot or n > 1").select("doc_id", "rk", "ch", F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("at") == 1).alias("first"), F.col("n").cast("int").alias("n")).write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    top = rows.where("hot").groupBy("ch").agg(F.min(F.struct("doc_id", "rk")).alias("least"), F.count("*").alias("all"))  # at most MAX_HOT rows
-    rows = rows.join(F.broadcast(top), "ch", "left")
-    first = F.when(F.col("hot"), F.struct("doc_id", "rk") == F.col("least")).otherwise(F.col("first"))
-    place = F.col("rk").bitwiseAND(F.lit(2**32 - 1)).cast("int")
-    return rows.select("doc_id", F.shiftright("rk", 32).cast("int").alias("r"), place.alias("k"), "ch", first.alias("first"), F.coalesce("all", "n").cast("int").alias("n"))
+def _equal_lines(text, col):
+    """Places of a stretch's lines (``col`` gives its columns) that are byte by byte those of ``text``, the first document's: all such lines of the
+    chunks and between them, and those that adjoin on either side, up to the last long one."""
+    lines, before, lo, hi = col("lines"), col("before"), col("lo"), col("hi")
+    theirs = _let(_lines(text), lambda x: F.slice(x, lo - before - col("delta") + 1, F.size(lines)))
+    same = F.zip_with(lines, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
+
+    def adjoining(flags, near):
+        n = F.coalesce(F.nullif(F.array_position(flags, False), F.lit(0)) - 1, F.size(flags)).cast("int")
+        return F.coalesce(F.array_max(F.transform(F.slice(near, 1, n), lambda x, i: F.when(F.length(x) >= LONG_LINE, i + 1))), F.lit(0))
+
+    def places(ok):
+        head, tail = lambda x: F.reverse(F.slice(x, 1, before)), lambda x: F.slice(x, before + hi - lo + 1, CONTEXT)
+        left, right = adjoining(head(ok), head(lines)), adjoining(tail(ok), tail(lines))
+        return F.filter(F.sequence(lo - left, hi + right - 1), lambda i: F.get(ok, i - lo + before))
+
+    return _let(same, places)
 
 
 def drop_repeated_chunks(docs):
@@ -111,33 +124,32 @@ def drop_repeated_chunks(docs):
     document (both stay, with the same text); null ids come first in order. Texts of fewer than CHUNK lines hold no chunk, nor do texts
     without blanks and newlines. Other columns pass through; a column named ``n_removed`` is replaced. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    S.ensure_checkpoint_dir(spark)
-    folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"chunks-{uuid.uuid4().hex}")
+    S.ensure_checkpoint_dir(docs.sparkSession)
+    folder = os.path.join(docs.sparkSession.sparkContext.getCheckpointDir(), f"chunks-{uuid.uuid4().hex}")
     docs = docs.drop("n_removed")
     own = docs.columns
-    r = F.hash("text")
-    marks = _marks(docs.where("text <> ''").select("doc_id", "text", r.alias("r")), folder)
-    # a document is known by doc_id and r; _at deals them
-    key = ["_at", "doc_id", "_r"]
-    by_doc = marks.groupBy(F.xxhash64("doc_id", "r").alias("_at"), F.col("doc_id").alias("_id"), F.col("r").alias("_r")).agg(F.sort_array(F.collect_list(F.struct("k", "ch", "first", "n"))).alias("_marks"))
-    d = docs.select(*own, r.alias("_r")).withColumn("_at", F.xxhash64("doc_id", "_r"))
-    # both joins read whole rows, so that they share one exchange of the texts
-    same = lambda other: (d["_at"] == other["_at"]) & d["doc_id"].eqNullSafe(other["_id"]) & (d["_r"] == other["_r"])
-    whole = F.size(F.array(F.xxhash64(*[d[c] for c in own]))) <= F.size(by_doc["_marks"])
-    found = d.join(by_doc, same(by_doc) & whole).select(d["_at"], d["doc_id"], d["_r"], F.explode(_marked(d["text"], by_doc["_marks"])).alias("c")).select(*key, "c.*")
-    dealt = F.ceil(F.col("n") / GROUP).cast("int")
-    salts = F.when(F.col("first"), F.sequence(F.lit(0), dealt - 1)).otherwise(F.array(F.pmod(F.col("_at"), dealt).cast("int")))
-    found = found.withColumn("salt", F.explode(salts))
-    kept = F.first(F.struct("cur", "left", "right", "first")).over(W.partitionBy("ch", "salt").orderBy(F.desc("first")).rowsBetween(W.unboundedPreceding, W.currentRow))
-    twins = found.withColumn("kept", kept).where((F.col("first") == F.lit(False)) & F.col("kept.first") & (F.col("cur") == F.col("kept.cur")))
-    cuts = twins.select("_at", F.col("doc_id").alias("_id"), "_r", F.sequence(F.col("s") - _shared(F.col("left"), F.col("kept.left")), F.col("s") + CHUNK - 1 + _shared(F.col("right"), F.col("kept.right"))).alias("cut"))
+    # a document is known by doc_id and a hash of its text; _at deals both
+    by_doc = _stretches(_twins(docs.where("text <> ''").select("doc_id", "text", F.hash("text").alias("r")), folder))
+    d = docs.select(*own, F.hash("text").alias("_r")).withColumn("_at", F.xxhash64("doc_id", "_r"))
+    d = d.alias("d")
+    column = lambda c: F.col(f"d.`{c}`")
+    # whole rows are read each time, so that all joins share one exchange of the texts
+    read = lambda n: F.size(F.array(F.xxhash64(*map(column, own)))) <= n
+
+    def joined(other, when=None, how="inner", at="_at", id_="_id", r="_r"):
+        other = other.alias("o")
+        same = (column("_at") == F.col(f"o.{at}")) & column("doc_id").eqNullSafe(F.col(f"o.{id_}")) & (column("_r") == F.col(f"o.{r}"))
+        return d.join(other, same if when is None else same & read(when), how)
+
+    later = joined(by_doc, F.size("o._stretches")).select("o._at", "o._id", "o._r", F.explode(_with_lines(column("text"), F.col("o._stretches"))).alias("c"))
+    later = later.select("_at", "_id", "_r", "c.*").withColumn("first_at", F.xxhash64("first_id", "first_r"))
+    both = joined(later, F.col("o.hi"), at="first_at", id_="first_id", r="first_r")
+    cuts = both.select("o._at", "o._id", "o._r", _equal_lines(column("text"), lambda c: F.col(f"o.{c}")).alias("cut"))
     cuts = cuts.groupBy("_at", "_id", "_r").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("_cut"))
-    x = d.join(cuts, same(cuts), "left")
-    pieces = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), cuts["_cut"]), lambda i: F.get(p, i))
-    left = F.array_join(_let(F.split(d["text"], AFTER_END), pieces), "")
-    text = F.when(cuts["_cut"].isNull(), d["text"]).otherwise(left)
-    return x.select(*[(text if c == "text" else d[c]).alias(c) for c in own], F.coalesce(F.size(cuts["_cut"]), F.lit(0)).alias("n_removed"))
+    pieces = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("o._cut")), lambda i: F.get(p, i))
+    left = F.array_join(_let(F.split(column("text"), AFTER_END), pieces), "")
+    text = F.when(F.col("o._cut").isNull(), column("text")).otherwise(left)
+    return joined(cuts, how="left").select(*[(text if c == "text" else column(c)).alias(c) for c in own], F.coalesce(F.size("o._cut"), F.lit(0)).alias("n_removed"))
 
 
 def op5_line_chunks(spark, sf_dir):

@@ -77,43 +77,50 @@ def _twins(texts, folder):
 
 
 def _stretches(twins):
-    """By document (_at, _id, _r), an array of stretches: first_id, first_r, delta, and the lines lo to hi that later chunks span without a gap of more than CONTEXT lines."""
-    pair = ["_at", "_id", "_r", "first_id", "first_r", "delta"]
+    """By document (_at, _id, _r), an array of structs first_id, first_r, parts: by first document, the stretches delta, lo, hi of lines
+    that later chunks span without a gap of more than CONTEXT lines."""
+    pair = ["_at", "_id", "_r", "first_id", "first_r"]
     x = twins.select(F.xxhash64("doc_id", "r").alias("_at"), F.col("doc_id").alias("_id"), F.col("r").alias("_r"), "first_id", "first_r", (F.col("s") - F.col("first_s")).alias("delta"), "s").repartition("_at")
-    order = W.partitionBy(*pair).orderBy("s")
+    order = W.partitionBy(*pair, "delta").orderBy("s")
     apart = F.coalesce(F.col("s") - F.lag("s").over(order) > CHUNK + CONTEXT, F.lit(False)).cast("int")
     x = x.withColumn("apart", apart).withColumn("part", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    x = x.groupBy(*pair, "part").agg(F.min("s").alias("lo"), (F.max("s") + CHUNK).alias("hi"))
-    return x.groupBy("_at", "_id", "_r").agg(F.collect_list(F.struct("first_id", "first_r", "delta", "lo", "hi")).alias("_stretches"))
+    x = x.groupBy(*pair, "delta", "part").agg(F.min("s").alias("lo"), (F.max("s") + CHUNK).alias("hi"))
+    x = x.groupBy(*pair).agg(F.collect_list(F.struct("delta", "lo", "hi")).alias("parts"))
+    return x.groupBy("_at", "_id", "_r").agg(F.collect_list(F.struct("first_id", "first_r", "parts")).alias("_stretches"))
 
 
 def _with_lines(text, stretches):
-    """The stretches, each with the lines before it and its own and following lines."""
+    """The structs, each stretch with its lines, ``before`` lines ahead of them and CONTEXT following ones."""
 
     def one(lines, x):
         n = F.least(F.lit(CONTEXT), x["lo"], x["lo"] - x["delta"])
-        return F.struct(*[x[c].alias(c) for c in ("first_id", "first_r", "delta", "lo", "hi")], n.alias("before"), F.slice(lines, x["lo"] - n + 1, x["hi"] - x["lo"] + n + CONTEXT).alias("lines"))
+        return F.struct(x["delta"].alias("delta"), x["lo"].alias("lo"), x["hi"].alias("hi"), n.alias("before"), F.slice(lines, x["lo"] - n + 1, x["hi"] - x["lo"] + n + CONTEXT).alias("lines"))
 
-    return _let(_lines(text), lambda lines: F.transform(stretches, lambda x: one(lines, x)))
+    def of_first(lines, p):
+        return F.struct(p["first_id"].alias("first_id"), p["first_r"].alias("first_r"), F.transform(p["parts"], lambda x: one(lines, x)).alias("parts"))
 
+    return _let(_lines(text), lambda lines: F.transform(stretches, lambda p: of_first(lines, p)))
 
-def _equal_lines(text, col):
-    """Places of a stretch's lines (``col`` gives its columns) that are byte by byte those of ``text``, the first document's: all such lines of the
+
+def _equal_lines(text, parts):
+    """Places of the stretches' lines that are byte by byte those of ``text``, the first document's: all such lines of the
     chunks and between them, and those that adjoin on either side, up to the last long one."""
-    lines, before, lo, hi = col("lines"), col("before"), col("lo"), col("hi")
-    theirs = _let(_lines(text), lambda x: F.slice(x, lo - before - col("delta") + 1, F.size(lines)))
-    same = F.zip_with(lines, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
 
     def adjoining(flags, near):
         n = F.coalesce(F.nullif(F.array_position(flags, False), F.lit(0)) - 1, F.size(flags)).cast("int")
         return F.coalesce(F.array_max(F.transform(F.slice(near, 1, n), lambda x, i: F.when(F.length(x) >= LONG_LINE, i + 1))), F.lit(0))
 
-    def places(ok):
-        head, tail = lambda x: F.reverse(F.slice(x, 1, before)), lambda x: F.slice(x, before + hi - lo + 1, CONTEXT)
-        left, right = adjoining(head(ok), head(lines)), adjoining(tail(ok), tail(lines))
+    def places(x, ok):
+        lo, hi, before = x["lo"], x["hi"], x["before"]
+        head, tail = lambda a: F.reverse(F.slice(a, 1, before)), lambda a: F.slice(a, before + hi - lo + 1, CONTEXT)
+        left, right = adjoining(head(ok), head(x["lines"])), adjoining(tail(ok), tail(x["lines"]))
         return F.filter(F.sequence(lo - left, hi + right - 1), lambda i: F.get(ok, i - lo + before))
 
-    return _let(same, places)
+    def part(lines, x):
+        theirs = F.slice(lines, x["lo"] - x["before"] - x["delta"] + 1, F.size(x["lines"]))
+        return _let(F.zip_with(x["lines"], theirs, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda ok: places(x, ok))
+
+    return _let(_lines(text), lambda lines: F.flatten(F.transform(parts, lambda x: part(lines, x))))
 
 
 def drop_repeated_chunks(docs):
@@ -143,8 +150,8 @@ def drop_repeated_chunks(docs):
 
     later = joined(by_doc, F.size("o._stretches")).select("o._at", "o._id", "o._r", F.explode(_with_lines(column("text"), F.col("o._stretches"))).alias("c"))
     later = later.select("_at", "_id", "_r", "c.*").withColumn("first_at", F.xxhash64("first_id", "first_r"))
-    both = joined(later, F.col("o.hi"), at="first_at", id_="first_id", r="first_r")
-    cuts = both.select("o._at", "o._id", "o._r", _equal_lines(column("text"), lambda c: F.col(f"o.{c}")).alias("cut"))
+    both = joined(later, F.size("o.parts"), at="first_at", id_="first_id", r="first_r")
+    cuts = both.select("o._at", "o._id", "o._r", _equal_lines(column("text"), F.col("o.parts")).alias("cut"))
     cuts = cuts.groupBy("_at", "_id", "_r").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("_cut"))
     pieces = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("o._cut")), lambda i: F.get(p, i))
     left = F.array_join(_let(F.split(column("text"), AFTER_END), pieces), "")

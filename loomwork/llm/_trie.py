@@ -7,6 +7,9 @@ many words share is worked on once. Pieces that end at a node are found by rolli
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Words of more bytes are worked on by themselves, from one end to the other, with the same results.
+LONG = 256
+STRETCH = 1 << 18
 
 
 class Pieces:
@@ -125,6 +128,53 @@ class Trie:
         return out
 
 
+def _ends(word, pieces):
+    """(end, length, id) of the pieces found in a long word, as arrays in order of ends, for one stretch of the word after another."""
+    inverse = np.uint64(pow(int(BASE), -1, 2**64))
+    for lo in range(0, len(word), STRETCH):
+        begin = max(0, lo - pieces.max_len)
+        b = np.frombuffer(word[begin : lo + STRETCH], np.uint8).astype(np.uint64) + np.uint64(1)
+        n = len(b)
+        power, back = np.cumprod(np.full(n, BASE)), np.cumprod(np.full(n, inverse))
+        hashes = np.r_[np.uint64(0), power * np.cumsum(b * back)]  # of all beginnings
+        ends, lengths, ids = [], [], []
+        for k in pieces.tables:
+            if k <= n:
+                hit, found = pieces.find(k, hashes[k:] - hashes[:-k] * pieces.powers[k])
+                new = hit + k + begin > lo
+                ends.append(hit[new] + k + begin)
+                lengths.append(np.full(int(new.sum()), k))
+                ids.append(found[new])
+        ends, lengths, ids = (np.concatenate(x) for x in (ends, lengths, ids))
+        order = np.argsort(ends, kind="stable")
+        yield ends[order], lengths[order], ids[order]
+
+
+def forward_long(word, pieces, logp):
+    """Log of the sum over all segmentations of one long word, for each model; only the last places are held."""
+    n, at = pieces.max_len + 1, 0
+    ring = [np.zeros(logp.shape[1])] * n
+    for ends, lengths, ids in _ends(word, pieces):
+        for end, k, chance in zip(ends.tolist(), lengths.tolist(), logp[ids], strict=True):
+            new = ring[(end - k) % n] + chance
+            ring[end % n] = np.logaddexp(ring[end % n], new) if end == at else new  # each place is the end of a byte at least
+            at = end
+    return ring[at % n]
+
+
+def best_long(word, pieces, logp):
+    """Pieces in one long word's best segmentation; ties take fewer pieces."""
+    n, at = pieces.max_len + 1, 0
+    score, count = [0.0] * n, [0] * n
+    for ends, lengths, ids in _ends(word, pieces):
+        for end, k, s in zip(ends.tolist(), lengths.tolist(), logp[ids].tolist(), strict=True):
+            new = (score[(end - k) % n] + s, -count[(end - k) % n] - 1)
+            if end != at or new > (score[end % n], -count[end % n]):
+                score[end % n], count[end % n] = new[0], -new[1]
+            at = end
+    return count[at % n]
+
+
 def vocabulary(path, max_bytes=None):
     """Pieces of a public sentencepiece model in rank order, as bytes, without controls and byte placeholders."""
     import sentencepiece

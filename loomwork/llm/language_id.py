@@ -33,12 +33,13 @@ class Languages:
     def predict(self, texts, pieces):
         """(language or 'und', posterior) of each text."""
         split = [words(t) for t in texts]
-        distinct = sorted({w.encode() for ws in split for w in ws})
+        distinct = sorted({w.encode() for ws in split for w in ws}, key=lambda w: (len(w) > _trie.LONG, w))
+        long = [w for w in distinct if len(w) > _trie.LONG]
         lang, score = ["und"] * len(split), np.zeros(len(split))
         if not distinct or not self.names:
             return lang, score
-        trie = _trie.Trie(distinct, pieces)
-        value = trie.at_ends(trie.forward(self.logp))
+        trie = _trie.Trie(distinct[: len(distinct) - len(long)], pieces)
+        value = np.array([*(trie.at_ends(trie.forward(self.logp)) if trie.n_words else ()), *(_trie.forward_long(w, pieces, self.logp) for w in long)])
         at = {w.decode(): i for i, w in enumerate(distinct)}
         for i, ws in enumerate(split):
             if ws:
@@ -52,7 +53,7 @@ class Languages:
 def fit(docs, vocabulary=VOCABULARY, max_rows=8_000, max_bytes=12, rounds=3, smoothing=0.05):
     """Languages learned from ``docs(doc_id, text, lang)``; rows with null id, text or lang don't count.
 
-    At most ``max_rows`` documents, those of least hash of the id, with their whole texts. Expected uses of
+    At most ``max_rows`` documents, those of least hash of the id, with their whole texts; words of over LONG bytes are scored, but not learned from. Expected uses of
     pieces are summed on the executors in millionths as integers, so reruns agree; the driver reads a row
     for each piece used and language. Pieces are those of the vocabulary up to ``max_bytes`` and single bytes.
     """
@@ -78,6 +79,8 @@ def fit(docs, vocabulary=VOCABULARY, max_rows=8_000, max_bytes=12, rounds=3, smo
                 weight = {}
                 for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
                     for w in words(text):
+                        if len(w.encode()) > _trie.LONG:
+                            continue
                         weight.setdefault(w.encode(), np.zeros(len(names)))[column[lang]] += 1
                 distinct = sorted(weight)
                 if distinct:

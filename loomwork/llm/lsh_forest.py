@@ -3,11 +3,10 @@
 A document's shingle set gets a sketch of 64 MinHash values of one byte. Tree t of the forest sorts all
 sketches rotated to begin at value 4 t: documents whose rotated sketches share a long prefix stand next to
 each other. Candidates of a document are its neighbours in each order that share at least ``min_depth``
-values; how deep the shared prefix goes follows the region (dense regions are compared at greater depth,
-as their neighbours share more). Sorting is a range partitioning over all trees at once, so a hot region is
-split like any other, and the ends of neighbouring partitions are compared in a step of their own.
-Further passes compare whole regions where they held more neighbours than the first looked at, and leave
-out what is linked already. Candidates are confirmed on the full shingle sets.
+values; how deep the shared prefix goes follows the region (in dense regions neighbours share more). Sorting is a range
+partitioning over all trees at once, so a hot region is split like any other, and the ends of neighbouring partitions are
+compared in a step of their own. A second pass goes back to depth ``min_depth`` where a region held more neighbours than the
+first looked at: it compares the whole region, in tiles, and leaves out what is linked already. Candidates are confirmed on the full shingle sets.
 """
 
 import numpy as np
@@ -115,43 +114,82 @@ def _neighbours(tree, rows, ids, group, width, min_depth, least, side=None):
     return np.concatenate(a_all), np.concatenate(b_all), np.concatenate(same_all), more
 
 
-def _dense(tree, rows, ids, group, min_depth, least, block, best):
-    """Candidates within dense regions: rows that share ``min_depth`` values with their neighbour, in stretches of ``block``.
+def _within(rows, group, block, least, best):
+    """Candidates in a tile of a region: among its rows, or between its two blocks. Places (i, j), and those of a stretch handed on as (places, whether they ask).
 
-    All sketches of a stretch are compared; rows of its largest group don't ask, as the other side does. A row with at
-    most ``best`` candidates of other groups proposes them all: (a, b, agreeing values). Where there are more, the stretch is
-    handed on: a list of (ids, whether they ask, groups), to be compared on full sets in one task.
+    Rows of the largest group don't ask within a block, nor do those of the larger block between two, as the other side does. A row with at
+    most ``best`` candidates of other groups proposes them all; the others are handed on, to be compared on full sets.
     """
-    joined = (tree[1:] == tree[:-1]) & (_depth(rows[1:], rows[:-1]) >= min_depth)
-    starts = np.flatnonzero(np.r_[True, ~joined])
-    a_all, b_all, same_all, heavy = [], [], [], []
-    for lo, hi in zip(starts, np.r_[starts[1:], len(ids)], strict=True):
-        for at in range(lo, hi, block):
-            end = min(at + block, hi)
-            kinds, size = np.unique(group[at:end], return_counts=True)
-            if len(kinds) < 2:
-                continue
-            asks = at + np.flatnonzero(group[at:end] != kinds[size.argmax()])
-            involved, asking = np.zeros(end - at, bool), np.zeros(end - at, bool)
-            for k in range(0, len(asks), 256):
-                q = asks[k : k + 256]
-                same = np.zeros((len(q), end - at), np.int16)
-                for v in range(VALUES):
-                    same += rows[q, v][:, None] == rows[at:end, v][None, :]
-                fit = (same >= least) & (group[q][:, None] != group[at:end][None, :])
-                many = fit.sum(1) > best
-                involved |= fit[many].any(0)
-                asking[q[many] - at] = True
-                i, j = np.nonzero(fit & ~many[:, None])
-                x, y = ids[q[i]], ids[at + j]
-                a_all.append(np.minimum(x, y))
-                b_all.append(np.maximum(x, y))
-                same_all.append(same[i, j])
-            if asking.any():
-                m = np.flatnonzero(involved | asking)
-                heavy.append((ids[at + m], asking[m], group[at + m]))
+    n = len(rows)
+    if block[0] != block[-1]:
+        here = block == (block[0] if 2 * (block == block[0]).sum() <= n else block[-1])
+        asks, others = np.flatnonzero(here), np.flatnonzero(~here)
+    else:
+        kinds, size = np.unique(group, return_counts=True)
+        asks, others = np.flatnonzero(group != kinds[size.argmax()]), np.arange(n)
+    i_all, j_all, involved, asking = [], [], np.zeros(n, bool), np.zeros(n, bool)
+    for k in range(0, len(asks), 256):
+        q = asks[k : k + 256]
+        same = np.zeros((len(q), len(others)), np.int16)
+        for v in range(VALUES):
+            same += rows[q, v][:, None] == rows[others, v][None, :]
+        fit = (same >= least) & (group[q][:, None] != group[others][None, :])
+        many = fit.sum(1) > best
+        involved[others] |= fit[many].any(0)
+        asking[q[many]] = True
+        i, j = np.nonzero(fit & ~many[:, None])
+        i_all.append(q[i])
+        j_all.append(others[j])
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate([none, *z]) for z in (a_all, b_all, same_all)), heavy
+    return np.concatenate([none, *i_all]), np.concatenate([none, *j_all]), np.flatnonzero(involved | asking), asking
+
+
+def _tiles(least, best):
+    """Over rows sorted by tile: candidate pairs (kind 0) and rows of tiles to be compared on full sets (kind 1: id, whether it asks, group, tile)."""
+
+    def one(pdf):
+        ids, group = pdf["id"].to_numpy(), pdf["comp"].to_numpy()
+        rows = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), VALUES)
+        i, j, heavy, asking = _within(rows, group, pdf["block"].to_numpy(), least, best)
+        x, y = ids[i], ids[j]
+        pairs = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+        yield pairs.assign(kind=0, comp=0, tile=None)
+        if asking.any():
+            yield pd.DataFrame({"kind": 1, "a": ids[heavy], "b": asking[heavy].astype(np.int64), "comp": group[heavy], "tile": pdf["tile"].iloc[0]})
+
+    def tiles(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["tile"] == pdf["tile"].iloc[-1]  # may go on in the next batch
+            held = pdf[last]
+            for _, g in pdf[~last].groupby("tile", sort=False):
+                yield from one(g.sort_values("block", kind="stable"))
+        if held is not None and len(held):
+            yield from one(held.sort_values("block", kind="stable"))
+
+    return tiles
+
+
+def _regions(rows, trees, min_depth, least, block_rows, block_shingles, best):
+    """Compares all pairs of ``rows(id, comp, sketch, n_shingles)`` of different groups that share ``min_depth`` values in some order.
+
+    Such rows form a region, known by tree and prefix. A region is dealt into blocks by rows and by shingles, and each
+    pair of its blocks is a tile, compared by itself; so no pair of a region goes uncompared, whatever its size, and memory is bounded.
+    Returns pairs and rows to be compared on full sets (tile, id, asks, comp).
+    """
+    step = VALUES // trees
+    forest = rows.select("id", "comp", "sketch", "n_shingles", F.explode(F.array(*[F.concat(F.lit(bytes([t])), F.substring(F.concat("sketch", "sketch"), 1 + t * step, min_depth)) for t in range(trees)])).alias("region"))
+    sizes = forest.groupBy("region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    sizes = sizes.select("region", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks")).checkpoint()
+    dealt = forest.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.concat("region", F.encode(F.format_string(",%d,%d", F.least("block", "other"), F.greatest("block", "other")), "utf-8"))
+    dealt = dealt.select("id", "comp", "sketch", "block", tile.alias("tile")).repartition("tile").sortWithinPartitions("tile")
+    found = dealt.mapInPandas(_tiles(least, best), "kind int, a long, b long, comp long, tile binary").checkpoint()
+    return found.where("kind = 0").select("a", "b").distinct(), found.where("kind = 1").selectExpr("tile", "a as id", "b as asks", "comp")
 
 
 def _frame(kind, **columns):
@@ -164,11 +202,11 @@ def _arrays(pdf):
     return pdf["tree"].to_numpy(), rows, pdf["id"].to_numpy(), pdf["comp"].to_numpy()
 
 
-def _scan(width, min_depth, least, block, best):
-    """Over a sorted partition: pairs (kind 0), rows to look at again (1), the partition's first and last rows (2), stretches handed on (3)."""
+def _scan(width, min_depth, least):
+    """Over a sorted partition: pairs (kind 0), rows to look at again (1), the partition's first and last rows (2)."""
 
     def scan(batches):
-        part, held, place, stretch = TaskContext.get().partitionId(), None, 0, 0
+        part, held, place = TaskContext.get().partitionId(), None, 0
         overlap = 4 * width
         for pdf in batches:
             if not len(pdf):
@@ -176,13 +214,7 @@ def _scan(width, min_depth, least, block, best):
             first = held is None
             pdf = pdf if first else pd.concat([held, pdf], ignore_index=True)
             tree, rows, ids, comp = _arrays(pdf)
-            if block:
-                ((a, b, same), heavy), more = _dense(tree, rows, ids, comp, min_depth, least, block, best), ids[:0]
-                for m, asking, groups in heavy:
-                    stretch += 1
-                    yield _frame(3, a=m, b=asking.astype(np.int64), same=groups, part=np.full(len(m), part), place=np.full(len(m), stretch))
-            else:
-                a, b, same, more = _neighbours(tree, rows, ids, comp, width, min_depth, least)
+            a, b, same, more = _neighbours(tree, rows, ids, comp, width, min_depth, least)
             pairs = pd.DataFrame({"a": a, "b": b, "same": same}).drop_duplicates(["a", "b"])
             yield _frame(0, a=pairs["a"].to_numpy(), b=pairs["b"].to_numpy(), same=pairs["same"].to_numpy().astype(np.int64))
             yield _frame(1, a=more)
@@ -206,19 +238,19 @@ def _seams(width, min_depth, least):
     return seams
 
 
-def _candidates(sketches, trees, width, min_depth, least, block=0, best=4):
-    """One pass of the forest over ``sketches(id, comp, sketch)``: (pairs, rows to look at again, stretches handed on)."""
+def _candidates(sketches, trees, width, min_depth, least):
+    """The first pass of the forest over ``sketches(id, comp, sketch)``: (pairs, rows to look at again, that is with more than ``width`` neighbours or at a partition's end)."""
     spark = sketches.sparkSession
     step = VALUES // trees
     forest = sketches.select("id", "comp", F.posexplode(F.array(*[F.concat(F.substring("sketch", 1 + t * step, VALUES), F.substring("sketch", 1, t * step)) for t in range(trees)])).alias("tree", "row"))
     n = S.partitions(spark)
     sorted_rows = forest.repartitionByRange(n, "tree", "row", "id").sortWithinPartitions("tree", "row", "id")
-    found = sorted_rows.mapInPandas(_scan(width, min_depth, least, block, best), "kind int, a long, b long, same long, tree long, part long, place long, row binary").checkpoint()
+    found = sorted_rows.mapInPandas(_scan(width, min_depth, least), "kind int, a long, b long, same long, tree long, part long, place long, row binary").checkpoint()
     # a fixed number of rows for each partition, whatever the input
     seams = found.where("kind = 2").groupBy("kind").applyInPandas(_seams(width, min_depth, least), "a long, b long, same long")
-    pairs = found.where("kind = 0").select("a", "b", "same").union(seams)
-    heavy = found.where("kind = 3").selectExpr("part", "place", "a as id", "b as asks", "same as comp")
-    return pairs.select("a", "b").distinct(), found.where("kind = 1").select(F.col("a").alias("id")).distinct(), heavy
+    pairs = found.where("kind = 0").select("a", "b").union(seams.select("a", "b"))
+    again = found.where("kind > 0").select(F.col("a").alias("id"))  # also those at the partitions' ends
+    return pairs.distinct(), again.distinct()
 
 
 def _hashed(batches):
@@ -295,7 +327,7 @@ def _compare(share):
     return compare
 
 
-def near_duplicates(docs, share=85, trees=16, width=1, again=8, block=2048, min_depth=4):
+def near_duplicates(docs, share=85, trees=16, width=1, again=8, block_rows=4096, block_shingles=4_000_000, min_depth=4):
     """doc_id, n_shingles, component_id, kept of every row of ``docs(doc_id, text)``.
 
     Words are lower-cased A-Z and split at ASCII blanks; a set holds the distinct five-word shingles, or the
@@ -303,12 +335,13 @@ def near_duplicates(docs, share=85, trees=16, width=1, again=8, block=2048, min_
     its smallest doc_id, so copies cost nothing further. ``share`` is the least percentage
     intersection / union of a link. Candidates come from ``trees`` orders; a pair at 85 % shares
     ``min_depth`` = 4 values in a given order with probability 0.52, in any of 16 with 1 - 8e-6.
-    ``width`` neighbours on each side are compared in the first pass. Documents whose region went on beyond
-    them are compared anew with all of their region, in stretches of ``block`` rows: one with at most ``again``
-    candidates of other components in a stretch proposes them; for the others the stretch's full sets are compared in one task,
-    which writes only links that join something. So no candidate of a stretch goes untested and rows written don't grow with the
-    square of a group. A sketch agreeing in fewer values than 4 standard deviations below ``share`` is no candidate (3 in
-    100,000 at ``share``).
+    ``width`` neighbours on each side, however deep the prefix they share, are compared in the first pass. Documents whose region went on
+    beyond them are compared anew with all of their region outside their component: a region of more than ``block_rows`` rows or
+    ``block_shingles`` shingles is dealt into blocks, and every pair of blocks is compared by itself. A document with at most ``again``
+    candidates in a tile proposes them; the others' full sets are compared in the tile, which writes only links that join something.
+    So no pair of a region goes untested, memory is bounded and rows written don't grow with the
+    square of a group. A sketch agreeing in fewer values than 5 standard deviations below ``share`` is no candidate (one in a
+    million at ``share``).
 
     Null, empty or blank texts have no shingles and link with nothing (component_id = doc_id). Null ids link
     with nothing: component_id null, kept false. Rows that share a doc_id are one node. Repeated rows
@@ -316,23 +349,23 @@ def near_duplicates(docs, share=85, trees=16, width=1, again=8, block=2048, min_
     """
     S.ensure_checkpoint_dir(docs.sparkSession)
     p = share / 100
-    least = max(1, int(VALUES * (p - 4 * (p * (1 - p) / VALUES) ** 0.5)))
+    least = max(1, int(VALUES * (p - 5 * (p * (1 - p) / VALUES) ** 0.5)))
     sign = signed(docs).checkpoint()
     nodes = sign.where("digest is not null and doc_id is not null")
     reps = nodes.groupBy("digest").agg(F.min("doc_id").alias("id"))
     # of a set, the row of the smallest id stands for all; equal sets have equal sketches
-    only = nodes.select(F.col("doc_id").alias("id"), "digest", "sketch").join(reps, ["id", "digest"]).dropDuplicates(["id"]).select("id", "sketch").checkpoint()
-    pairs, region, _ = _candidates(only.withColumn("comp", F.col("id")), trees, width, min_depth, least)
+    only = nodes.select(F.col("doc_id").alias("id"), "digest", "sketch", "n_shingles").join(reps, ["id", "digest"]).dropDuplicates(["id"]).select("id", "sketch", "n_shingles").checkpoint()
+    pairs, region = _candidates(only.withColumn("comp", F.col("id")), trees, width, min_depth, least)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
     pairs = pairs.checkpoint()
     links = confirmed(pairs, texts, share).checkpoint()
     comp = S.components(links)
 
-    region = only.join(region, "id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sketch")
-    more, _, heavy = _candidates(region, trees, 4 * width, min_depth, least, block, again)
+    region = only.join(region, "id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sketch", "n_shingles").checkpoint()
+    more, heavy = _regions(region, trees, min_depth, least, block_rows, block_shingles, again)
     new = confirmed(more.join(pairs, ["a", "b"], "left_anti"), texts, share)
     sets = texts.join(heavy.select("id").distinct(), "id").dropDuplicates(["id"]).mapInPandas(_hashed, "id long, shingles binary")
-    joined = heavy.join(sets, "id").groupBy("part", "place").applyInPandas(_compare(share), "a long, b long")
+    joined = heavy.join(sets, "id").groupBy("tile").applyInPandas(_compare(share), "a long, b long")
     comp = S.components(links.union(new).union(joined))
     named = reps.join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sign.join(named, "digest", "left")

@@ -26,10 +26,12 @@ def unigram_scores(pieces, byte_share=1e-6):
 def count_texts(texts, pieces, logp):
     """(pre-tokens, pieces of the best segmentation, log forward score) of each text."""
     split = [t.encode().split() if t else [] for t in texts]
-    distinct = sorted(set().union(*split)) if split else []
-    trie = _trie.Trie([BEGIN + w for w in distinct], pieces)
-    pieces_of = trie.at_ends(trie.best(logp)[1], np.int64)
-    score_of = trie.at_ends(trie.forward(logp[:, None]))[:, 0] if distinct else np.zeros(0)
+    distinct = sorted(set().union(*split), key=lambda w: (len(w) > _trie.LONG, w)) if split else []
+    long = [BEGIN + w for w in distinct if len(w) > _trie.LONG]
+    trie = _trie.Trie([BEGIN + w for w in distinct[: len(distinct) - len(long)]], pieces)
+    pieces_of = np.r_[trie.at_ends(trie.best(logp)[1], np.int64), np.array([_trie.best_long(w, pieces, logp) for w in long], np.int64)]
+    score_of = trie.at_ends(trie.forward(logp[:, None]))[:, 0] if trie.n_words else np.zeros(0)
+    score_of = np.r_[score_of, [_trie.forward_long(w, pieces, logp[:, None])[0] for w in long]]
     at = {w: i for i, w in enumerate(distinct)}
     out = np.zeros((len(split), 2), np.int64), np.zeros(len(split))
     for i, ws in enumerate(split):
@@ -43,7 +45,8 @@ def count_texts(texts, pieces, logp):
 def token_counts(docs, vocabulary=VOCABULARY, batch_chars=4_000_000):
     """doc_id, n_pretokens, n_tokens and forward_score of every row of ``docs(doc_id, text)``.
 
-    Tries hold the words of about ``batch_chars`` characters of text, which bounds memory. Null, empty and blank texts
+    Tries hold the words of about ``batch_chars`` characters of text, which bounds memory; a word of over LONG bytes is worked on alone, in time
+    proportional to its length. Null, empty and blank texts
     have 0 pre-tokens, 0 tokens and score 0. Repeated rows are counted each; other columns aren't read; an empty table gives an empty result.
     """
     given = docs.sparkSession.sparkContext.broadcast(_trie.vocabulary(vocabulary))

@@ -22,10 +22,13 @@ def n_words(text):
 
 
 def ensure_checkpoint_dir(spark):
-    """Use the cluster's shared checkpoint folder; only where none is named (tests) take a temporary one."""
+    """Use the cluster's shared checkpoint folder; only a local session without one (tests) takes a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwork-checkpoint-"))
 
 
 def crc_mod(doc_id, m):

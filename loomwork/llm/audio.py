@@ -181,7 +181,7 @@ def audio_columns(docs, keep_media=True):
 
 
 def op10_audio(spark, sf_dir):
-    return audio_columns(S.table(spark, sf_dir, "documents"), keep_media=False)
+    return audio_columns(S.table(spark, sf_dir, "documents"), keep_media=True)
 
 
 QUERIES = {"op10_audio": op10_audio}

@@ -30,7 +30,10 @@ def unit_vectors(table):
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     v = table.where("vec_id is not null and embedding is not null").select("vec_id", x.alias("x")).where(fine).withColumn("norm", norm)
     v = v.where((F.col("norm") > 0) & (F.col("norm") < float("inf"))).select("vec_id", F.transform("x", lambda c: c / F.col("norm")).alias("x"))
-    return v.dropDuplicates(["vec_id"])
+    v = v.dropDuplicates(["vec_id"])
+    # vectors of the commonest length; of equally common ones the shorter
+    usual = v.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n")
+    return v.join(F.broadcast(usual), F.size("x") == F.col("n"), "left_semi")
 
 
 def centres(vectors, n, seed=7):
@@ -250,7 +253,8 @@ def near_vectors(table, threshold=0.95, overlap=3, seed=7):
 
     Vectors that are null, zero or hold null or non-finite components link with nothing: n_links 0, component_id = vec_id,
     kept true. Null ids: n_links 0, component_id null, kept false. Equal vectors are searched as one and counted as
-    many. Rows that repeat a vec_id are one vector and give equal rows; vectors must have one length. Other
+    many. Rows that repeat a vec_id are one vector and give equal rows. Vectors of another length than the commonest (of equally
+    common ones the shorter) link with nothing either. Other
     columns, labels among them, aren't read. An empty table gives an empty result.
     """
     spark = table.sparkSession

@@ -1,7 +1,7 @@
 """Operator 5: removal of repeated line chunks with content-defined boundaries (native).
 
 A line ends at a newline, or at a blank after a word whose last character isn't one of the commonest last letters (so also
-after commas and sentence ends): some three words a line, and where depends on neighbouring characters alone. A hash rolls
+after commas and sentence ends) or before a word with certain first letters: some two to four words a line, and where depends on neighbouring characters alone. A hash rolls
 over the hashes of two neighbouring lines; a chunk starts where it is a local minimum, which depends on four lines only and
 so shifts with the text. A chunk is ``CHUNK`` lines long; chunks may overlap, and a passage needs one start with a chunk behind it. Of chunks whose hash occurs more than once, the later ones are compared byte by
 byte with the first, stretch by stretch, and equal neighbouring lines are cut with them.
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from . import _shared as S
 
-#: What ends a line: one character, a newline, or a blank after a character that isn't a common last letter.
-UNCOMMON = "[^entrhdsai]"
-ENDS = rf"\n| (?<={UNCOMMON} )"
-AFTER_END = rf"(?<=\n|{UNCOMMON} )"
-CHUNK, CONTEXT = 8, 8
+#: What ends a line: one character, a newline, or a blank after a character that isn't a common last letter or before some letters.
+UNCOMMON, BEGINS = "[^entrhdsailoyg]", "[bdklp]"
+ENDS = rf"\n| (?:(?<={UNCOMMON} )|(?={BEGINS}))"
+AFTER_END = rf"(?<=\n|{UNCOMMON} )|(?<= )(?={BEGINS})"
+CHUNK, CONTEXT = 6, 8
 #: Equal neighbouring lines count up to the last one of so many characters; shorter ones may be equal by chance.
 LONG_LINE = 12
 #: Chunk hashes seen in at least HOT_SEEN of the documents sampled (one in SAMPLE, by hash) are dealt by document, at most MAX_HOT of them.
@@ -137,9 +137,9 @@ def drop_repeated_chunks(docs):
     own = docs.columns
     # a document is known by doc_id and a hash of its text; _at deals both
     by_doc = _stretches(_twins(docs.where("text <> ''").select("doc_id", "text", F.hash("text").alias("r")), folder))
-    d = docs.select(*own, F.hash("text").alias("_r")).withColumn("_at", F.xxhash64("doc_id", "_r"))
-    d = d.alias("d")
-    column = lambda c: F.col(f"d.`{c}`")
+    names = {c: f"own{k}" for k, c in enumerate(own)}  # so that no column's name clashes
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.hash("text").alias("_r")).withColumn("_at", F.xxhash64(names["doc_id"], "_r")).alias("d")
+    column = lambda c: F.col(f"d.{names.get(c, c)}")
     # whole rows are read each time, so that all joins share one exchange of the texts
     read = lambda n: F.size(F.array(F.xxhash64(*map(column, own)))) <= n
 

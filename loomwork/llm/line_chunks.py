@@ -139,13 +139,13 @@ def drop_repeated_chunks(docs):
     by_doc = _stretches(_twins(docs.where("text <> ''").select("doc_id", "text", F.hash("text").alias("r")), folder))
     names = {c: f"own{k}" for k, c in enumerate(own)}  # so that no column's name clashes
     d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.hash("text").alias("_r")).withColumn("_at", F.xxhash64(names["doc_id"], "_r")).alias("d")
-    column = lambda c: F.col(f"d.{names.get(c, c)}")
+    column = lambda c: F.col(f"d.{names[c]}")
     # whole rows are read each time, so that all joins share one exchange of the texts
     read = lambda n: F.size(F.array(F.xxhash64(*map(column, own)))) <= n
 
     def joined(other, when=None, how="inner", at="_at", id_="_id", r="_r"):
         other = other.alias("o")
-        same = (column("_at") == F.col(f"o.{at}")) & column("doc_id").eqNullSafe(F.col(f"o.{id_}")) & (column("_r") == F.col(f"o.{r}"))
+        same = (F.col("d._at") == F.col(f"o.{at}")) & column("doc_id").eqNullSafe(F.col(f"o.{id_}")) & (F.col("d._r") == F.col(f"o.{r}"))
         return d.join(other, same if when is None else same & read(when), how)
 
     later = joined(by_doc, F.size("o._stretches")).select("o._at", "o._id", "o._r", F.explode(_with_lines(column("text"), F.col("o._stretches"))).alias("c"))

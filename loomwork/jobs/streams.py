@@ -12,10 +12,13 @@ from loomwork.streaming import work
 
 
 def scratch(spark):
-    """A new folder under the shared checkpoint folder; a temporary one only where none is named."""
+    """A new folder under the shared checkpoint folder; a local session without one takes a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-streams-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwork-streams-"))
     return os.path.join(sc.getCheckpointDir(), f"stream-{uuid.uuid4().hex}")
 
 
@@ -23,7 +26,7 @@ def _events(spark, sf):
     """``events`` split over files by id, as a stream would find them."""
     at = scratch(spark)
     e = table(spark, sf, "events")
-    e.repartitionByRange(4, "event_id").write.parquet(f"{at}/in")
+    e.repartitionByRange(max(4, e.rdd.getNumPartitions()), "event_id").write.parquet(f"{at}/in")
     return at, lg.stream(spark, f"{at}/in", e.schema, files_per_trigger=1)
 
 
@@ -32,12 +35,16 @@ def _done(query):
 
 
 def x01_file_changes(spark, sf):
-    at, _ = _events(spark, sf)
-    # all files in one micro-batch: removals first, so a path changed in it stays
-    whole = lg.stream(spark, f"{at}/in", table(spark, sf, "events").schema)
-    changes = whole.select(F.col("user_id").alias("path"), F.when(F.col("event_type") == "signup", "removed").otherwise("modified").alias("change"), F.col("event_id").alias("version"))
-    _done(lg.apply_changes(changes, f"{at}/out", f"{at}/checkpoint"))
-    return spark.read.parquet(f"{at}/out/0")
+    """File changes over two micro-batches: the table after the second. A path removed in the second and not changed in it is gone."""
+    at = scratch(spark)
+    e = table(spark, sf, "events")
+    late = F.col("event_id") % 4 == 3
+    for part in (e.where(~late), e.where(late)):
+        part.write.mode("append").parquet(f"{at}/in")
+        # the stream goes on at its checkpoint: one batch for each run
+        changes = lg.stream(spark, f"{at}/in", e.schema).select(F.col("user_id").alias("path"), F.when(F.col("event_type") == "signup", "removed").otherwise("modified").alias("change"), F.col("event_id").alias("version"))
+        _done(lg.apply_changes(changes, f"{at}/out", f"{at}/checkpoint"))
+    return spark.read.parquet(f"{at}/out/1")
 
 
 def x02_log_sink(spark, sf):
@@ -52,10 +59,12 @@ def x03_log_tail(spark, sf):
 
 
 def x04_backfill(spark, sf):
-    """A backfill that stops after its first files and resumes from its checkpoint reads every row once."""
-    at, e = _events(spark, sf)
-    rows = e.select(F.col("event_id").alias("id"), "ts", "user_id")
-    for _ in range(2):
+    """A backfill over half of the files, ended, and resumed from its checkpoint when the others have come: every row is read once."""
+    at = scratch(spark)
+    e = table(spark, sf, "events")
+    for part in (e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0")):
+        part.write.mode("append").parquet(f"{at}/in")
+        rows = lg.stream(spark, f"{at}/in", e.schema, files_per_trigger=1).select(F.col("event_id").alias("id"), "ts", "user_id")
         _done(lg.sink(rows, f"{at}/out", f"{at}/checkpoint"))
     return spark.read.parquet(f"{at}/out").groupBy("user_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
@@ -102,7 +111,8 @@ def k01_snapshot(spark, sf):
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "xsk" and n[1:3].isdigit()}
 ORACLES = {
-    "x01_file_changes": "SELECT user_id AS path, max(event_id) AS version FROM events WHERE event_type <> 'signup' GROUP BY 1",
+    "x01_file_changes": """WITH c AS (SELECT user_id AS path, event_id % 4 = 3 AS late, max(event_id) FILTER (event_type <> 'signup') AS version FROM events GROUP BY 1, 2)
+      SELECT path, version FROM c WHERE version IS NOT NULL AND (late OR path NOT IN (SELECT path FROM c WHERE late))""",
     "x02_log_sink": "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
     "x03_log_tail": "SELECT event_id AS id, event_type FROM events ORDER BY event_id DESC LIMIT 200",
     "x04_backfill": "SELECT user_id, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1",

@@ -13,16 +13,14 @@ def stream(spark, path, schema, files_per_trigger=None, glob=None):
     return r.parquet(path)
 
 
-def sink(rows, out, checkpoint, key="id"):
-    """Appends micro-batches to the Parquet table ``out``; of a batch's rows with one key the last by ``ts`` stays. Resumes at ``checkpoint``.
+def sink(rows, out, checkpoint):
+    """Appends every row of each micro-batch to the Parquet table ``out``, rows with equal ids too. Resumes at ``checkpoint``.
 
     A batch is written to a folder of its own number, so a batch that is run again after a failure replaces itself.
     """
 
     def write(batch, number):
-        order = F.struct("ts", *[c for c in batch.columns if c != "ts"])
-        last = batch.groupBy(key).agg(F.max(order).alias("_last")).select("_last.*").select(*batch.columns)
-        last.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -10,7 +10,10 @@ from loomwork.functions import text as tx
 from loomwork.sources.tables import table
 
 #: Extensions of the languages.
-LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "tsx", "jsx": "tsx", "js": "javascript", "rs": "rust", "go": "go", "java": "java", "c": "c", "h": "cpp", "cpp": "cpp", "hpp": "cpp"}
+LANGUAGES = {
+    "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "jsx": "tsx",
+    "rs": "rust", "go": "go", "java": "java", "c": "c", "h": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp",
+}
 
 
 def _docs(spark, sf):

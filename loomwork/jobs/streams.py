@@ -1,25 +1,19 @@
 """Stream queries (X01-X08, S07, S08, K01, K11): events run as streams to their end, results read back as tables."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from loomwork.operators.lineage import checkpoint_dir
 from loomwork.sources.tables import table
 from loomwork.streaming import logs as lg
 from loomwork.streaming import work
 
 
 def scratch(spark):
-    """A new folder under the shared checkpoint folder; a local session without one takes a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwork-streams-"))
-    return os.path.join(sc.getCheckpointDir(), f"stream-{uuid.uuid4().hex}")
+    """A new folder under the shared checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
 
 
 def _events(spark, sf):

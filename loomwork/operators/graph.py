@@ -3,6 +3,8 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwork.operators.lineage import cut
+
 
 def neighbours(nodes, edges, kind, incoming, distinct=False):
     """The other ends of edges of ``kind`` for ``nodes(id, name)``: id, name, other. One row per edge unless ``distinct``."""
@@ -13,31 +15,35 @@ def neighbours(nodes, edges, kind, incoming, distinct=False):
 
 
 def within_hops(edges, seeds, hops):
-    """Nodes at 1 to ``hops`` steps of ``seeds(id)``, any kind and direction, seeds excluded: id, hops (the least)."""
+    """Nodes at 1 to ``hops`` steps of ``seeds(id)``, any kind and direction, seeds excluded: id, hops (the least). Each frontier cuts its lineage; ends early when one is empty."""
     both = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
-    both = both.union(both.select("b", "a")).distinct()
-    seen = seeds.select("id").distinct().withColumn("hops", F.lit(0))
-    front = seen
+    both = both.union(both.select("b", "a"))
+    front = cut(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
+    seen = front
     for k in range(1, hops + 1):
-        step = both.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        front = step.join(seen, "id", "left_anti").withColumn("hops", F.lit(k))
+        step = both.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        front = cut(step.join(seen, "id", "left_anti").withColumn("hops", F.lit(k)))
         seen = seen.unionByName(front)
+        if front.isEmpty():
+            break
     return seen.where("hops > 0")
 
 
-def shortest_paths(edges, sources, targets, max_hops, kinds=None):
+def shortest_paths(edges, sources, targets, max_hops=None, kinds=None):
     """Shortest directed paths: source, target, hops, path ('>'-joined; the first by text among equals).
 
-    A frontier keeps one path for each source and node; ``kinds`` filters edges; source = target is a path of 0 hops.
+    The search goes backwards from the targets, which should be the fewer side, and keeps for each target and node the rest of its
+    path; it ends when no new node is found, or after ``max_hops``. ``kinds`` filters edges; source = target is a path of 0 hops.
     """
-    e = (edges.where(F.col("kind").isin(list(kinds))) if kinds else edges).select(F.col("src_id").alias("at"), F.col("dst_id").alias("next")).distinct()
-    front = sources.select(F.col("id").alias("source"), F.col("id").alias("at"), F.col("id").alias("path"), F.lit(0).alias("hops"))
-    seen = front
-    for k in range(1, max_hops + 1):
-        step = front.join(e, "at").groupBy("source", F.col("next").alias("at")).agg(F.min(F.concat_ws(">", "path", "next")).alias("path"))
-        front = step.join(seen, ["source", "at"], "left_anti").withColumn("hops", F.lit(k)).select("source", "at", "path", "hops")
+    e = (edges.where(F.col("kind").isin(list(kinds))) if kinds else edges).select(F.col("src_id").alias("before"), F.col("dst_id").alias("at")).distinct()
+    front = cut(targets.select(F.col("id").alias("target"), F.col("id").alias("at"), F.col("id").alias("path"), F.lit(0).alias("hops")).distinct())
+    seen, k = front, 0
+    while not front.isEmpty() and (max_hops is None or k < max_hops):
+        k += 1
+        step = front.join(e, "at").groupBy("target", F.col("before").alias("at")).agg(F.min(F.concat_ws(">", "before", "path")).alias("path"))
+        front = cut(step.join(seen, ["target", "at"], "left_anti").withColumn("hops", F.lit(k)).select("target", "at", "path", "hops"))
         seen = seen.unionByName(front)
-    return seen.join(targets.select(F.col("id").alias("at")), "at").select("source", F.col("at").alias("target"), "hops", "path")
+    return seen.join(sources.select(F.col("id").alias("at")).distinct(), "at").select(F.col("at").alias("source"), "target", "hops", "path")
 
 
 def first_by(rows, key, *order):

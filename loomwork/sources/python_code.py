@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from loomwork.operators import graph
 
 #: Builtins whose plain calls aren't of interest.
-BUILTINS = {"abs", "all", "any", "bool", "bytes", "callable", "chr", "dict", "dir", "enumerate", "filter", "float", "format", "getattr", "hasattr", "hash", "id", "input", "int", "isinstance", "issubclass", "iter", "len", "list", "map", "max", "min", "next", "object", "open", "ord", "print", "property", "range", "repr", "reversed", "round", "set", "setattr", "sorted", "str", "sum", "super", "tuple", "type", "vars", "zip"}
+BUILTINS = {
+    "abs", "all", "any", "bin", "bool", "breakpoint", "bytearray", "bytes", "callable", "chr", "classmethod", "compile", "complex", "delattr", "dict",
+    "dir", "divmod", "enumerate", "eval", "exec", "filter", "float", "format", "frozenset", "getattr", "globals", "hasattr", "hash", "help", "hex",
+    "id", "input", "int", "isinstance", "issubclass", "iter", "len", "list", "locals", "map", "max", "memoryview", "min", "next", "object",
+    "oct", "open", "ord", "pow", "print", "property", "range", "repr", "reversed", "round", "set", "setattr", "slice", "sorted", "staticmethod",
+    "str", "sum", "super", "tuple", "type", "vars", "zip",
+}
 SCHEMA = "path string, kind string, id string, name string, owner string, start_line int, end_line int, detail string, names array<string>, level int"
 
 

@@ -1,5 +1,6 @@
 """Rules over commands and hosts."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DECISIONS = ("allow", "prompt", "forbidden")
@@ -45,3 +46,21 @@ def longest_prefix(paths, roots):
     parts = F.split("path", "/")
     up = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("root"))
     return up.join(roots.select("root").distinct(), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+
+
+#: A command line of words only: plain words, quoted words without substitutions, and the four operators.
+_PIECE = r"""'[^']*'|"[^"$`\\]*"|[^\s'"<>$`(){}&|;\\#]++"""
+_OPERATOR = r"&&|\|\||;|\|"
+
+
+def word_commands(lines, key, line):
+    """(key, n, words): the n-th command of each line, its words joined by line ends. Lines that hold anything but words, quoted words and operators between commands give no row; nor do null and empty lines."""
+    word = f"(?:{_PIECE})++"
+    command = rf"{word}(?:[ \t]+{word})*"
+    whole = rf"^[ \t]*{command}(?:[ \t]*(?:{_OPERATOR})[ \t]*{command})*[ \t]*$"
+    parts = F.regexp_extract_all(line, F.lit(rf"((?:{word}|{_OPERATOR}))"), 1)
+    x = lines.where(F.col(line).rlike(whole)).select(key, F.posexplode(parts).alias("_at", "_w"))
+    x = x.withColumn("_op", F.col("_w").rlike(rf"^(?:{_OPERATOR})$"))
+    n = F.coalesce(F.sum(F.col("_op").cast("int")).over(W.partitionBy(key).orderBy("_at")), F.lit(0)).cast("int")
+    words = x.withColumn("n", n).where("not _op").groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("_at", "_w"))).alias("_l"))
+    return words.select(key, "n", F.array_join(F.transform("_l", lambda p: F.regexp_replace(p["_w"], r"""'([^']*)'|"([^"]*)\"""", "$1$2")), "\n").alias("words"))

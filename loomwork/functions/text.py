@@ -23,6 +23,14 @@ def tokens(text):
     return F.ceil(F.octet_length(text) / 4)
 
 
+def left_bytes(text, n):
+    """The longest beginning of whole characters that takes at most ``n`` bytes."""
+    whole = F.octet_length(text) <= n
+    raw = F.substring(F.encode(text, "utf-8"), 1, n)
+    back = [F.substring(raw, 1, n - k).cast("string") for k in range(4)]
+    return F.when(whole, text).otherwise(F.coalesce(*[F.when(F.is_valid_utf8(b), b) for b in back]))
+
+
 def truncate_text(text, budget, unit="chars"):
     """Cuts the middle out of a text of more than ``budget`` bytes, at character borders, and names what is gone.
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "store", "graph", "conversations", "scalars", "streams")
+MODULES = ("retrieval", "store", "graph", "conversations", "scalars", "streams", "code")
 
 
 def _gather(name):

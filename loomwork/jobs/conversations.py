@@ -45,6 +45,29 @@ def j12_remove_counterpart(spark, sf):
     return x.join(first, "conv_id", "left").where("turn > 0 and not (turn <=> gone)").select("conv_id", "turn", "role")
 
 
+def _calls(spark, sf):
+    """Order lines as items: calls and outputs of an order, with ids of their own."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (F.col("l_suppkey") % 6 + 1).cast("int"))
+    x = table(spark, sf, "lineitem")
+    return x.select(F.col("l_orderkey").alias("conv_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("ord"), kind.alias("kind"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_partkey") % 2).alias("call_id")).distinct()
+
+
+def j10_outputs_by_id(spark, sf):
+    return cv.add_missing_outputs(_calls(spark, sf), "conv_id", "ord", "kind", "call_id")
+
+
+def j11_orphans_by_id(spark, sf):
+    return cv.drop_orphan_outputs(_calls(spark, sf), "conv_id", "kind", "call_id")
+
+
+def j12_counterparts_by_id(spark, sf):
+    """The first item of every order goes, and with it its other end."""
+    x = _calls(spark, sf)
+    first = x.groupBy("conv_id").agg(F.min_by(F.struct("ord", "kind", "call_id"), "ord").alias("i")).select("conv_id", "i.*")
+    left = x.join(first.select("conv_id", "ord"), ["conv_id", "ord"], "left_anti")
+    return cv.drop_counterparts(left, first, "conv_id", "ord", "kind", "call_id")
+
+
 def j13_latest_names(spark, sf):
     """The latest user message of the conversations asked for."""
     asked = table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id")).distinct()
@@ -125,10 +148,19 @@ def a12_usage_kinds(spark, sf):
     return table(spark, sf, "pages").groupBy(kind.alias("kind"), (F.length("html") > 1500).alias("large")).agg(F.count("*").alias("n")).where("kind is not null")
 
 
+KINDS = ("function_call", "function_output", "custom_call", "custom_output", "shell_call", "message")
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "sjwxa" and n[1:3].isdigit()}
 C = "conversations"
 TOK = "CAST(ceil(strlen(text) / 4) AS BIGINT)"
+CALLS = f"""c AS (SELECT DISTINCT l_orderkey AS conv_id, l_linenumber * 1000000 + l_partkey AS ord, ({list(KINDS)})[l_suppkey % 6 + 1] AS kind, CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 2 END AS call_id FROM lineitem),
+  q AS (SELECT *, CASE kind WHEN 'function_call' THEN 'function_output' WHEN 'shell_call' THEN 'function_output' WHEN 'custom_call' THEN 'custom_output' END AS want FROM c)"""
 ORACLES = {
+    "j10_outputs_by_id": f"""WITH {CALLS} SELECT conv_id, ord::DOUBLE AS ord, kind, call_id, false AS aborted FROM c UNION ALL SELECT conv_id, ord + 0.5::DOUBLE, want, call_id, true FROM q
+      WHERE want IS NOT NULL AND call_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = q.conv_id AND c.kind = q.want AND c.call_id = q.call_id)""",
+    "j11_orphans_by_id": f"WITH {CALLS} SELECT conv_id, ord, kind, call_id FROM c WHERE kind NOT LIKE '%output' OR EXISTS (SELECT 1 FROM q WHERE q.conv_id = c.conv_id AND q.want = c.kind AND q.call_id = c.call_id)",
+    "j12_counterparts_by_id": f"""WITH {CALLS}, f AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY ord) = 1), l AS (SELECT * FROM q ANTI JOIN f USING (conv_id, ord)),
+      m AS (SELECT l.conv_id, l.ord, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.kind = 'shell_call', l.ord) AS rn FROM l JOIN f ON f.conv_id = l.conv_id AND f.call_id = l.call_id AND (f.want = l.kind OR l.want = f.kind))
+      SELECT conv_id, ord, kind, call_id FROM l ANTI JOIN (SELECT * FROM m WHERE rn = 1) USING (conv_id, ord)""",
     "s11_head_summary": f"WITH h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {C}) SELECT conv_id, min(CASE WHEN role = 'user' THEN turn END) AS first_user, arg_min(text, CASE WHEN role = 'user' THEN turn END) AS preview, count(*) AS items FROM h WHERE rn <= 10 GROUP BY 1",
     "s12_last_entry": f"SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM {C} GROUP BY 1",
     "s13_history_lookup": f"SELECT conv_id, turn, role, n FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {C}) WHERE rn = 4",

@@ -44,9 +44,9 @@ def s09_parse_name(spark, sf):
 
 
 def s15_line_slice(spark, sf):
-    """Lines 2 to 6 of every text, numbered, each cut to 500 characters."""
+    """Lines 2 to 6 of every text, numbered, each cut to 500 bytes at a character's end."""
     x = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where("n between 1 and 5")
-    return x.select("doc_id", F.concat(F.lit("L"), (F.col("n") + 1).cast("string"), F.lit(": "), F.substring(F.regexp_replace("line", "\r$", ""), 1, 500)).alias("line"))
+    return x.select("doc_id", F.concat(F.lit("L"), (F.col("n") + 1).cast("string"), F.lit(": "), tx.left_bytes(F.regexp_replace("line", "\r$", ""), 500)).alias("line"))
 
 
 def s16_indent_block(spark, sf):
@@ -266,6 +266,27 @@ def n05_collapse_repeats(spark, sf):
     return table(spark, sf, "events").withColumn("last", F.lag("event_type").over(w)).where("not (last <=> event_type)").select("event_id", "event_type")
 
 
+def n06_word_commands(spark, sf):
+    """Command lines as lists of words, one row for each command of a list; lines with redirections, substitutions, groups or open quotes give none.
+
+    The lines are made of events: words, quoted words, ``&&``, ``||``, ``;`` and ``|`` between commands.
+    """
+    e = table(spark, sf, "events")
+    k = F.col("event_id")
+    end = F.element_at(F.array(*[F.lit(x) for x in (" && ls -l", " | head -n 3", "; echo 'a && b'", " > out", " $(pwd)", " || echo \"x y\"", " 'open")]), (k % 7 + 1).cast("int"))
+    line = F.concat(F.lit("cat "), "event_type", F.lit("/"), F.col("user_id").cast("string"), end)
+    return policy.word_commands(e.select("event_id", line.alias("line")), "event_id", "line")
+
+
+def n08_path_by_id(spark, sf):
+    """Path by key where that path exists, else the found one that holds the id, with whether the index is to be repaired."""
+    there = _paths(spark, sf).where("p_partkey % 9 <> 0")
+    stored = _paths(spark, sf).where("p_partkey % 4 <> 0").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")).alias("stored"))
+    good = stored.join(there.select(F.col("path").alias("stored")).distinct(), "stored", "left_semi").select("p_partkey", F.col("stored").alias("good"))
+    x = _paths(spark, sf).select("p_partkey").join(good, "p_partkey", "left").join(there, "p_partkey", "left")
+    return x.select("p_partkey", F.coalesce("good", "path").alias("path"), (F.col("good").isNull() & F.col("path").isNotNull()).alias("repaired"))
+
+
 def n07_pair_events(spark, sf):
     """A view and the next purchase of its user as begin and end of one item."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, W.unboundedFollowing)
@@ -285,7 +306,7 @@ MATCH_SQL = f"{RULES_SQL}, c AS (SELECT p_partkey AS id, string_split(p_name, '
 ORACLES = {
     "s03_language": f"{P}, l(ext, language) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in LANGUAGES.items())}) SELECT p_partkey, language FROM p LEFT JOIN l ON ext = regexp_extract(path, '\\.([^./]+)$', 1)",
     "s09_parse_name": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, lpad(CAST(event_id AS VARCHAR), 8, '0') AS key FROM events",
-    "s15_line_slice": "SELECT doc_id, 'L' || n || ': ' || left(regexp_replace(line, '\\r$', ''), 500) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE n BETWEEN 2 AND 6",
+    "s15_line_slice": "SELECT doc_id, 'L' || n || ': ' || list_max(list_transform(range(0, 501), lambda c: CASE WHEN strlen(left(l, c)) <= 500 THEN left(l, c) ELSE '' END)) AS line FROM (SELECT doc_id, n, regexp_replace(line, '\\r$', '') AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE n BETWEEN 2 AND 6)",
     "s17_regex_search": "SELECT doc_id FROM documents WHERE regexp_matches(text, '\\d{3}-\\d{4}') ORDER BY doc_id DESC LIMIT 100",
     "e04_element_id": f"{P} SELECT p_partkey, 'file_' || left(sha256('file/' || path), 16) AS id FROM p",
     "e05_module_path": f"{P} SELECT p_partkey, regexp_replace(replace(regexp_replace(regexp_replace(path, '^src/', ''), '\\.(py|ts|js|rs|go|java)$', ''), '/', '.'), '\\.__init__$', '') AS module FROM p",
@@ -319,5 +340,9 @@ ORACLES = {
     "n03_commit_rows": "SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type AS subject FROM events WHERE event_id % 11 <> 0",
     "n04_default_first": "SELECT p_brand, row_number() OVER (ORDER BY p_brand <> 'Brand#9', p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)",
     "n05_collapse_repeats": "SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM events) WHERE l IS DISTINCT FROM event_type",
+    "n06_word_commands": """SELECT event_id, n, array_to_string(words, chr(10)) AS words FROM (SELECT event_id, ['cat', event_type || '/' || user_id] AS a, CASE event_id % 7 WHEN 0 THEN ['ls', '-l'] WHEN 1 THEN ['head', '-n', '3'] WHEN 2 THEN ['echo', 'a && b'] ELSE ['echo', 'x y'] END AS b FROM events WHERE event_id % 7 IN (0, 1, 2, 5)),
+      LATERAL (VALUES (0, a), (1, b)) v(n, words)""",
+    "n08_path_by_id": f"""{P}, t AS (SELECT * FROM p WHERE p_partkey % 9 <> 0), s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'old/' || path ELSE path END AS stored FROM p WHERE p_partkey % 4 <> 0), g AS (SELECT * FROM s WHERE stored IN (SELECT path FROM t))
+      SELECT p.p_partkey, coalesce(g.stored, t.path) AS path, g.stored IS NULL AND t.path IS NOT NULL AS repaired FROM p LEFT JOIN g USING (p_partkey) LEFT JOIN t USING (p_partkey)""",
     "n07_pair_events": "SELECT event_id, \"end\" FROM (SELECT event_id, event_type, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS \"end\" FROM events) WHERE event_type = 'view'",
 }

@@ -19,6 +19,46 @@ def drop_orphan_replies(items, key, ord_, role):
     return items.withColumn("_last", F.lag(role).over(w)).where((F.col(role) != "assistant") | F.col("_last").eqNullSafe("user")).drop("_last")
 
 
+#: The kinds of calls, each with the kind of its output.
+OUTPUTS = {"function_call": "function_output", "shell_call": "function_output", "custom_call": "custom_output"}
+
+
+def _answer(kind):
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in OUTPUTS.items() for x in kv]), F.col(kind))
+
+
+def add_missing_outputs(items, key, ord_, kind, call_id):
+    """(key, ord, kind, call_id, aborted) with an "aborted" output at ord + 0.5 for calls whose id has no output of their kind. Null ids need none.
+
+    Repeated calls of an id without output get one each.
+    """
+    rows = items.select(key, F.col(ord_).cast("double").alias(ord_), kind, call_id)
+    calls = rows.withColumn("_want", _answer(kind)).where(F.col("_want").isNotNull() & F.col(call_id).isNotNull())
+    have = rows.select(key, F.col(kind).alias("_want"), call_id).where(F.col("_want").isin(*set(OUTPUTS.values()))).distinct()
+    made = calls.join(have, [key, "_want", call_id], "left_anti").select(key, (F.col(ord_) + 0.5).alias(ord_), F.col("_want").alias(kind), call_id, F.lit(True).alias("aborted"))
+    return rows.withColumn("aborted", F.lit(False)).unionByName(made)
+
+
+def drop_orphan_outputs(items, key, kind, call_id):
+    """Less outputs without a call of their id that gives their kind; outputs with a null id go too."""
+    calls = items.select(key, _answer(kind).alias("_k"), call_id).where("_k is not null").distinct().withColumn("_called", F.lit(True))
+    x = items.withColumn("_k", F.when(F.col(kind).isin(*set(OUTPUTS.values())), F.col(kind))).join(calls, [key, "_k", call_id], "left")
+    return x.where(F.col("_k").isNull() | F.col("_called")).select(*items.columns)
+
+
+def drop_counterparts(items, removed, key, ord_, kind, call_id):
+    """Less, for each ``removed`` call or output, the first item by ``ord`` that is its other end: an output of a call, a call of an output (function calls before shell calls).
+
+    Several removed items with the same counterpart take one item.
+    """
+    wanted = removed.select(key, call_id, F.explode(F.array_compact(F.array(
+        F.coalesce(_answer(kind), F.when(F.col(kind) == "function_output", F.lit("calls")), F.when(F.col(kind) == "custom_output", F.lit("custom_call"))),
+    ))).alias("_end")).distinct()
+    ends = items.withColumn("_end", F.when(F.col(kind).isin("function_call", "shell_call"), F.lit("calls")).otherwise(F.col(kind)))
+    gone = ends.join(wanted, [key, call_id, "_end"]).groupBy(key, call_id, "_end").agg(F.min(F.struct((F.col(kind) == "shell_call").alias("late"), F.col(ord_).alias("at"))).alias("_gone"))
+    return items.join(gone.select(key, F.col("_gone.at").alias(ord_)).distinct(), [key, ord_], "left_anti").select(*items.columns)
+
+
 def select_newest(items, key, ord_, size, budget):
     """Newest first, whole items while they fit in ``budget``; the first that doesn't is ``cut`` to what is left, older ones go."""
     w = W.partitionBy(key).orderBy(F.desc(ord_)).rowsBetween(W.unboundedPreceding, -1)

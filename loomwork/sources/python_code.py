@@ -91,7 +91,7 @@ def build_edges(rows, root):
 
     A called name goes to the function, method or class of that name in the same file, else in a module that the file imports,
     else to the first by path and line; calls of itself are left out. An import goes to the file of its module (a relative one
-    from its package), and to each imported name's first definition. A base goes to the first class of its name.
+    from its package; else to that of the module's parent), and to each imported name's first definition. A base goes to the first class of its name.
     """
     files = rows.where("kind = 'file'").select("path", F.col("id").alias("file_id"), module_path(F.col("path"), root).alias("module"))
     defs = rows.where("kind in ('function', 'method', 'class')").select("name", "id", "kind", "path", "start_line")
@@ -102,19 +102,27 @@ def build_edges(rows, root):
     parts = F.split("here", r"\.")
     up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - package)), ".")
     target = F.when(F.col("level") > 0, F.concat_ws(".", F.nullif(up, F.lit("")), F.nullif("name", F.lit("")))).otherwise(F.col("name"))
-    imports = imports.select("path", "file_id", F.explode(F.concat(F.array(F.lit("")), F.coalesce("names", F.array().cast("array<string>")))).alias("symbol"), target.alias("module"))
+    imports = imports.select("path", "file_id", (F.col("level") == 0).alias("absolute"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("names", F.array().cast("array<string>")))).alias("symbol"), target.alias("module"))
     wanted = imports.withColumn("module", F.when(F.col("symbol") == "", F.col("module")).otherwise(F.concat_ws(".", F.nullif("module", F.lit("")), "symbol")))
-    to_file = wanted.join(files.select("module", F.col("file_id").alias("dst_id")), "module").select(F.col("file_id").alias("src_id"), "dst_id", "path")
+    known = files.select("module", F.col("file_id").alias("dst_id"))
+    parent = known.select(F.col("module").alias("parent"), F.col("dst_id").alias("parent_id"))
+    above = F.when(F.col("absolute") & (F.col("symbol") == "") & F.contains("module", F.lit(".")), F.regexp_replace("module", r"\.[^.]*$", ""))
+    to_file = wanted.withColumn("parent", above).join(known, "module", "left").join(parent, "parent", "left")
+    to_file = to_file.select(F.col("file_id").alias("src_id"), F.coalesce("dst_id", "parent_id").alias("dst_id"), "path").where("dst_id is not null")
     first_def = graph.first_by(defs, ["name"], "path", "start_line", "id").select(F.col("name").alias("symbol"), F.col("id").alias("dst_id"))
     to_symbol = imports.where("symbol not in ('', '*')").join(first_def, "symbol").select(F.col("file_id").alias("src_id"), "dst_id")
     import_edges = to_file.select("src_id", "dst_id").union(to_symbol).distinct().withColumn("kind", F.lit("Imports"))
 
-    seen = to_file.join(files.select(F.col("file_id").alias("dst_id"), F.col("path").alias("def_path")), "dst_id").select("path", "def_path").distinct().withColumn("imported", F.lit(True))
-    calls = rows.where("kind = 'call'").select("name", F.col("id").alias("src_id"), "path", "start_line").withColumn("call_id", F.monotonically_increasing_id())
-    found = defs.select("name", F.col("id").alias("dst_id"), F.col("path").alias("def_path"), F.struct("path", "start_line", "id").alias("at"))
-    x = calls.join(found, "name").join(seen, ["path", "def_path"], "left")
-    rank = F.when(F.col("path") == F.col("def_path"), 1).when(F.col("imported"), 2).otherwise(3)
-    call_edges = x.groupBy("call_id", "src_id").agg(F.min_by("dst_id", F.struct(rank.alias("rank"), "at")).alias("dst_id")).where("src_id <> dst_id").select("src_id", "dst_id", F.lit("Calls").alias("kind"))
+    seen = to_file.join(files.select(F.col("file_id").alias("dst_id"), F.col("path").alias("def_path")), "dst_id").select("path", "def_path").distinct()
+    calls = rows.where("kind = 'call'").select("path", "name", F.col("id").alias("src_id"))
+    asked = calls.select("path", "name").distinct()
+    # tier by tier, so that a name which many files define and call doesn't meet all of its definitions
+    local = graph.first_by(defs, ["path", "name"], "start_line", "id").select(F.col("path").alias("def_path"), "name", F.col("id").alias("dst_id"))
+    here = local.select(F.col("def_path").alias("path"), "name", F.col("dst_id").alias("here"))
+    near = graph.first_by(asked.join(seen, "path").join(local, ["def_path", "name"]), ["path", "name"], "def_path", "dst_id").select("path", "name", F.col("dst_id").alias("near"))
+    found = asked.join(here, ["path", "name"], "left").join(near, ["path", "name"], "left").join(first_def.select(F.col("symbol").alias("name"), "dst_id"), "name", "left")
+    found = found.select("path", "name", F.coalesce("here", "near", "dst_id").alias("dst_id"))
+    call_edges = calls.join(found, ["path", "name"]).where("src_id <> dst_id").select("src_id", "dst_id", F.lit("Calls").alias("kind"))
 
     classes = graph.first_by(defs.where("kind = 'class'"), ["name"], "path", "start_line", "id").select("name", F.col("id").alias("dst_id"))
     inherits = rows.where("kind = 'base'").select("name", F.col("id").alias("src_id")).distinct().join(classes, "name").select("src_id", "dst_id", F.lit("Inherits").alias("kind"))

@@ -4,10 +4,13 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from loomwork.functions import policy
+from loomwork.functions import text as tx
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.functions.text import redact, seek_lines, truncate_text, truncated
-from loomwork.operators import conversation, graph, store, vectors
+from loomwork.operators import blocks, conversation, graph, store, vectors
 from loomwork.streaming import work
 
 
@@ -103,3 +106,41 @@ def test_work_states():
         if s[1] == 0:
             break
     assert work.step(s, "claim", 0, 10**12)[0] == "failed"
+
+
+def test_left_bytes(spark):
+    rows = [("", 3), ("abc", 3), ("abcd", 3), ("aéé", 4), ("aé€", 4), ("a😀", 4), ("😀", 4), (None, 4)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    for n in (3, 4):
+        for r in df.select("t", tx.left_bytes(F.col("t"), n).alias("cut")).collect():
+            assert r["cut"] == (None if r["t"] is None else r["t"].encode()[:n].decode(errors="ignore"))
+
+
+BLOCK = "top\n# note\ndef a():\n    x = 1\n\n    if x:\n        y = 2\n        z = 3\n    w = 4\ndef b():\n    v = 5\n"
+
+
+@pytest.mark.parametrize(
+    ("anchor", "levels", "siblings", "header", "most", "want"),
+    [
+        (7, 1, False, True, 50, [6, 7, 8, 9]),  # one line of the least depth on each side
+        (7, 1, True, True, 50, [4, 5, 6, 7, 8, 9]),
+        (7, 2, False, True, 50, [2, 3, 4, 5, 6, 7, 8, 9, 10, 11]),  # with the comment above; below, up to a second line of the least depth
+        (7, 2, False, False, 50, [3, 4, 5, 6, 7, 8, 9, 10, 11]),
+        (7, 0, True, True, 50, list(range(1, 12))),
+        (7, 0, True, True, 4, [6, 7, 8]),  # line 5 is taken and, blank at an end, goes
+        (7, 0, True, True, 1, [7]),
+        (12, 0, True, True, 5, []),
+    ],
+)
+def test_indented_block(spark, anchor, levels, siblings, header, most, want):
+    x = spark.createDataFrame([(1, BLOCK, anchor, levels, siblings, header, most), (2, None, anchor, levels, siblings, header, most)], "k int, t string, a int, l int, s boolean, h boolean, m int")
+    got = blocks.indented_block(x, "k", "t", "a", "l", "s", "h", "m").collect()
+    lines = BLOCK.split("\n")
+    assert sorted((r["k"], int(r["line"][1:].split(":")[0]), r["line"].split(": ", 1)[1]) for r in got) == [(1, n, lines[n - 1]) for n in want]
+
+
+def test_word_commands(spark):
+    lines = ["ls", "a 'b c' && d", 'x"y"z | w', "a > b", "a $(b)", "a &&", "'open", "", None, "a;b", "it\"'\"s"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
+    got = sorted((r["id"], r["n"], r["words"]) for r in policy.word_commands(df, "id", "line").collect())
+    assert got == [(0, 0, "ls"), (1, 0, "a\nb c"), (1, 1, "d"), (2, 0, "xyz"), (2, 1, "w"), (9, 0, "a"), (9, 1, "b"), (10, 0, "it's")]

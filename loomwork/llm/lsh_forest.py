@@ -187,7 +187,9 @@ def _regions(rows, trees, min_depth, least, block_rows, block_shingles, best):
     dealt = forest.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = F.concat("region", F.encode(F.format_string(",%d,%d", F.least("block", "other"), F.greatest("block", "other")), "utf-8"))
-    dealt = dealt.select("id", "comp", "sketch", "block", tile.alias("tile")).repartition("tile").sortWithinPartitions("tile")
+    dealt = dealt.select("id", "comp", "sketch", "block", tile.alias("tile"))
+    # a stated number: tiles are small in bytes but dear to compare, so they aren't to be merged into few tasks
+    dealt = dealt.repartition(S.partitions(rows.sparkSession), "tile").sortWithinPartitions("tile")
     found = dealt.mapInPandas(_tiles(least, best), "kind int, a long, b long, comp long, tile binary").checkpoint()
     return found.where("kind = 0").select("a", "b").distinct(), found.where("kind = 1").selectExpr("tile", "a as id", "b as asks", "comp")
 
@@ -365,7 +367,7 @@ def near_duplicates(docs, share=85, trees=16, width=1, again=8, block_rows=4096,
     more, heavy = _regions(region, trees, min_depth, least, block_rows, block_shingles, again)
     new = confirmed(more.join(pairs, ["a", "b"], "left_anti"), texts, share)
     sets = texts.join(heavy.select("id").distinct(), "id").dropDuplicates(["id"]).mapInPandas(_hashed, "id long, shingles binary")
-    joined = heavy.join(sets, "id").groupBy("tile").applyInPandas(_compare(share), "a long, b long")
+    joined = heavy.join(sets, "id").repartition(S.partitions(docs.sparkSession), "tile").groupBy("tile").applyInPandas(_compare(share), "a long, b long")
     comp = S.components(links.union(new).union(joined))
     named = reps.join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sign.join(named, "digest", "left")

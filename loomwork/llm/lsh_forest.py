@@ -19,9 +19,11 @@ from . import _shared as S
 
 VALUES = 64
 SHINGLE = 5
+#: Tiles of at most so many rows are compared many at a time.
+SMALL = 48
 #: Odd multipliers of the 64 hash functions and of the word places in a shingle, from a seeded generator.
 _random = np.random.default_rng(20)
-_MULTIPLIERS = _random.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = _random.integers(1, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACES = _random.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -30,30 +32,39 @@ def _mix(x):
     return x ^ (x >> np.uint64(29))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept."""
+
+    def __missing__(self, word):
+        return self.setdefault(word, xxhash.xxh64_intdigest(word))
+
+
 def shingle_hashes(text, cache):
-    """Sorted distinct 64-bit hashes of a text's shingles; empty without words. ``cache`` keeps word hashes."""
+    """Sorted distinct 64-bit hashes of a text's shingles; empty without words. ``cache``: WordHashes; anything else keeps nothing."""
+    known = cache if isinstance(cache, WordHashes) else WordHashes()
     words = text.encode().lower().split()  # bytes: lowers A-Z only, and splits at the six ASCII blanks
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter((cache.get(w) or cache.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(SHINGLE, len(words))
     total = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
         total = _mix(total + hashes[k : len(words) - n + 1 + k] * _PLACES[k])
-    return np.unique(total)
+    total.sort()
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def sketch(hashes):
-    """64 one-byte MinHash values of a non-empty set."""
-    least = np.full(VALUES, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
+    """64 one-byte MinHash values of a non-empty set, by products with the hashes' upper halves."""
+    upper, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(VALUES, 2**32 - 1, np.uint32)
+    for at in range(0, len(upper), 1024):
+        part = upper[at : at + 1024]
         least = np.minimum(least, (part[None, :] * _MULTIPLIERS[:, None]).min(1))
-    return _mix(least).astype(np.uint8).tobytes()  # the low byte of the mixed minimum
+    return _mix(least.astype(np.uint64)).astype(np.uint8).tobytes()  # the low byte of the mixed minimum
 
 
 def _signed(batches):
-    cache = {}
+    cache = WordHashes()
     for pdf in batches:
         if len(cache) > 400_000:
             cache.clear()
@@ -157,18 +168,43 @@ def _tiles(least, best):
         if asking.any():
             yield pd.DataFrame({"kind": 1, "a": ids[heavy], "b": asking[heavy].astype(np.int64), "comp": group[heavy], "tile": pdf["tile"].iloc[0]})
 
+    def several(pdf):
+        """Tiles of whole rows: small ones of one block together, the others by ``one``."""
+        tile, ids, group, block = (pdf[c].to_numpy() for c in ("tile", "id", "comp", "block"))
+        starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+        size = np.diff(np.r_[starts, len(pdf)])
+        little = (size <= SMALL) & (np.minimum.reduceat(block, starts) == np.maximum.reduceat(block, starts))
+        of = np.repeat(np.arange(len(starts)), size)
+        at = np.flatnonzero(little[of])
+        rows = np.frombuffer(b"".join(pdf["sketch"].to_numpy()[at]), np.uint8).reshape(len(at), VALUES)
+        left, x, y = (starts + size)[of[at]] - at, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(1, SMALL):
+            i = np.flatnonzero(left > k)
+            i = i[group[at[i]] != group[at[i + k]]]
+            i = i[np.count_nonzero(rows[i] == rows[i + k], axis=1) >= least]
+            x.append(at[i])
+            y.append(at[i + k])
+        x, y = np.concatenate(x), np.concatenate(y)
+        crowded = np.zeros(len(starts), bool)
+        crowded[of[np.bincount(np.r_[x, y], minlength=len(pdf)) > best]] = True
+        x, y = (z[~crowded[of[x]]] for z in (x, y))
+        pairs = pd.DataFrame({"kind": 0, "a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "comp": 0, "tile": None}).drop_duplicates(["a", "b"])
+        yield pairs
+        for k in np.flatnonzero(~little | crowded):
+            yield from one(pdf.iloc[starts[k] : starts[k] + size[k]].sort_values("block", kind="stable"))
+
     def tiles(batches):
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            last = pdf["tile"] == pdf["tile"].iloc[-1]  # may go on in the next batch
+            last = (pdf["tile"] == pdf["tile"].iloc[-1]).to_numpy()  # may go on in the next batch
             held = pdf[last]
-            for _, g in pdf[~last].groupby("tile", sort=False):
-                yield from one(g.sort_values("block", kind="stable"))
+            if not last.all():
+                yield from several(pdf[~last])
         if held is not None and len(held):
-            yield from one(held.sort_values("block", kind="stable"))
+            yield from several(held)
 
     return tiles
 
@@ -256,7 +292,7 @@ def _candidates(sketches, trees, width, min_depth, least):
 
 
 def _hashed(batches):
-    cache = {}
+    cache = WordHashes()
     for pdf in batches:
         if len(cache) > 400_000:
             cache.clear()

@@ -1,7 +1,12 @@
 """Rules over commands and hosts."""
 
+import ipaddress
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DECISIONS = ("allow", "prompt", "forbidden")
 
@@ -64,3 +69,44 @@ def word_commands(lines, key, line):
     n = F.coalesce(F.sum(F.col("_op").cast("int")).over(W.partitionBy(key).orderBy("_at")), F.lit(0)).cast("int")
     words = x.withColumn("n", n).where("not _op").groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("_at", "_w"))).alias("_l"))
     return words.select(key, "n", F.array_join(F.transform("_l", lambda p: F.regexp_replace(p["_w"], r"""'([^']*)'|"([^"]*)\"""", "$1$2")), "\n").alias("words"))
+
+
+#: Networks that aren't public.
+NETWORKS_4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+)
+NETWORKS_6 = ("::1/128", "::/128", "fc00::/7", "fe80::/10", "ff00::/8")
+_IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)" + r"\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)" * 3 + "$"
+
+
+def _non_public_4(host):
+    """Whether a dotted address lies in one of NETWORKS_4; null for other texts."""
+    parts = F.when(host.rlike(_IPV4), F.split(host, r"\."))
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * 256 + x.try_cast("long"))
+    networks = [ipaddress.ip_network(n) for n in NETWORKS_4]
+    inside = lambda n: reduce(lambda a, b: a | b, [n.between(int(x.network_address), int(x.broadcast_address)) for x in networks])
+    return F.exists(F.array(number), inside)
+
+
+@F.pandas_udf(T.BooleanType())
+def _non_public_6(host: pd.Series) -> pd.Series:
+    four, six = ([ipaddress.ip_network(n) for n in names] for names in (NETWORKS_4, NETWORKS_6))
+
+    def one(text):
+        try:
+            ip = ipaddress.IPv6Address(text)
+        except ValueError:
+            return False
+        high, low = int(ip) >> 32, int(ip) & 0xFFFFFFFF
+        held = ipaddress.IPv4Address(low)  # in ::/96 and ::ffff:0:0/96
+        return any(ip in n for n in six) or (high in (0, 0xFFFF) and any(held in n for n in four))
+
+    return host.map(lambda t: None if t is None else one(t))
+
+
+def non_public(host):
+    """Whether a normal host is this machine or an address that isn't public; a zone after '%' doesn't count. Other names: false; null: null."""
+    host = F.substring_index(host, "%", 1)
+    six = _non_public_6(F.when(F.contains(host, F.lit(":")), host))
+    return F.when(host.isNotNull(), (host == "localhost") | F.coalesce(_non_public_4(host), six, F.lit(False)))

@@ -81,14 +81,23 @@ def indent(line):
     return F.length(F.replace(F.regexp_extract(line, "^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
 
 
+#: Code points of dashes, quotes and blanks that a search of lines takes for their ASCII forms.
+FOLDED = {
+    **dict.fromkeys((0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2212), "-"),
+    **dict.fromkeys((0x2018, 0x2019, 0x201A, 0x201B), "'"),
+    **dict.fromkeys((0x201C, 0x201D, 0x201E, 0x201F), '"'),
+    **dict.fromkeys((0x00A0, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x202F, 0x205F, 0x3000), " "),
+}
+
+
 def seek_lines(lines, pattern, start=0, at_end=False):
-    """First place of ``pattern`` in ``lines``: exact, else without blanks at ends, else without blanks on both sides; None without a match."""
+    """First place of ``pattern`` in ``lines``: exact, else without blanks at ends, else without blanks on both sides, else with punctuation folded too; None without a match."""
     if not pattern:
         return start
     n = len(lines) - len(pattern)
     if n < 0:
         return None
-    for same in (lambda x: x, str.rstrip, str.strip):
+    for same in (lambda x: x, str.rstrip, str.strip, lambda x: x.strip().translate(FOLDED)):
         want = [same(p) for p in pattern]
         for i in range(n if at_end else start, n + 1):
             if [same(x) for x in lines[i : i + len(pattern)]] == want:

@@ -13,9 +13,12 @@ def _items(spark, sf):
 
 
 def s11_head_summary(spark, sf):
-    """Of the first 10 items, the first user message and how many there are."""
-    head = _items(spark, sf).withColumn("rn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).where("rn <= 10")
+    """The first user message of the first 10 items, or of 200 more where these have none, and how many items were looked at."""
     user = F.when(F.col("role") == "user", F.col("turn"))
+    in_order = W.partitionBy("conv_id").orderBy("turn")
+    head = _items(spark, sf).withColumn("rn", F.row_number().over(in_order)).where("rn <= 210")
+    before = F.min(user).over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    head = head.withColumn("found", before).where("rn <= 10 or found is null")
     return head.groupBy("conv_id").agg(F.min(user).alias("first_user"), F.min_by("text", user).alias("preview"), F.count("*").alias("items"))
 
 
@@ -161,7 +164,7 @@ ORACLES = {
     "j12_counterparts_by_id": f"""WITH {CALLS}, f AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY ord) = 1), l AS (SELECT * FROM q ANTI JOIN f USING (conv_id, ord)),
       m AS (SELECT l.conv_id, l.ord, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.kind = 'shell_call', l.ord) AS rn FROM l JOIN f ON f.conv_id = l.conv_id AND f.call_id = l.call_id AND (f.want = l.kind OR l.want = f.kind))
       SELECT conv_id, ord, kind, call_id FROM l ANTI JOIN (SELECT * FROM m WHERE rn = 1) USING (conv_id, ord)""",
-    "s11_head_summary": f"WITH h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {C}) SELECT conv_id, min(CASE WHEN role = 'user' THEN turn END) AS first_user, arg_min(text, CASE WHEN role = 'user' THEN turn END) AS preview, count(*) AS items FROM h WHERE rn <= 10 GROUP BY 1",
+    "s11_head_summary": f"WITH h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM {C}) SELECT conv_id, min(CASE WHEN role = 'user' THEN turn END) AS first_user, arg_min(text, CASE WHEN role = 'user' THEN turn END) AS preview, count(*) AS items FROM h WHERE rn <= 10 OR (rn <= 210 AND found IS NULL) GROUP BY 1",
     "s12_last_entry": f"SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM {C} GROUP BY 1",
     "s13_history_lookup": f"SELECT conv_id, turn, role, n FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {C}) WHERE rn = 4",
     "j10_missing_replies": f"WITH x AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM {C}) SELECT conv_id, turn::DOUBLE AS turn, role, length(text) AS len FROM {C} UNION ALL SELECT conv_id, turn + 0.5::DOUBLE, 'assistant', 7 FROM x WHERE role = 'user' AND nxt IS DISTINCT FROM 'assistant'",

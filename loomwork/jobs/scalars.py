@@ -115,11 +115,13 @@ def t05_normal_host(spark, sf):
 
 
 def t06_private_address(spark, sf):
-    """IPv4 addresses made of customer keys: loopback, private and shared ranges."""
+    """Addresses made of customer keys: four of five IPv4, the others IPv6 or this machine's name."""
     k = F.col("c_custkey")
     x = table(spark, sf, "customer").select("c_custkey", F.element_at(F.array(*[F.lit(n) for n in (10, 127, 172, 192, 100, 8)]), (k % 6 + 1).cast("int")).alias("a"), (k % 256).alias("b"))
-    private = (F.col("a").isin(10, 127)) | ((F.col("a") == 172) & F.col("b").between(16, 31)) | ((F.col("a") == 192) & (F.col("b") == 168)) | ((F.col("a") == 100) & F.col("b").between(64, 127))
-    return x.select("c_custkey", private.alias("private"))
+    dotted = F.format_string("%d.%d.1.1", "a", "b")
+    other = F.array(F.lit("::1"), F.concat(F.lit("fc00::"), F.col("b").cast("string")), F.lit("fe80::1%eth0"), F.concat(F.lit("2001:db8::"), F.col("b").cast("string")), F.concat(F.lit("::ffff:10.0.0."), F.col("b").cast("string")), F.lit("localhost"))
+    host = F.when(k % 5 > 0, dotted).otherwise(F.element_at(other, (F.floor(k / 5) % 6 + 1).cast("int")))
+    return x.select("c_custkey", policy.non_public(host).alias("private"))
 
 
 def t07_user_message(spark, sf):
@@ -316,7 +318,7 @@ ORACLES = {
     "t02_token_estimate": "SELECT doc_id, CAST(ceil(strlen(text) / 4) AS BIGINT) AS tokens, CAST(ceil(strlen(text) / 4) * 4 AS BIGINT) AS bytes FROM documents",
     "t04_redact": f"SELECT doc_id, md5(clean) AS digest FROM (SELECT doc_id, text, {CLEAN_SQL} AS clean FROM documents) WHERE text <> clean",
     "t05_normal_host": f"SELECT page_id, CASE WHEN page_id % 3 = 2 THEN '::' || page_id ELSE lower({HOST_SQL}) END AS host FROM pages",
-    "t06_private_address": "WITH x AS (SELECT c_custkey, ([10, 127, 172, 192, 100, 8])[c_custkey % 6 + 1] AS a, c_custkey % 256 AS b FROM customer) SELECT c_custkey, a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) AS private FROM x",
+    "t06_private_address": "WITH x AS (SELECT c_custkey, ([10, 127, 172, 192, 100, 8])[c_custkey % 6 + 1] AS a, c_custkey % 256 AS b FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_custkey // 5 % 6 <> 3 ELSE a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) END AS private FROM x",
     "t07_user_message": "SELECT doc_id, md5(CASE WHEN instr(text, ':') > 0 THEN trim(substr(text, instr(text, ':') + 1)) ELSE trim(text) END) AS digest FROM documents",
     "t08_timestamps": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events",
     "t09_time_argument": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events",

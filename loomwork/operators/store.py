@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def within_budget(rows, partition, order, size, cap):
@@ -18,9 +19,13 @@ def partition_totals(rows, partition, size, cap):
 
 
 def upsert(table, incoming, key, version=None):
-    """``incoming`` replaces rows of the same key; with ``version`` only where its version is at least the row's. All columns of ``table``."""
+    """``incoming`` replaces rows of the same key; with ``version`` only where its version is at least the row's. All columns of ``table``.
+
+    Of several incoming rows of one key and version the greatest stays, by its columns in order (maps aside), so reruns agree.
+    """
     both = table.withColumn("_new", F.lit(0)).unionByName(incoming.select(*table.columns).withColumn("_new", F.lit(1)))
     order = ([F.col(version).desc()] if version else []) + [F.col("_new").desc()]
+    order += [F.col(f.name).desc() for f in table.schema if not isinstance(f.dataType, T.MapType)]
     return both.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn", "_new")
 
 

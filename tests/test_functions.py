@@ -48,6 +48,7 @@ def test_redact(spark):
 def test_seek_lines():
     lines = ["a ", " b", "c"]
     assert seek_lines(lines, []) == 0 and seek_lines(lines, ["a", "b"]) == 0 and seek_lines(lines, ["b", "c"]) == 1
+    assert seek_lines(["x", " a\u2014b\u00a0\u201cc\u201d"], ['a-b "c"']) == 1
     assert seek_lines(lines, ["c", "c", "c", "c"]) is None and seek_lines(["x", "y", "x"], ["x"], at_end=True) == 2
 
 
@@ -144,3 +145,12 @@ def test_word_commands(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
     got = sorted((r["id"], r["n"], r["words"]) for r in policy.word_commands(df, "id", "line").collect())
     assert got == [(0, 0, "ls"), (1, 0, "a\nb c"), (1, 1, "d"), (2, 0, "xyz"), (2, 1, "w"), (9, 0, "a"), (9, 1, "b"), (10, 0, "it's")]
+
+
+def test_non_public(spark):
+    from loomwork.functions.policy import non_public
+
+    inside = ["localhost", "127.0.0.1", "10.1.2.3", "172.31.0.1", "169.254.0.9", "198.19.255.255", "255.255.255.255", "224.0.0.1", "0.0.0.0", "::1", "::", "fe80::1%eth0", "fd00::1", "ff02::1", "::ffff:192.168.0.1", "::10.0.0.1"]
+    outside = ["8.8.8.8", "172.32.0.1", "198.20.0.0", "2001:db8::1", "::ffff:8.8.8.8", "example.com", "10.0.0", "256.1.1.1", ":", ""]
+    rows = spark.createDataFrame([(h,) for h in [*inside, *outside, None]], "host string").select("host", non_public(F.col("host")).alias("x")).collect()
+    assert [r.host for r in rows if r.x] == inside and [r.host for r in rows if r.x is False] == outside and rows[-1].x is None

@@ -16,6 +16,9 @@ MODULES = (
     "token_counts",
     "toxicity",
     "packing",
+    "credentials",
+    "hard_negatives",
+    "whitening",
 )
 
 

@@ -1,8 +1,10 @@
 """Helpers shared by the operators of this subpackage."""
 
 import tempfile
+import uuid
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -31,6 +33,29 @@ def ensure_checkpoint_dir(spark):
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwork-checkpoint-"))
 
 
+def whole_vectors(table, scale=256):
+    """``table`` with x, its ``embedding`` as long floor(scale * c), c as double; rows that are null, empty or hold null or non-finite
+    entries go, and those of another length than the commonest (of equally common ones the shorter)."""
+    fine = table.where("embedding is not null and size(embedding) > 0").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    fine = fine.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    fine = fine.withColumn("x", F.transform("x", lambda v: F.floor(v * float(scale)) + F.lit(0).cast("long"))).drop("embedding")
+    usual = fine.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return fine.where(F.size("x") == (usual["n"] if usual else 0))
+
+
+def matrix(column, dtype="float64"):
+    """A column of equally long arrays as rows of a matrix."""
+    return np.array(column.tolist(), dtype).reshape(len(column), -1)
+
+
+def stored(df, name):
+    """``df`` written as Parquet below the checkpoint folder and read again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def crc_mod(doc_id, m):
     """crc32 of the id as text, modulo m; null ids count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(m))

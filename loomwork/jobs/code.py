@@ -106,7 +106,7 @@ def j01_code_defines(spark, sf):
 
 
 def j02_code_calls(spark, sf):
-    """Same file, then imported files, then the first by path."""
+    """Same file, then imported files, then the first path that contains an imported name, then the first by path."""
     return _edges(spark, sf, "Calls")
 
 
@@ -137,7 +137,9 @@ DEFS = f"""{X}, n AS (SELECT k, path, 'class' AS kind, 'Part' || k AS name, 5 AS
   UNION ALL SELECT k, path, 'function', 'helper_' || k, 14, 16 FROM x UNION ALL SELECT k, path, 'function', 'common', 18, 19 FROM x WHERE k % 2 = 0)"""
 FILE = "path || ':p' || k || '.py'"
 CALLS = f"""{DEFS}, seen AS (SELECT k, h AS other FROM x UNION SELECT k, k - 25 FROM x WHERE k >= 25), c AS (SELECT k, path FROM n WHERE name = 'common'),
-  cand AS (SELECT x.k, c.path, CASE WHEN x.k = c.k THEN 1 ELSE 2 END AS rank FROM x JOIN c ON c.k = x.k OR c.k IN (SELECT other FROM seen WHERE seen.k = x.k) UNION ALL SELECT k, (SELECT min(path) FROM c), 3 FROM x),
+  cand AS (SELECT x.k, c.path, CASE WHEN x.k = c.k THEN 1 ELSE 2 END AS rank FROM x JOIN c ON c.k = x.k OR c.k IN (SELECT other FROM seen WHERE seen.k = x.k)
+    UNION ALL SELECT m.k, c.path, 3 FROM (SELECT k, unnest(list_concat(['pkg' || fh || '.p' || h, 'helper_' || h], CASE WHEN k < 25 THEN ['os'] ELSE ['p' || (k - 25), 'Part' || (k - 25)] END)) AS m FROM x) m JOIN c ON contains(c.path, m.m)
+    UNION ALL SELECT k, (SELECT min(path) FROM c), 4 FROM x),
   best AS (SELECT k, arg_min(path, (rank, path)) AS target FROM cand GROUP BY 1),
   e AS (SELECT path || ':price' AS src, path || ':scale' AS dst FROM x UNION ALL SELECT a.path || ':price', b.path || ':helper_' || b.k FROM x a JOIN x b ON b.k = a.h
   UNION ALL SELECT path || ':helper_' || k, target || ':common' FROM x JOIN best USING (k))"""

@@ -2,10 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import graph
+from loomwork.operators import graph, path_index
 from loomwork.sources.tables import GRAPH_SQL, edges, nodes, table
 
 
+#: Modules made of parts: names, names behind a package, pieces of addresses in two notations, and some that nothing contains.
+MODULES = """case when p_partkey % 5 = 0 then p_name when p_partkey % 5 = 1 then concat('lib.', p_name) when p_partkey % 5 = 2 then concat('example.com.fr.', cast(p_size as varchar(20)))
+  when p_partkey % 5 = 3 then concat('en::', cast(p_partkey % 100 as varchar(20))) else concat('none.such', cast(p_size as varchar(20))) end"""
+
+
 def _near(spark, sf, kind, where, incoming):
     out = graph.neighbours(nodes(spark, sf).where(where), edges(spark, sf), kind, incoming)
     return out.select("name", "id", "other")
@@ -125,11 +130,13 @@ def j05_import_symbols(spark, sf):
 
 
 def j06_import_heuristic(spark, sf):
-    """Name equal to the whole, else to the last word, else the first address that contains the name."""
-    words = table(spark, sf, "part").select(F.substring_index("p_name", " ", -1).alias("module")).distinct()
-    brands = table(spark, sf, "part").groupBy(F.col("p_name").alias("module")).agg(F.min("p_partkey").alias("exact"))
-    tails = table(spark, sf, "part").groupBy(F.substring_index("p_name", " ", -1).alias("module")).agg(F.min("p_partkey").alias("tail"))
-    return words.join(brands, "module", "left").join(tails, "module", "left").select("module", F.coalesce("exact", "tail").alias("target"))
+    """Modules without a file of their own: the first part whose name is the module, else its last segment after '.', else the first address that contains the module with '/' for '.' and '::'. Others are left out."""
+    p, pages = table(spark, sf, "part"), table(spark, sf, "pages").select(F.col("url").alias("path"))
+    m = p.selectExpr(f"{MODULES} as module").distinct().withColumn("last", F.substring_index("module", ".", -1)).withColumn("normal", F.replace(F.replace("module", F.lit("."), F.lit("/")), F.lit("::"), F.lit("/")))
+    named = p.groupBy(F.col("p_name").alias("module")).agg(F.concat(F.lit("part "), F.min("p_partkey")).alias("exact"))
+    m = m.join(named, "module", "left").join(named.toDF("last", "tail"), "last", "left")
+    inside = path_index.first_containing(pages, m.where("exact is null and tail is null").select(F.col("normal").alias("needle"))).toDF("normal", "inside")
+    return m.join(inside, "normal", "left").select("module", F.coalesce("exact", "tail", "inside").alias("target")).where("target is not null")
 
 
 def j07_inherits(spark, sf):
@@ -180,7 +187,8 @@ ORACLES = {
     "j05_import_symbols": """WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), t AS (SELECT lower(p_type) AS word, min(p_partkey) AS by_type FROM part GROUP BY 1),
       n AS (SELECT string_split(p_name, ' ')[-1] AS word, min(p_partkey) AS by_name FROM part GROUP BY 1)
       SELECT p_partkey, word, coalesce(by_type, by_name) AS target FROM w LEFT JOIN t USING (word) LEFT JOIN n USING (word) WHERE coalesce(by_type, by_name) IS NOT NULL""",
-    "j06_import_heuristic": """WITH m AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS module FROM part), e AS (SELECT p_name AS module, min(p_partkey) AS exact FROM part GROUP BY 1),
-      t AS (SELECT string_split(p_name, ' ')[-1] AS module, min(p_partkey) AS tail FROM part GROUP BY 1) SELECT module, coalesce(exact, tail) AS target FROM m LEFT JOIN e USING (module) LEFT JOIN t USING (module)""",
+    "j06_import_heuristic": f"""WITH m AS (SELECT DISTINCT {MODULES} AS module FROM part), n AS (SELECT p_name, 'part ' || min(p_partkey) AS id FROM part GROUP BY 1)
+      SELECT module, target FROM (SELECT module, coalesce((SELECT id FROM n WHERE p_name = module), (SELECT id FROM n WHERE p_name = split_part(module, '.', -1)),
+        (SELECT min(url) FROM pages WHERE contains(url, replace(replace(module, '.', '/'), '::', '/')))) AS target FROM m) WHERE target IS NOT NULL""",
     "j07_inherits": f"{G} SELECT name, id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord, kind) AS rn FROM nodes) WHERE rn = 1",
 }

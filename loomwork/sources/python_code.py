@@ -9,7 +9,8 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomwork.operators import graph
+from loomwork.operators import graph, path_index
+from loomwork.operators.lineage import cut
 
 #: Builtins whose plain calls aren't of interest.
 BUILTINS = {
@@ -86,12 +87,36 @@ def module_path(path, root):
     return F.replace(F.substring(plain, len(root.rstrip("/")) + 2, 1 << 20), F.lit("/"), F.lit("."))
 
 
+def guess_imports(imports, rows):
+    """``imports`` (with ``name``, the module as written) with ``found``: the first file or definition of that name, else of its last segment after '.', else the first file whose path contains it with '/' for '.' and '::'. Others, and empty names, are left out."""
+    wanted = imports.where("name <> ''").withColumn("last", F.substring_index("name", ".", -1)).withColumn("normal", F.replace(F.replace("name", F.lit("."), F.lit("/")), F.lit("::"), F.lit("/")))
+    named = graph.first_by(rows.where("kind in ('file', 'function', 'method', 'class')"), ["name"], "path", "start_line", "id").select("name", F.col("id").alias("exact"))
+    wanted = wanted.join(named, "name", "left").join(named.toDF("last", "tail"), "last", "left")
+    open_ = wanted.where("exact is null and tail is null").select(F.col("normal").alias("needle"))
+    files = rows.where("kind = 'file'").select("path", F.col("id").alias("inside"))
+    inside = path_index.first_containing(files, open_).join(files, "path").select(F.col("needle").alias("normal"), "inside")
+    return wanted.join(inside, "normal", "left").withColumn("found", F.coalesce("exact", "tail", "inside")).where("found is not null")
+
+
+def guess_calls(calls, rows, local):
+    """``calls(path, name)`` with ``third``: of the definitions ``local(def_path, name, dst_id)`` the first by path that contains a module or name which the file imports. Files that import the called name itself aren't here: any definition fits, the first of all."""
+    said = rows.where("kind = 'import'").select("path", F.explode(F.array_union(F.array("name"), F.coalesce("names", F.array().cast("array<string>")))).alias("needle")).where("needle not in ('', '*')").distinct()
+    asked = cut(calls.join(said, "path"))
+    asked = asked.join(asked.where("needle = name").select("path", "name").distinct(), ["path", "name"], "left_anti")
+    within = path_index.pairs(local.select(F.col("def_path").alias("path")), asked.select("needle")).select("needle", F.col("path").alias("def_path"))
+    fits = within.join(local, "def_path").join(asked.select("needle", "name").distinct(), ["needle", "name"], "left_semi")
+    best = fits.groupBy("needle", "name").agg(F.min(F.struct("def_path", "dst_id")).alias("best"))
+    return asked.join(best, ["needle", "name"]).groupBy("path", "name").agg(F.min("best")["dst_id"].alias("third"))
+
+
 def build_edges(rows, root):
     """Edges (src_id, dst_id, kind) of extracted rows: Defines, Imports, Calls, Inherits.
 
-    A called name goes to the function, method or class of that name in the same file, else in a module that the file imports,
-    else to the first by path and line; calls of itself are left out. An import goes to the file of its module (a relative one
-    from its package; else to that of the module's parent), and to each imported name's first definition. A base goes to the first class of its name.
+    A called name goes to the function, method or class of that name in the same file, else in a module that the file imports, else to the first
+    one (by path and line) whose path contains a module or name that the file imports, else to the first of all; calls of itself are left out.
+    An import goes to the file of its module (a relative one from its package; else to that of the module's parent), else to the first file or definition with the module's
+    name, else with its last segment, else to the first file whose path contains the module with '/' for '.' and '::'; and to each imported name's first definition.
+    A base goes to the first class of its name.
     """
     files = rows.where("kind = 'file'").select("path", F.col("id").alias("file_id"), module_path(F.col("path"), root).alias("module"))
     defs = rows.where("kind in ('function', 'method', 'class')").select("name", "id", "kind", "path", "start_line")
@@ -102,16 +127,17 @@ def build_edges(rows, root):
     parts = F.split("here", r"\.")
     up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - package)), ".")
     target = F.when(F.col("level") > 0, F.concat_ws(".", F.nullif(up, F.lit("")), F.nullif("name", F.lit("")))).otherwise(F.col("name"))
-    imports = imports.select("path", "file_id", (F.col("level") == 0).alias("absolute"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("names", F.array().cast("array<string>")))).alias("symbol"), target.alias("module"))
+    imports = imports.select("path", "file_id", "name", (F.col("level") == 0).alias("absolute"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("names", F.array().cast("array<string>")))).alias("symbol"), target.alias("module"))
     wanted = imports.withColumn("module", F.when(F.col("symbol") == "", F.col("module")).otherwise(F.concat_ws(".", F.nullif("module", F.lit("")), "symbol")))
     known = files.select("module", F.col("file_id").alias("dst_id"))
     parent = known.select(F.col("module").alias("parent"), F.col("dst_id").alias("parent_id"))
     above = F.when(F.col("absolute") & (F.col("symbol") == "") & F.contains("module", F.lit(".")), F.regexp_replace("module", r"\.[^.]*$", ""))
-    to_file = wanted.withColumn("parent", above).join(known, "module", "left").join(parent, "parent", "left")
-    to_file = to_file.select(F.col("file_id").alias("src_id"), F.coalesce("dst_id", "parent_id").alias("dst_id"), "path").where("dst_id is not null")
+    to_file = cut(wanted.withColumn("parent", above).join(known, "module", "left").join(parent, "parent", "left").withColumn("dst_id", F.coalesce("dst_id", "parent_id")))
+    guessed = guess_imports(to_file.where("dst_id is null and symbol = ''"), rows).select("file_id", F.col("found").alias("dst_id"))
+    to_file = to_file.select(F.col("file_id").alias("src_id"), "dst_id", "path").where("dst_id is not null")
     first_def = graph.first_by(defs, ["name"], "path", "start_line", "id").select(F.col("name").alias("symbol"), F.col("id").alias("dst_id"))
     to_symbol = imports.where("symbol not in ('', '*')").join(first_def, "symbol").select(F.col("file_id").alias("src_id"), "dst_id")
-    import_edges = to_file.select("src_id", "dst_id").union(to_symbol).distinct().withColumn("kind", F.lit("Imports"))
+    import_edges = to_file.select("src_id", "dst_id").union(guessed).union(to_symbol).distinct().withColumn("kind", F.lit("Imports"))
 
     seen = to_file.join(files.select(F.col("file_id").alias("dst_id"), F.col("path").alias("def_path")), "dst_id").select("path", "def_path").distinct()
     calls = rows.where("kind = 'call'").select("path", "name", F.col("id").alias("src_id"))
@@ -120,8 +146,10 @@ def build_edges(rows, root):
     local = graph.first_by(defs, ["path", "name"], "start_line", "id").select(F.col("path").alias("def_path"), "name", F.col("id").alias("dst_id"))
     here = local.select(F.col("def_path").alias("path"), "name", F.col("dst_id").alias("here"))
     near = graph.first_by(asked.join(seen, "path").join(local, ["def_path", "name"]), ["path", "name"], "def_path", "dst_id").select("path", "name", F.col("dst_id").alias("near"))
-    found = asked.join(here, ["path", "name"], "left").join(near, ["path", "name"], "left").join(first_def.select(F.col("symbol").alias("name"), "dst_id"), "name", "left")
-    found = found.select("path", "name", F.coalesce("here", "near", "dst_id").alias("dst_id"))
+    found = cut(asked.join(here, ["path", "name"], "left").join(near, ["path", "name"], "left").join(first_def.select(F.col("symbol").alias("name"), "dst_id"), "name", "left"))
+    open_ = found.where("here is null and near is null and dst_id is not null").select("path", "name")
+    third = guess_calls(open_, rows, local)
+    found = found.join(third, ["path", "name"], "left").select("path", "name", F.coalesce("here", "near", "third", "dst_id").alias("dst_id"))
     call_edges = calls.join(found, ["path", "name"]).where("src_id <> dst_id").select("src_id", "dst_id", F.lit("Calls").alias("kind"))
 
     classes = graph.first_by(defs.where("kind = 'class'"), ["name"], "path", "start_line", "id").select("name", F.col("id").alias("dst_id"))

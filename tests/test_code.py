@@ -1,7 +1,10 @@
 """Elements, calls, imports and edges of a small repository."""
 
+import random
+
 import pytest
 
+from loomwork.operators import path_index
 from loomwork.sources import python_code
 
 FILES = {
@@ -45,3 +48,41 @@ def test_edges(rows):
     assert (sub, ("pkg/base.py", "base.py"), "Imports") in got and (sub, ("pkg/util.py", "util.py"), "Imports") in got and (("main.py", "main.py"), sub, "Imports") in got
     assert (("pkg/base.py", "run"), ("pkg/base.py", "run"), "Calls") not in got
     assert len([g for g in got if g[2] == "Defines"]) == 7
+
+
+def test_path_index(spark):
+    """Every pair, against a comparison of all with all."""
+    rng = random.Random(4)
+    paths = ["/".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 5))) + ".py" for _ in range(300)]
+    needles = [p[rng.randrange(len(p)) :][: rng.randrange(1, 12)] for p in paths[:150]] + ["zzz", "abcabcabcabc", ".py", "/"]
+    p = spark.createDataFrame([(x,) for x in [*paths, paths[0], None, ""]], "path string")
+    n = spark.createDataFrame([(x,) for x in [*needles, needles[0], None, ""]], "needle string")
+    want = {(x, y) for x in needles if x for y in paths if x in y}
+    got = [tuple(r) for r in path_index.pairs(p, n).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {tuple(r) for r in path_index.first_containing(p, n).collect()} == {(x, min(y for y in paths if x in y)) for x, _ in want}
+    assert path_index.pairs(p.limit(0), n).count() == 0
+
+
+def test_guessed_edges(spark):
+    """Imports by name, last segment and path; calls by a path that contains an imported name."""
+    files = {
+        "app/main.py": "import only_function\nimport lib.Widget\nimport deep.store\nimport nowhere\nfrom ..far import thing\n\ndef go():\n    load()\n    thing()\n",
+        "src/deep/store_impl.py": "def load():\n    pass\n",
+        "src/aaa/other.py": "def load():\n    pass\n\ndef only_function():\n    pass\n\nclass Widget:\n    pass\n",
+        "zz/far/x.py": "def thing():\n    pass\n",
+        "app/plain.py": "import nowhere\n\ndef stay():\n    load()\n",
+        "app/named.py": "from deep.store import load\n\ndef use():\n    load()\n",
+    }
+    rows = python_code.extract(spark.createDataFrame(list(files.items()), "path string, code string")).cache()
+    names = {r["id"]: (r["path"], r["name"]) for r in rows.where("kind not in ('call', 'import', 'base')").collect()}
+    got = {(names[r["src_id"]], names[r["dst_id"]], r["kind"]) for r in python_code.build_edges(rows, "").collect()}
+    main, other = ("app/main.py", "main.py"), "src/aaa/other.py"
+    imports = {g[1] for g in got if g[0] == main and g[2] == "Imports"}
+    assert imports == {(other, "only_function"), (other, "Widget"), ("src/deep/store_impl.py", "store_impl.py"), ("zz/far/x.py", "x.py"), ("zz/far/x.py", "thing")}
+    assert {g[1] for g in got if g[0] == ("app/main.py", "go") and g[2] == "Calls"} == {(other, "load"), ("zz/far/x.py", "thing")}
+    assert {g[1] for g in got if g[0] == ("app/plain.py", "stay") and g[2] == "Calls"} == {(other, "load")}
+    assert {g[1] for g in got if g[0] == ("app/named.py", "use") and g[2] == "Calls"} == {(other, "load")}
+    near = python_code.extract(spark.createDataFrame([("app/m.py", "import store_impl\n\ndef go():\n    load()\n"), *[f for f in files.items() if f[0].startswith("src")]], "path string, code string")).cache()
+    ids = {r["id"]: r["path"] for r in near.where("kind in ('function', 'file')").collect()}
+    assert [ids[r["dst_id"]] for r in python_code.build_edges(near, "").where("kind = 'Calls'").collect()] == ["src/deep/store_impl.py"]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "store", "graph", "conversations", "scalars", "streams", "code")
+MODULES = ("retrieval", "store", "graph", "conversations", "scalars", "streams", "code", "code_brace")
 
 
 def _gather(name):

@@ -69,7 +69,7 @@ def _rows(spark, sf):
 
 
 def _labels(rows):
-    return rows.where("kind in ('file', 'function', 'method', 'class')").select("id", F.concat_ws(":", "path", "name").alias("label"))
+    return rows.where(F.col("kind").isin("file", *python_code.DEFINITIONS)).select("id", F.concat_ws(":", "path", "name").alias("label"))
 
 
 def _edges(spark, sf, kind):

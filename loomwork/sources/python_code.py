@@ -1,16 +1,17 @@
-"""Python sources as rows: elements, calls, imports and bases, read with the standard parser.
+"""Sources as rows: elements, calls, imports and bases; and the edges between them.
 
-Of the languages only Python has a parser at hand; other files give a file row and nothing else.
+Python is read with the standard parser, languages with braces by ``brace_code``; other files give a file row and nothing else.
 """
 
 import ast
-import hashlib
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from loomwork.operators import graph, path_index
 from loomwork.operators.lineage import cut
+from loomwork.sources import brace_code
+from loomwork.sources.elements import element_id
 
 #: Builtins whose plain calls aren't of interest.
 BUILTINS = {
@@ -20,16 +21,20 @@ BUILTINS = {
     "oct", "open", "ord", "pow", "print", "property", "range", "repr", "reversed", "round", "set", "setattr", "slice", "sorted", "staticmethod",
     "str", "sum", "super", "tuple", "type", "vars", "zip",
 }
+#: Kinds that are defined in a file, and those of them that others inherit from.
+TYPES = ("class", "struct", "enum", "interface")
+DEFINITIONS = ("function", "method", *TYPES)
 SCHEMA = "path string, kind string, id string, name string, owner string, start_line int, end_line int, detail string, names array<string>, level int"
 
 
-def element_id(kind, *parts):
-    return f"{kind}_{hashlib.sha256('/'.join((kind, *parts)).encode()).hexdigest()[:16]}"
-
-
 def parse(path, code):
-    """Rows of one file: kinds file, function, method, class, call, import and base. Code that doesn't parse gives the file row only."""
+    """Rows of one file: kinds file, function, method, class, struct, enum, interface, call, import and base. Code that doesn't parse gives the file row only."""
+    found = brace_code.parse(path, code)
+    if found is not None:
+        return found
     rows = [(path, "file", element_id("file", path), path.rsplit("/", 1)[-1], None, 1, code.count("\n") + 1, None, None, None)]
+    if not path.endswith((".py", ".pyi")):
+        return rows
     try:
         tree = ast.parse(code)
     except (SyntaxError, ValueError):
@@ -61,7 +66,7 @@ def parse(path, code):
     return rows
 
 
-def read_code(spark, root, glob="*.py"):
+def read_code(spark, root, glob="*.{py,pyi," + ",".join(brace_code.LANGUAGES) + "}"):
     """Rows of all files under ``root`` that fit ``glob``; hidden folders are left out. Unreadable text is left out too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).where(~F.col("path").rlike(r"/\.[^/]+/"))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
@@ -90,7 +95,7 @@ def module_path(path, root):
 def guess_imports(imports, rows):
     """``imports`` (with ``name``, the module as written) with ``found``: the first file or definition of that name, else of its last segment after '.', else the first file whose path contains it with '/' for '.' and '::'. Others, and empty names, are left out."""
     wanted = imports.where("name <> ''").withColumn("last", F.substring_index("name", ".", -1)).withColumn("normal", F.replace(F.replace("name", F.lit("."), F.lit("/")), F.lit("::"), F.lit("/")))
-    named = graph.first_by(rows.where("kind in ('file', 'function', 'method', 'class')"), ["name"], "path", "start_line", "id").select("name", F.col("id").alias("exact"))
+    named = graph.first_by(rows.where(F.col("kind").isin("file", *DEFINITIONS)), ["name"], "path", "start_line", "id").select("name", F.col("id").alias("exact"))
     wanted = wanted.join(named, "name", "left").join(named.toDF("last", "tail"), "last", "left")
     open_ = wanted.where("exact is null and tail is null").select(F.col("normal").alias("needle"))
     files = rows.where("kind = 'file'").select("path", F.col("id").alias("inside"))
@@ -112,14 +117,14 @@ def guess_calls(calls, rows, local):
 def build_edges(rows, root):
     """Edges (src_id, dst_id, kind) of extracted rows: Defines, Imports, Calls, Inherits.
 
-    A called name goes to the function, method or class of that name in the same file, else in a module that the file imports, else to the first
+    A called name goes to the definition of that name in the same file, else in a module that the file imports, else to the first
     one (by path and line) whose path contains a module or name that the file imports, else to the first of all; calls of itself are left out.
     An import goes to the file of its module (a relative one from its package; else to that of the module's parent), else to the first file or definition with the module's
     name, else with its last segment, else to the first file whose path contains the module with '/' for '.' and '::'; and to each imported name's first definition.
-    A base goes to the first class of its name.
+    A base goes to the first class, struct, enum or interface of its name.
     """
     files = rows.where("kind = 'file'").select("path", F.col("id").alias("file_id"), module_path(F.col("path"), root).alias("module"))
-    defs = rows.where("kind in ('function', 'method', 'class')").select("name", "id", "kind", "path", "start_line")
+    defs = rows.where(F.col("kind").isin(*DEFINITIONS)).select("name", "id", "kind", "path", "start_line")
     defines = defs.join(files, "path").select(F.col("file_id").alias("src_id"), F.col("id").alias("dst_id"), F.lit("Defines").alias("kind"))
 
     imports = rows.where("kind = 'import'").join(files.select("path", "file_id", F.col("module").alias("here")), "path")
@@ -152,6 +157,6 @@ def build_edges(rows, root):
     found = found.join(third, ["path", "name"], "left").select("path", "name", F.coalesce("here", "near", "third", "dst_id").alias("dst_id"))
     call_edges = calls.join(found, ["path", "name"]).where("src_id <> dst_id").select("src_id", "dst_id", F.lit("Calls").alias("kind"))
 
-    classes = graph.first_by(defs.where("kind = 'class'"), ["name"], "path", "start_line", "id").select("name", F.col("id").alias("dst_id"))
+    classes = graph.first_by(defs.where(F.col("kind").isin(*TYPES)), ["name"], "path", "start_line", "id").select("name", F.col("id").alias("dst_id"))
     inherits = rows.where("kind = 'base'").select("name", F.col("id").alias("src_id")).distinct().join(classes, "name").select("src_id", "dst_id", F.lit("Inherits").alias("kind"))
     return defines.union(import_edges.select("src_id", "dst_id", "kind")).union(call_edges).union(inherits)

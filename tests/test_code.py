@@ -86,3 +86,157 @@ def test_guessed_edges(spark):
     near = python_code.extract(spark.createDataFrame([("app/m.py", "import store_impl\n\ndef go():\n    load()\n"), *[f for f in files.items() if f[0].startswith("src")]], "path string, code string")).cache()
     ids = {r["id"]: r["path"] for r in near.where("kind in ('function', 'file')").collect()}
     assert [ids[r["dst_id"]] for r in python_code.build_edges(near, "").where("kind = 'Calls'").collect()] == ["src/deep/store_impl.py"]
+
+
+def found(path, code, kind, *fields):
+    names = ("path", "kind", "id", "name", "owner", "start_line", "end_line", "detail", "names", "level")
+    rows = [dict(zip(names, r, strict=True)) for r in python_code.parse(path, code)]
+    by = {r["id"]: r["name"] for r in rows if r["kind"] not in ("call", "import", "base")}
+    return [tuple(by[r["id"]] if f == "in" else r[f] for f in fields) if len(fields) > 1 else r[fields[0]] for r in rows if r["kind"] in (kind if isinstance(kind, tuple) else (kind,))]
+
+
+DEFS = python_code.DEFINITIONS
+SCRIPT = """import React, { useState as us, type Foo } from "react";
+import * as path from 'path';
+import "side";
+const q = require("./q");
+/** Widget doc
+ * more */
+export class Widget<T> extends React.Component<Props> implements Named, Other {
+  x = compute(1)
+  constructor(a: string) { super(a); init(`n ${fmt(a, `${deep()}`)} } call(`); }
+  static async run(n: number): Promise<{ a: string }> { if (n) { this.go().then(x => log(x)); } return new Foo(bar()); }
+  abstract foo(): void;
+}
+interface Shape extends Base { area(): number; }
+enum Color { Red = pick("x") }
+// says hi
+async function hi(x) { /* call() */ const r = /foo(bar)[/(]/.test("baz("); return a / b(2) / c; }
+const k = function inner() { z(); };
+const o = { m() { y?.z(); }, n: () => w() };
+"""
+RUST = """use std::collections::{HashMap, hash_map::Entry as E, self};
+use crate::graph::Node;
+pub use foo::*;
+mod util;
+mod inline { fn hidden() { a() } }
+/// A point.
+/// Two lines.
+#[derive(Debug, Clone)]
+pub struct Point<T> { x: T, f: fn(i32) -> i32 }
+pub enum Kind { A(i32), B { c: u8 } }
+impl<T: Fmt> fmt::Display for Point<T> where T: Copy {
+    pub(crate) fn fmt<'a>(&'a self, f: &mut Formatter) -> Result<(), Error> {
+        let c = '{'; let d = b'"'; let s = r#"raw " } call()"#; /* a /* nested */ call() */
+        write!(f, "{}", self.x.abs())?;
+        match q { Some(v) => Vec::new(v), None => helper(1)?.go() }
+    }
+}
+trait T { fn sig(&self); fn dflt(&self) { self.sig(); } }
+async fn main() { Point::<i32>::make(1); if let Ok(z) = get() { z(); } }
+"""
+GO = """package main
+import "fmt"
+import (
+    "os"
+    alias "net/http"
+)
+// Run runs.
+func Run(x int) (interface{}, error) {
+    fmt.Println(`raw { call()`, '{')
+    go func() { work() }()
+    b := []byte(s)
+    return helper(x).Next(), nil
+}
+type I interface { Do(x int) }
+func (s *Svc) Start() { s.f(1); defer s.stop() }
+"""
+JAVA = """package com.x;
+import java.util.*;
+import static java.lang.Math.max;
+/** Doc. */
+@Service("a{")
+public class M extends Base<String> implements Runnable, Comparable<M> {
+  private int x = compute(1);
+  public M(int a) { super(a); this.x = a; }
+  @Override
+  public void run() throws IOException { System.out.println("}" + foo()); new Thing(bar()).go(); }
+  abstract int size();
+  enum E { A(1), B(2); E(int x) { init(x); } }
+}
+"""
+C = """#include <stdio.h>
+#include "local.h"
+#define CALL(x) foo(x) { \\\\
+   bar()
+struct point { int x; };
+static int add(int a, int b) { return mul(a, sub(b)); }
+int proto(int);
+int *ptr(void)
+{
+    struct point p; char c = '"'; p.f->g(1); sizeof(int); if (x) { puts("}"); }
+}
+"""
+CPP = """namespace ns {
+class Derived : public Base, private ns::Other<int> {
+ public:
+  Derived(int a) : x(a), y(a) { init(); }
+  int get() const { return std::sort(v.begin(), v.end()); }
+  void decl(int);
+};
+template <typename T> T Derived::run(T t) { auto s = R"x(call() })x"; return t; }
+}
+"""
+
+
+def test_script():
+    assert found("a.ts", SCRIPT, DEFS, "kind", "name", "start_line", "end_line") == [("class", "Widget", 7, 12), ("method", "constructor", 9, 9), ("method", "run", 10, 10), ("interface", "Shape", 13, 13), ("enum", "Color", 14, 14), ("function", "hi", 16, 16), ("function", "m", 18, 18)]
+    assert found("a.ts", SCRIPT, "import", "name", "names") == [("react", ["React", "useState", "Foo"]), ("path", ["*"]), ("side", []), ("./q", [])]
+    assert found("a.ts", SCRIPT, "base", "name") == ["Component", "Named", "Other", "Base"]
+    assert found("a.ts", SCRIPT, DEFS, "detail")[::5] == ["Widget doc\nmore", "says hi"]
+    assert found("a.ts", SCRIPT, "call", "name", "detail", "in") == [
+        ("require", None, "a.ts"), ("compute", None, "Widget"), ("init", None, "constructor"), ("fmt", None, "constructor"), ("deep", None, "constructor"), ("go", "this", "run"), ("then", "this.go()", "run"), ("log", None, "run"), ("bar", None, "run"),
+        ("test", "/foo(bar)[/(]/", "hi"), ("b", None, "hi"), ("z", None, "a.ts"), ("z", "y", "m"), ("w", None, "a.ts"),
+    ]
+
+
+def test_rust():
+    assert found("a.rs", RUST, DEFS, "kind", "name", "start_line", "end_line") == [("function", "hidden", 5, 5), ("struct", "Point", 9, 9), ("enum", "Kind", 10, 10), ("class", "Point<T>", 11, 17), ("method", "fmt", 12, 16), ("function", "dflt", 18, 18), ("function", "main", 19, 19)]
+    assert found("a.rs", RUST, "import", "name", "names") == [("std::collections", ["collections", "HashMap", "hash_map::Entry"]), ("crate::graph::Node", ["graph", "Node"]), ("foo", ["*"]), ("util", ["util"])]
+    assert found("a.rs", RUST, "base", "name", "in") == [("Display", "Point<T>")] and found("a.rs", RUST, "struct", "detail") == ["A point.\nTwo lines."]
+    assert found("a.rs", RUST, "call", "name", "detail", "in") == [("a", None, "hidden"), ("abs", "self.x", "fmt"), ("new", "Vec", "fmt"), ("helper", None, "fmt"), ("go", "helper(1)?", "fmt"), ("sig", "self", "dflt"), ("make", "Point::<i32>", "main"), ("get", None, "main"), ("z", None, "main")]
+
+
+def test_go():
+    assert found("a.go", GO, DEFS, "kind", "name", "start_line", "end_line", "detail") == [("function", "Run", 8, 13, "Run runs."), ("function", "Start", 15, 15, None)]
+    assert found("a.go", GO, "import", "name", "names", "start_line") == [("fmt", ["fmt"], 2), ("os", ["os"], 4), ("net/http", ["http"], 5)]
+    assert found("a.go", GO, "call", "name", "detail") == [("Println", "fmt"), ("work", None), ("helper", None), ("Next", "helper(x)"), ("f", "s"), ("stop", "s")]
+
+
+def test_java():
+    assert found("a.java", JAVA, DEFS, "kind", "name", "start_line", "end_line") == [("class", "M", 5, 13), ("method", "M", 8, 8), ("method", "run", 9, 10), ("method", "size", 11, 11), ("enum", "E", 12, 12), ("method", "E", 12, 12)]
+    assert found("a.java", JAVA, "import", "name", "names") == [("com.x", []), ("java.util.*", ["*"]), ("java.lang.Math.max", ["max"])]
+    assert found("a.java", JAVA, "base", "name") == ["Base", "Runnable", "Comparable"] and found("a.java", JAVA, "class", "detail") == ["Doc."]
+    assert found("a.java", JAVA, "call", "name", "detail", "in") == [("compute", None, "M"), ("println", "System.out", "run"), ("foo", None, "run"), ("bar", None, "run"), ("go", "new Thing(bar())", "run"), ("init", None, "E")]
+
+
+def test_c():
+    assert found("a.c", C, DEFS, "kind", "name", "start_line", "end_line") == [("struct", "point", 5, 5), ("function", "add", 6, 6), ("function", "ptr", 8, 11)]
+    assert found("a.c", C, "import", "name") == ["stdio.h", "local.h"] and found("a.c", C, "call", "name", "detail") == [("mul", None), ("sub", None), ("g", "p.f"), ("puts", None)]
+    assert found("a.cpp", CPP, DEFS, "kind", "name", "start_line", "end_line") == [("class", "Derived", 2, 7), ("method", "Derived", 4, 4), ("method", "get", 5, 5), ("function", "run", 8, 8)]
+    assert found("a.cpp", CPP, "base", "name") == ["Base", "Other"] and found("a.cpp", CPP, "call", "name", "detail") == [("init", None), ("sort", "std"), ("begin", "v"), ("end", "v")]
+
+
+@pytest.mark.parametrize("path", ["a.ts", "a.rs", "a.go", "a.java", "a.c", "a.cpp", "a.py", "a.txt", "noext"])
+@pytest.mark.parametrize("code", ["", "\n\n", "}}}{{{", "((([[[", '"unfinished', "'", "`${`${", "/* open", "use ", "import ", "import", "class", "fn", "impl", "func (", "#include", "x" * 100_000, "é(ü) {ß}", "}}`}", "a.b.c.d().e(", "namespace {", "new", "r#\"", "impl<T", "enum class"])
+def test_broken_sources(path, code):
+    rows = python_code.parse(path, code)
+    assert rows[0][1] == "file" and rows[0][6] == code.count("\n") + 1
+    assert all(1 <= r[5] <= r[6] <= code.count("\n") + 1 for r in rows)
+
+
+def test_cut_sources():
+    """Every beginning of the sources is read without an error."""
+    for path, code in (("a.ts", SCRIPT), ("a.rs", RUST), ("a.go", GO), ("a.java", JAVA), ("a.c", C), ("a.cpp", CPP)):
+        for n in range(len(code)):
+            python_code.parse(path, code[:n])

@@ -79,6 +79,13 @@ def _edges(spark, sf, kind):
     return e.join(names.toDF("src_id", "src"), "src_id").join(names.toDF("dst_id", "dst"), "dst_id").select("src", "dst")
 
 
+def element_texts(spark, sf):
+    """doc_id (path, kind and name) and text (name, code and docstring) of every element."""
+    rows = _rows(spark, sf).where(F.col("kind").isin("file", *python_code.DEFINITIONS)).join(_files(spark, sf).select("path", "code"), "path")
+    own = F.array_join(F.slice(F.split("code", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    return rows.select(F.concat_ws(":", "path", "kind", "name").alias("doc_id"), F.concat_ws(" ", "name", own, F.coalesce("detail", F.lit(""))).alias("text"))
+
+
 def e01_elements(spark, sf):
     """Files, classes, methods and functions with their lines."""
     return _rows(spark, sf).where("kind in ('file', 'class', 'method', 'function')").select("path", "kind", "name", "start_line", "end_line")
@@ -135,6 +142,8 @@ QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "sejg" and n[1:3
 X = f"WITH x AS (SELECT *, h % 25 AS fh, {PATH} AS path FROM (SELECT *, p_partkey AS k, p_partkey // 2 AS h FROM part)), f AS (SELECT *, {_code()} AS code FROM x)"
 DEFS = f"""{X}, n AS (SELECT k, path, 'class' AS kind, 'Part' || k AS name, 5 AS start_line, 12 AS end_line FROM x UNION ALL SELECT k, path, 'method', 'price', 8, 9 FROM x UNION ALL SELECT k, path, 'method', 'scale', 11, 12 FROM x
   UNION ALL SELECT k, path, 'function', 'helper_' || k, 14, 16 FROM x UNION ALL SELECT k, path, 'function', 'common', 18, 19 FROM x WHERE k % 2 = 0)"""
+TEXTS_SQL = f"""{DEFS} SELECT n.path || ':' || n.kind || ':' || n.name AS doc_id, n.name || ' ' || array_to_string(list_slice(string_split(f.code, chr(10)), n.start_line, n.end_line), chr(10)) || ' ' ||
+  CASE WHEN n.kind = 'class' THEN f.p_name WHEN n.name = 'helper_' || n.k THEN 'Helper of ' || f.p_type || '.' ELSE '' END AS text FROM n JOIN f USING (k) UNION ALL SELECT path || ':file:p' || k || '.py', 'p' || k || '.py ' || code FROM f"""
 FILE = "path || ':p' || k || '.py'"
 CALLS = f"""{DEFS}, seen AS (SELECT k, h AS other FROM x UNION SELECT k, k - 25 FROM x WHERE k >= 25), c AS (SELECT k, path FROM n WHERE name = 'common'),
   cand AS (SELECT x.k, c.path, CASE WHEN x.k = c.k THEN 1 ELSE 2 END AS rank FROM x JOIN c ON c.k = x.k OR c.k IN (SELECT other FROM seen WHERE seen.k = x.k)

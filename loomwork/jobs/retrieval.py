@@ -1,5 +1,7 @@
 """Retrieval queries (R, O08): BM25, cosine, ranking."""
 
+import uuid
+
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Window as W
@@ -7,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.fuzzy import fuzzy_score
-from loomwork.operators import bm25, vectors
+from loomwork.jobs import code
+from loomwork.operators import bm25, postings, vectors
+from loomwork.operators.lineage import checkpoint_dir
 from loomwork.sources.tables import table
 
 TOKENS_SQL = "tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM documents)"
@@ -21,9 +25,9 @@ def _asked(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _bm25_sql(docs, k, df):
+def _bm25_sql(docs, k, df, asked="SELECT item_id AS query_id, text FROM benchmark"):
     return f"""WITH d AS ({docs}), tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM d),
-    q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
+    q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM ({asked})) GROUP BY ALL),
     tf AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, {df} AS df FROM tf GROUP BY term),
     len AS (SELECT d.doc_id, count(t.term) AS len FROM d LEFT JOIN tok t USING (doc_id) GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS avg_len FROM len),
     sc AS (SELECT query_id, tf.doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) AS score
@@ -48,6 +52,35 @@ def r04_bm25_remove(spark, sf):
     return bm25.search(bm25.remove(docs, table(spark, sf, "labels").where("toxic = 1")), _asked(spark, sf), k=5, df_mode="document")
 
 
+def _index(spark):
+    """A new folder for an index, shared by all executors."""
+    return f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
+
+
+def s06_index_search(spark, sf):
+    """The documents stored as an index, then searched: ranks as in r03, with document frequencies."""
+    path = _index(spark)
+    postings.add(_docs(spark, sf), path, buckets=8)
+    return postings.search(_asked(spark, sf), path).drop("blocks_read", "blocks_there")
+
+
+def s06_index_delta(spark, sf):
+    """An index that is built of four fifths of the documents, gets the rest and some of the first again, and loses the toxic ones."""
+    path, docs, k = _index(spark), _docs(spark, sf), F.col("doc_id")
+    postings.add(docs.where(k % 5 != 0).withColumn("text", F.when(k % 50 == 1, F.lit("of no account")).otherwise(F.col("text"))), path, buckets=8)
+    postings.add(docs.where((k % 5 == 0) | (k % 50 == 1)), path)
+    postings.remove(table(spark, sf, "labels").where("toxic = 1"), path)
+    return postings.search(_asked(spark, sf), path, k=5).drop("blocks_read", "blocks_there")
+
+
+def r03_code_search(spark, sf):
+    """A stored index over code elements (name, code and docstring), asked for the docstring of each kind of part."""
+    path = _index(spark)
+    postings.add(code.element_texts(spark, sf), path, buckets=8)
+    asked = table(spark, sf, "part").select(F.col("p_type").alias("query_id"), F.concat(F.lit('def """Helper of '), "p_type", F.lit('."""')).alias("text")).distinct()
+    return postings.search(asked, path).drop("blocks_read", "blocks_there")
+
+
 def _knn(spark, sf, **kw):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return vectors.knn(v, v.where("vec_id % 20 = 0"), **kw)
@@ -101,12 +134,15 @@ def r09_score_order(spark, sf):
     return top.withColumn("rank", F.row_number().over(order))
 
 
-QUERIES = {f.__name__: f for f in (r01_tokenize, r02_bm25_postings, r03_bm25_search, r04_bm25_remove, r05_cosine_knn, r06_cosine_knn_positive, r07_tool_search, r08_fuzzy_search, r09_score_order, r10_fuzzy_match)}
+QUERIES = {f.__name__: f for f in (r01_tokenize, r02_bm25_postings, r03_bm25_search, r04_bm25_remove, r05_cosine_knn, r06_cosine_knn_positive, r07_tool_search, r08_fuzzy_search, r09_score_order, r10_fuzzy_match, s06_index_search, s06_index_delta, r03_code_search)}
 ORACLES = {
     "r01_tokenize": f"WITH {TOKENS_SQL} SELECT term, count(*) AS cf FROM tok GROUP BY 1",
     "r02_bm25_postings": f"WITH {TOKENS_SQL} SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2",
     "r03_bm25_search": _bm25_sql("SELECT doc_id, text FROM documents", 10, "sum(tf)"),
     "r04_bm25_remove": _bm25_sql("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", 5, "count(*)"),
+    "s06_index_search": _bm25_sql("SELECT doc_id, text FROM documents", 10, "count(*)"),
+    "s06_index_delta": _bm25_sql("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", 5, "count(*)"),
+    "r03_code_search": _bm25_sql(code.TEXTS_SQL, 10, "count(*)", "SELECT DISTINCT p_type AS query_id, 'def \"\"\"Helper of ' || p_type || '.\"\"\"' AS text FROM part"),
     "r05_cosine_knn": _cosine_sql(5, -1),
     "r06_cosine_knn_positive": _cosine_sql(3, 0),
     "r09_score_order": "SELECT page_id, url, length(html) AS score, row_number() OVER (ORDER BY length(html) DESC, url, page_id) AS rank FROM pages ORDER BY rank LIMIT 100",

@@ -8,6 +8,9 @@ Below ``path`` lie Parquet tables: ``blocks``, ``terms`` and ``forward`` (by gen
 in ``meta``, with the format's version, comes last, so what a broken write left is never read. There is one writer at a time.
 """
 
+import uuid
+from collections import namedtuple
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,34 +23,55 @@ VERSION, RANGE = 1, 1024
 FIRST = 2
 
 
-def _bucket(column, buckets):
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+#: The tables' columns; {} is the type of doc_id.
+SCHEMAS = {
+    "forward": "doc_id {}, len long, terms array<struct<term:string,tf:long>>, gen long, bucket int",
+    "blocks": "term string, span long, max_tf long, min_len long, postings array<struct<doc_id:{},tf:long,len:long>>, gen long, bucket int",
+    "terms": "term string, df long, cf long, gen long, bucket int",
+    "stats": "n long, total long, gen long",
+    "removed": "doc_id {}, gen long",
+}
+Index = namedtuple("Index", "path gens buckets id_type")
+
+
+def _bucket(column, index):
+    return F.pmod(F.xxhash64(column), F.lit(index.buckets)).cast("int")
 
 
-def generations(spark, path):
-    """The index's generations and its number of buckets; none if there is no index. Another version is refused."""
+def opened(spark, path):
+    """The index at ``path``, None if there is none. Another version is refused."""
     try:
-        rows = spark.read.parquet(f"{path}/meta").select("version", "gen", "buckets").distinct().collect()  # one for each write
+        rows = spark.read.parquet(f"{path}/meta").distinct().collect()  # one for each write
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return [], None
+        return None
     odd = {r["version"] for r in rows} - {VERSION}
     if odd:
         raise ValueError(f"unsupported format version: {sorted(odd)[0]}")
-    return sorted(r["gen"] for r in rows), rows[0]["buckets"]
+    return Index(path, sorted(r["gen"] for r in rows), rows[0]["buckets"], rows[0]["id_type"])
+
+
+def _next(index):
+    """A generation after all others, of another number than what a broken write may have left."""
+    return ((max([0, *index.gens]) >> 20) + 1 << 20) + (uuid.uuid4().int & (1 << 20) - 1)
 
 
-def _read(spark, path, name, gens):
-    return spark.read.parquet(f"{path}/{name}").where(F.col("gen").isin(gens))
+def _read(spark, index, name, gens=None):
+    return spark.read.schema(SCHEMAS[name].format(index.id_type)).parquet(f"{index.path}/{name}").where(F.col("gen").isin(gens or index.gens))
 
 
-def _write(df, path, name, by=("gen",)):
-    df.write.mode("append").partitionBy(*by).parquet(f"{path}/{name}")
+def _write(df, index, name, gen):
+    by = ["gen", "bucket"] if "bucket" in SCHEMAS[name] else ["gen"]
+    df = df.withColumn("gen", F.lit(gen))
+    if "bucket" in by:
+        df = df.withColumn("bucket", _bucket(df.columns[0], index)).hint("rebalance", "bucket").sortWithinPartitions("gen", "bucket", df.columns[0])
+    df.write.mode("append").partitionBy(*by).parquet(f"{index.path}/{name}")
 
 
-def _finish(spark, path, gen, buckets):
-    spark.createDataFrame([(VERSION, gen, buckets)], "version int, gen int, buckets int").coalesce(1).write.mode("append").parquet(f"{path}/meta")
+def _finish(spark, index, gen):
+    row = [(VERSION, gen, index.buckets, index.id_type)]
+    spark.createDataFrame(row, "version int, gen long, buckets int, id_type string").coalesce(1).write.mode("append").parquet(f"{index.path}/meta")
 
 
 def add(docs, path, buckets=64):
@@ -56,30 +80,26 @@ def add(docs, path, buckets=64):
     Rows that repeat an id count as one document with the first text in order; null ids are left out; null texts are empty documents.
     """
     spark = docs.sparkSession
-    if generations(spark, path)[0]:
+    if opened(spark, path):
         remove(docs.select("doc_id"), path)
-    gens, known = generations(spark, path)
-    gen, buckets = max([0, *gens]) + 1, known or buckets
+    index = opened(spark, path) or Index(path, [], buckets, docs.schema["doc_id"].dataType.simpleString())
+    gen = _next(index)
     one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
     terms = one.select("doc_id", F.explode_outer(bm25.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("term").alias("tf"))
     forward = terms.groupBy("doc_id").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("len"), F.filter(F.collect_list(F.struct("term", "tf")), lambda t: t["term"].isNotNull()).alias("terms"))
-    forward = forward.withColumn("gen", F.lit(gen)).withColumn("bucket", _bucket("doc_id", buckets))
-    _write(forward.repartition("bucket"), path, "forward", ("gen", "bucket"))
-    forward = _read(spark, path, "forward", [gen])
+    _write(forward, index, "forward", gen)
+    forward = _read(spark, index, "forward", [gen])
     # ranges: classes of lengths, four for each doubling, split by hash into parts of about RANGE
     kind = F.floor(4 * F.log2(F.col("len") + 1)).cast("int")
-    sizes = {r["kind"]: r["count"] for r in forward.groupBy(kind.alias("kind")).count().collect()}  # some 200 classes at most
-    if sizes:
-        parts = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, -(-n // RANGE))])
-        span = F.shiftleft(F.lit(gen).cast("long"), 44) + F.shiftleft(kind.cast("long"), 34) + F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.element_at(parts, kind))
-        entries = forward.select(span.alias("span"), "doc_id", "len", F.explode("terms").alias("t")).select("span", "doc_id", "len", "t.term", "t.tf")
-        blocks = entries.groupBy("term", "span").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("postings"))
-        blocks = blocks.withColumn("gen", F.lit(gen)).withColumn("bucket", _bucket("term", buckets))
-        _write(blocks.hint("rebalance", "bucket").sortWithinPartitions("gen", "bucket", "term", "span"), path, "blocks", ("gen", "bucket"))
-        counts = entries.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        _write(counts.withColumn("gen", F.lit(gen)).withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("gen", "bucket", "term"), path, "terms", ("gen", "bucket"))
-    _write(forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).withColumn("gen", F.lit(gen)), path, "stats")
-    _finish(spark, path, gen, buckets)
+    sizes = {r["kind"]: r["count"] for r in forward.groupBy(kind.alias("kind")).count().collect()} or {0: 1}  # some 200 classes at most
+    parts = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, -(-n // RANGE))])
+    span = F.xxhash64(F.lit(gen), kind, F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.element_at(parts, kind)))  # ranges that met by chance would only be bounded together
+    entries = forward.select(span.alias("span"), "doc_id", "len", F.explode("terms").alias("t")).select("span", "doc_id", "len", "t.term", "t.tf")
+    blocks = entries.groupBy("term", "span").agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("postings"))
+    _write(blocks, index, "blocks", gen)
+    _write(entries.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), index, "terms", gen)
+    _write(forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")), index, "stats", gen)
+    _finish(spark, index, gen)
 
 
 def _alive(rows, removed):
@@ -90,9 +110,9 @@ def _alive(rows, removed):
     return rows.join(last, "doc_id", "left").where("gone is null or gone < gen").drop("gone")
 
 
-def _removed(spark, path, gens):
+def _removed(spark, index, gens=None):
     try:
-        return _read(spark, path, "removed", gens)
+        return _read(spark, index, "removed", gens)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -102,31 +122,31 @@ def _removed(spark, path, gens):
 def remove(ids, path):
     """Removes the documents of ``ids(doc_id)``: their terms are taken off the statistics, their postings are passed over by searches. Ids that aren't there change nothing."""
     spark = ids.sparkSession
-    gens, buckets = generations(spark, path)
-    if not gens:
+    index = opened(spark, path)
+    if index is None:
         return
-    gen = gens[-1] + 1
-    wanted = ids.where("doc_id is not null").select("doc_id").distinct()
-    there = _alive(_read(spark, path, "forward", gens).join(wanted, "doc_id", "left_semi"), _removed(spark, path, gens))
-    _write(there.select("doc_id").withColumn("gen", F.lit(gen)), path, "removed")
-    gone = _read(spark, path, "removed", [gen]).select("doc_id")
-    there = _alive(_read(spark, path, "forward", gens).join(gone, "doc_id", "left_semi"), _removed(spark, path, gens))
-    counts = there.select(F.explode("terms").alias("t")).groupBy("t.term").agg((-F.count("*")).alias("df"), (-F.sum("t.tf")).alias("cf"))
-    _write(counts.withColumn("gen", F.lit(gen)).withColumn("bucket", _bucket("term", buckets)), path, "terms", ("gen", "bucket"))
-    _write(there.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("len"), F.lit(0))).alias("total")).withColumn("gen", F.lit(gen)), path, "stats")
-    _finish(spark, path, gen, buckets)
+    gen = _next(index)
+    there = lambda which: _alive(_read(spark, index, "forward").where(F.col("bucket").isin(asked_for)).join(which, "doc_id", "left_semi"), _removed(spark, index))
+    wanted = cut(ids.where("doc_id is not null").select(F.col("doc_id").cast(index.id_type)).distinct())
+    asked_for = [r[0] for r in wanted.select(_bucket("doc_id", index)).distinct().collect()] or [-1]  # as many as buckets at most
+    _write(there(wanted).select("doc_id"), index, "removed", gen)
+    gone = there(_removed(spark, index, [gen]).select("doc_id"))
+    counts = gone.select(F.explode("terms").alias("t")).groupBy("t.term").agg((-F.count("*")).alias("df"), (-F.sum("t.tf")).alias("cf"))
+    _write(counts, index, "terms", gen)
+    _write(gone.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("len"), F.lit(0))).alias("total")), index, "stats", gen)
+    _finish(spark, index, gen)
 
 
 def search(queries, path, k=10, k1=1.5, b=0.75, df_mode="document"):
     """Best ``k`` documents of ``queries(query_id, text)``: query_id, doc_id, score, rank as ``bm25.search`` gives them, with blocks_read and blocks_there of the query."""
     spark = queries.sparkSession
-    gens, buckets = generations(spark, path)
-    if not gens:
+    index = opened(spark, path)
+    if index is None:
         raise ValueError(f"no index at {path}")
     asked = queries.select("query_id", F.explode(bm25.terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked_for = [r[0] for r in asked.select(_bucket("term", buckets)).distinct().collect()]  # as many as buckets at most
-    within = lambda name: _read(spark, path, name, gens).where(F.col("bucket").isin(asked_for))
-    stats = _read(spark, path, "stats", gens).agg(F.sum("n").alias("n_docs"), F.try_divide(F.sum("total"), F.sum("n")).alias("avg_len"))
+    asked_for = [r[0] for r in asked.select(_bucket("term", index)).distinct().collect()] or [-1]  # as many as buckets at most
+    within = lambda name: _read(spark, index, name).where(F.col("bucket").isin(asked_for))
+    stats = _read(spark, index, "stats").agg(F.sum("n").alias("n_docs"), F.try_divide(F.sum("total"), F.sum("n")).alias("avg_len"))
     counts = within("terms").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("cf" if df_mode == "collection" else "df").alias("df")).where("df > 0")
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = asked.join(counts, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "avg_len")  # stats: one row
@@ -134,7 +154,7 @@ def search(queries, path, k=10, k1=1.5, b=0.75, df_mode="document"):
     heads = within("blocks").select("term", "span", "max_tf", "min_len").join(weights, "term")
     bounds = heads.groupBy("query_id", "span").agg(F.sum(F.greatest(F.lit(0.0), F.col("weight") * part("max_tf", "min_len"))).alias("bound"), F.count("*").alias("blocks"))
     bounds = cut(bounds)
-    removed = _removed(spark, path, gens)
+    removed = _removed(spark, index)
 
     def scored(chosen):
         need = chosen.select("query_id", "span").join(weights, "query_id")

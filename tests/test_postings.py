@@ -75,6 +75,8 @@ def test_broken_writes_and_versions(spark, asked, tmp_path, monkeypatch):
         with pytest.raises(ZeroDivisionError):
             postings.add(spark.createDataFrame(rows[50:], SCHEMA).where("doc_id > 70"), path)
     assert ranks(postings.search(asked, path)) == before
+    postings.add(spark.createDataFrame(rows[50:60], SCHEMA), path)
+    assert ranks(postings.search(asked, path)) == ranks(bm25.search(spark.createDataFrame(rows[:60], SCHEMA), asked, df_mode="document"))
     monkeypatch.setattr(postings, "VERSION", 2)
     with pytest.raises(ValueError, match="unsupported format version: 1"):
         postings.search(asked, path)

@@ -158,6 +158,9 @@ TOK = "CAST(ceil(strlen(text) / 4) AS BIGINT)"
 CALLS = f"""c AS (SELECT DISTINCT l_orderkey AS conv_id, l_linenumber * 1000000 + l_partkey AS ord, ({list(KINDS)})[l_suppkey % 6 + 1] AS kind, CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 2 END AS call_id FROM lineitem),
   q AS (SELECT *, CASE kind WHEN 'function_call' THEN 'function_output' WHEN 'shell_call' THEN 'function_output' WHEN 'custom_call' THEN 'custom_output' END AS want FROM c)"""
 ORACLES = {
+    "x12_roll_back": """WITH e AS (SELECT conv_id, turn, length(text) % 7 = 0 AS back FROM conversations),
+      s AS (SELECT *, sum(CASE WHEN back THEN -2 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM e), d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY conv_id ORDER BY turn)) AS depth FROM s)
+      SELECT conv_id, turn FROM d a WHERE NOT back AND NOT EXISTS (SELECT 1 FROM d b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.depth < a.depth)""",
     "j10_outputs_by_id": f"""WITH {CALLS} SELECT conv_id, ord::DOUBLE AS ord, kind, call_id, false AS aborted FROM c UNION ALL SELECT conv_id, ord + 0.5::DOUBLE, want, call_id, true FROM q
       WHERE want IS NOT NULL AND call_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = q.conv_id AND c.kind = q.want AND c.call_id = q.call_id)""",
     "j11_orphans_by_id": f"WITH {CALLS} SELECT conv_id, ord, kind, call_id FROM c WHERE kind NOT LIKE '%output' OR EXISTS (SELECT 1 FROM q WHERE q.conv_id = c.conv_id AND q.want = c.kind AND q.call_id = c.call_id)",

@@ -11,6 +11,10 @@ def _newest():
     return [F.desc("ts"), F.desc("id")]
 
 
+def _day():
+    return F.date_trunc("day", "ts")
+
+
 def _orders(spark, sf):
     return table(spark, sf, "orders")
 
@@ -153,15 +157,15 @@ def a16_distinct_ids(spark, sf):
 
 
 def w01_thread_budget(spark, sf):
-    return store.within_budget(logs(spark, sf).where("thread_id is not null"), ["thread_id"], _newest(), "estimated_bytes", 120).select("id")
+    return store.within_budget(logs(spark, sf).where("thread_id is not null"), ["thread_id"], _newest(), "estimated_bytes", 120, _day()).select("id")
 
 
 def w02_process_budget(spark, sf):
-    return store.within_budget(logs(spark, sf).where("thread_id is null and process_id is not null"), ["process_id"], _newest(), "estimated_bytes", 4000).select("id")
+    return store.within_budget(logs(spark, sf).where("thread_id is null and process_id is not null"), ["process_id"], _newest(), "estimated_bytes", 4000, _day()).select("id")
 
 
 def w03_null_process_budget(spark, sf):
-    return store.within_budget(logs(spark, sf).where("thread_id is null"), ["process_id"], _newest(), "estimated_bytes", 2000).select("id", "process_id")
+    return store.within_budget(logs(spark, sf).where("thread_id is null"), ["process_id"], _newest(), "estimated_bytes", 2000, _day()).select("id", "process_id")
 
 
 def _stage(spark, sf):
@@ -237,9 +241,10 @@ def u02_distinct_sorted(spark, sf):
 
 def x15_recent_buffer(spark, sf):
     """The newest 20 rows of each level with the level's total."""
-    x = logs(spark, sf)
-    w = W.partitionBy("level")
-    return x.select("id", "level", F.count("*").over(w).alias("total"), F.row_number().over(w.orderBy(*_newest())).alias("rn")).where("rn <= 20").select("id", "level", "total")
+    x = logs(spark, sf).select("id", "level", "ts")
+    newest = x.withColumn("rn", F.row_number().over(W.partitionBy("level").orderBy(*_newest()))).where("rn <= 20").select("id", "level")  # limited before it is shuffled
+    total = x.groupBy("level").agg(F.count("*").alias("total"))
+    return newest.join(total, newest["level"].eqNullSafe(total["level"])).select("id", newest["level"], "total")
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "skpawjoux" and n[1:3].isdigit()}

@@ -5,10 +5,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from loomwork.operators import store
 from loomwork.operators.lineage import checkpoint_dir
 from loomwork.sources.tables import table
 from loomwork.streaming import logs as lg
-from loomwork.streaming import work
+from loomwork.streaming import tables
 
 
 def scratch(spark):
@@ -29,16 +30,23 @@ def _done(query):
 
 
 def x01_file_changes(spark, sf):
-    """File changes over two micro-batches: the table after the second. A path removed in the second and not changed in it is gone."""
+    """File changes over ten micro-batches: the table after the last. A path is gone if the last batch that has it only removes it."""
     at = scratch(spark)
     e = table(spark, sf, "events")
-    late = F.col("event_id") % 4 == 3
-    for part in (e.where(~late), e.where(late)):
-        part.write.mode("append").parquet(f"{at}/in")
+    for k in range(10):
+        e.where(F.col("event_id") % 10 == k).write.mode("append").parquet(f"{at}/in")
         # the stream goes on at its checkpoint: one batch for each run
         changes = lg.stream(spark, f"{at}/in", e.schema).select(F.col("user_id").alias("path"), F.when(F.col("event_type") == "signup", "removed").otherwise("modified").alias("change"), F.col("event_id").alias("version"))
-        _done(lg.apply_changes(changes, f"{at}/out", f"{at}/checkpoint"))
-    return spark.read.parquet(f"{at}/out/1")
+        _done(lg.apply_changes(changes.withColumn("path", F.col("path").cast("string")), f"{at}/out", f"{at}/checkpoint"))
+    return tables.read(spark, f"{at}/out").select(F.col("path").cast("long").alias("path"), "version")
+
+
+def k11_session_index(spark, sf):
+    """An index of sessions to which every batch appends: entries of conversations by their turns, the newest of each read back by merging the batches."""
+    out, c = scratch(spark), table(spark, sf, "conversations")
+    for k in range(3):
+        tables.apply(c.where(F.col("turn") % 3 == k).select(F.col("conv_id").cast("string").alias("path"), F.when(F.col("role") == "system", "removed").otherwise("named").alias("change"), F.col("turn").alias("version")), out, k)
+    return tables.read(spark, out).select(F.col("path").cast("long").alias("conv_id"), F.col("version").alias("turn"))
 
 
 def x02_log_sink(spark, sf):
@@ -64,17 +72,9 @@ def x04_backfill(spark, sf):
 
 
 def x05_work_states(spark, sf):
-    """Sign-ups and views enqueue, clicks claim, purchases succeed, errors fail; the last state of every user."""
-    at, e = _events(spark, sf)
+    """Sign-ups and views enqueue, purchases succeed, errors fail, clicks claim: last status, input and success watermarks of every user, and whether work is pending."""
     action = F.when(F.col("event_type").isin("signup", "view"), "enqueue").when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "succeed").otherwise("fail")
-    events = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") % 1000).alias("value"), F.unix_timestamp("ts").alias("now"))
-
-    def write(batch, number):
-        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
-
-    _done(work.fold(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start())
-    last = spark.read.parquet(f"{at}/out").groupBy("key").agg(F.max_by(F.struct("status", "retries", "input", "success"), "seq").alias("s"))
-    return last.select("key", "s.*")
+    return store.watermarks(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") % 1000).alias("value")))
 
 
 def s07_dated_scan(spark, sf):
@@ -105,8 +105,15 @@ def k01_snapshot(spark, sf):
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "xsk" and n[1:3].isdigit()}
 ORACLES = {
-    "x01_file_changes": """WITH c AS (SELECT user_id AS path, event_id % 4 = 3 AS late, max(event_id) FILTER (event_type <> 'signup') AS version FROM events GROUP BY 1, 2)
-      SELECT path, version FROM c WHERE version IS NOT NULL AND (late OR path NOT IN (SELECT path FROM c WHERE late))""",
+    "x01_file_changes": """WITH c AS (SELECT user_id AS path, event_id % 10 AS batch, max(event_id) FILTER (event_type <> 'signup') AS version FROM events GROUP BY 1, 2)
+      SELECT path, version FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY batch DESC) AS rn FROM c) WHERE rn = 1 AND version IS NOT NULL""",
+    "k11_session_index": """WITH c AS (SELECT conv_id, turn % 3 AS batch, max(turn) FILTER (role <> 'system') AS turn FROM conversations GROUP BY 1, 2)
+      SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY batch DESC) AS rn FROM c) WHERE rn = 1 AND turn IS NOT NULL""",
+    "x05_work_states": """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_type IN ('signup', 'view') THEN 'enqueue' WHEN event_type = 'click' THEN 'claim' WHEN event_type = 'purchase' THEN 'succeed' ELSE 'fail' END AS action,
+        event_id % 1000 AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+      s(key, n, known, success) AS (SELECT DISTINCT key, 0::BIGINT, -1::BIGINT, -1::BIGINT FROM e UNION ALL SELECT s.key, e.n, CASE WHEN action <> 'enqueue' THEN known WHEN value > known THEN value ELSE known + 1 END,
+        CASE WHEN action = 'succeed' THEN greatest(success, known) ELSE success END FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
+      SELECT key, arg_max(e.action, e.n) AS status, arg_max(known, e.n) AS input, arg_max(success, e.n) AS success, arg_max(known > success, e.n) AS pending FROM s JOIN e USING (key, n) GROUP BY 1""",
     "x02_log_sink": "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
     "x03_log_tail": "SELECT event_id AS id, event_type FROM events ORDER BY event_id DESC LIMIT 200",
     "x04_backfill": "SELECT user_id, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1",

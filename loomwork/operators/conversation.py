@@ -1,6 +1,5 @@
 """Operators over ordered conversation items."""
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,17 +72,13 @@ def turns(items, key, ord_, role):
 
 
 def roll_back(events, key, ord_, kind, n):
-    """Turns left by a log of ``turn`` and ``rollback`` events: a rollback removes the last ``n`` turns still there.
+    """Turns left by a log of ``turn`` and ``rollback`` events: a rollback removes the last ``n`` turns still there, all if there are fewer.
 
-    Order dependent, so each key's events are folded in a task; a key is one conversation, which bounds it.
+    By a reflected sum: with +1 for a turn and -n for a rollback, the turns there are the running sum less its least value so far, if that is
+    below 0. A turn is left if there are never fewer turns later than right after it. Null keys are a log of their own; a null or negative n removes nothing.
     """
-    def fold(pdf):
-        left = []
-        for row in pdf.sort_values(ord_).itertuples():
-            if getattr(row, kind) == "rollback":
-                del left[max(0, len(left) - int(getattr(row, n))) :]
-            else:
-                left.append(getattr(row, ord_))
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(left), ord_: left})
-
-    return events.groupBy(key).applyInPandas(fold, f"{key} long, {ord_} long")
+    w = W.partitionBy(key).orderBy(ord_)
+    so_far, later = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    x = events.withColumn("_sum", F.sum(F.when(F.col(kind) == "rollback", -F.greatest(F.coalesce(F.col(n), F.lit(0)), F.lit(0))).otherwise(1)).over(so_far))
+    x = x.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far))).withColumn("_least", F.min("_depth").over(later))
+    return x.where((F.col(kind) != "rollback") & (F.col("_least") >= F.col("_depth"))).select(key, ord_)

@@ -7,10 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def within_budget(rows, partition, order, size, cap):
-    """Newest rows of each partition whose running size is at most ``cap``; nulls are a partition. ``order`` must be total."""
-    w = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= cap).drop("running")
+def within_budget(rows, partition, order, size, cap, bucket=None):
+    """Newest rows of each partition whose running size is at most ``cap``; nulls are a partition. ``order`` must be total, sizes not negative (null: 0).
+
+    ``bucket`` is a column that never rises along ``order`` within a partition (the day of a row, newest first); without one a partition is one bucket. Totals by partition and bucket are summed before they
+    move, and run up along the buckets; rows of buckets that fit whole are kept as they are, and only the bucket in which the cap falls is
+    sorted row by row. So a task holds a bucket, not a partition.
+    """
+    amount = F.coalesce(F.col(size), F.lit(0))
+    x = rows.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    sums = x.groupBy(*partition, "_bucket").agg(F.sum(amount).alias("_size"))
+    along = W.partitionBy(*partition).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, 0)
+    sums = sums.withColumn("_upto", F.sum("_size").over(along)).where(F.col("_upto") - F.col("_size") <= cap)
+    keys = [f"_key{i}" for i in range(len(partition))]
+    sums = sums.select(*[F.col(p).alias(k) for p, k in zip(partition, keys, strict=True)], F.col("_bucket").alias("_of"), "_upto", (F.col("_upto") - F.col("_size")).alias("_before"))
+    same = reduce(lambda a, b: a & b, [x[p].eqNullSafe(sums[k]) for p, k in zip(partition, keys, strict=True)], x["_bucket"].eqNullSafe(sums["_of"]))
+    x = x.join(sums, same).drop(*keys, "_of")
+    whole, torn = x.where(F.col("_upto") <= cap), x.where(F.col("_upto") > cap)
+    inside = W.partitionBy(*partition, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    torn = torn.withColumn("_running", F.col("_before") + F.sum(amount).over(inside)).where(F.col("_running") <= cap)
+    return whole.select(*rows.columns).unionByName(torn.select(*rows.columns))
+
+
+def watermarks(events):
+    """Of each key of ``events(key, seq, action, value)``: status (the last action), input (its watermark), success (the greatest input known at a ``succeed``), pending (input is newer).
+
+    ``enqueue`` brings a watermark; one at or below the known input counts as the known one + 1, so late input is never lost. The known
+    input after n of them is therefore n + the greatest of value - ordinal so far (-1 before any): a running maximum, no fold.
+    """
+    w = W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    new = F.col("action") == "enqueue"
+    x = events.withColumn("_n", F.count_if(new).over(w))
+    known = F.col("_n") + F.greatest(F.lit(-1), F.max(F.when(new, F.col("value") - F.col("_n"))).over(w))
+    x = x.withColumn("_known", known)
+    x = x.groupBy("key").agg(F.max_by("action", "seq").alias("status"), F.max("_known").alias("input"), F.coalesce(F.max(F.when(F.col("action") == "succeed", F.col("_known"))), F.lit(-1)).alias("success"))
+    return x.withColumn("pending", F.col("input") > F.col("success"))
 
 
 def partition_totals(rows, partition, size, cap):

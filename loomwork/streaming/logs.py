@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from loomwork.streaming import tables
+
 
 def stream(spark, path, schema, files_per_trigger=None, glob=None):
     """Parquet files under ``path`` as a stream."""
@@ -33,17 +35,8 @@ def tail(logs, after_id, limit=None):
 
 
 def apply_changes(changes, out, checkpoint):
-    """Keeps a table path, version of changed files: of a batch, removals go first, then the changed paths once each.
+    """Keeps a table path, version of changed files: of a batch, removals go first, then the changed paths once each. Each batch writes a delta; ``tables.read`` merges them.
 
-    ``changes(path, change, version)``. The table is rewritten beside the old one for each batch.
+    ``changes(path, change, version)``.
     """
-
-    def write(batch, number):
-        spark = batch.sparkSession
-        new = batch.where("change <> 'removed'").groupBy("path").agg(F.max("version").alias("version"))
-        if number:
-            old = spark.read.parquet(f"{out}/{number - 1}")
-            new = old.join(batch.select("path").distinct(), "path", "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{out}/{number}")
-
-    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(lambda batch, number: tables.apply(batch, out, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,4 +1,3 @@
-import itertools
 import random
 
 import pytest
@@ -11,7 +10,7 @@ from loomwork.functions import text as tx
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.functions.text import redact, seek_lines, truncate_text, truncated
 from loomwork.operators import blocks, conversation, graph, store, vectors
-from loomwork.streaming import work
+from loomwork.streaming import tables
 
 
 @pytest.mark.parametrize(("text", "needle", "score"), [("hello", "hl", -99), ("say hello", "hl", 1), ("hello", "HEL", -100), ("abc", "x", None), ("abc", "", 2**31 - 1), ("a_b_c", "abc", -98), (None, "a", None)])
@@ -96,17 +95,79 @@ def test_roll_back(spark):
     assert [(r["k"], r["o"]) for r in got] == [(1, 5)]
 
 
-def test_work_states():
-    s = work.START
-    for action, value, now, want in [("claim", 0, 0, "idle"), ("enqueue", 5, 0, "idle"), ("claim", 0, 1, "running"), ("claim", 0, 2, "running"), ("fail", 0, 3, "failed"), ("claim", 0, 4, "failed"), ("claim", 0, 3 + work.DELAY_S, "running"), ("enqueue", 4, 0, "running"), ("succeed", 0, 0, "done")]:
-        s = work.step(s, action, value, now)
-        assert s[0] == want, (action, s)
-    assert s[2:4] == (6, 5) and work.step(s, "claim", 0, 10**6)[0] == "running"  # the late input counts as new
-    for k in itertools.count():
-        s = work.step(work.step(s, "claim", 0, 10**7 * (k + 1)), "fail", 0, 10**7 * (k + 1))
-        if s[1] == 0:
-            break
-    assert work.step(s, "claim", 0, 10**12)[0] == "failed"
+def test_budget_by_buckets(spark):
+    """Totals by bucket, and rows of the bucket in which the cap falls: as one running sum over all rows."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), t, rng.choice([0, 1, 5, 9, 40, None])) for t in range(900)] + [("z", 1, 0), ("z", 0, 11)]
+    d = spark.createDataFrame(rows, "p string, t int, n int").repartition(3)
+    for cap in (0, 10, 300, 10**6):
+        want = set()
+        for p in ("a", "b", None, "z"):
+            total = 0
+            for _, t, n in sorted((r for r in rows if r[0] == p), key=lambda r: -r[1]):
+                total += n or 0
+                if total <= cap:
+                    want.add((p, t))
+        for width in (1, 37, 1000):
+            got = [(r["p"], r["t"]) for r in store.within_budget(d, ["p"], [F.desc("t")], "n", cap, F.floor(F.col("t") / width)).collect()]
+            assert set(got) == want and len(got) == len(want)
+
+
+def test_roll_back_against_a_stack(spark):
+    rng, rows, want = random.Random(9), [], set()
+    for k in [*range(40), None]:
+        left = []
+        for o in range(rng.randrange(1, 40)):
+            n = rng.choice([0, 1, 1, 2, 5, 100, None, -3])
+            if rng.random() < 0.35:
+                rows.append((k, o, "rollback", n))
+                del left[len(left) - min(len(left), max(0, n or 0)) :]
+            else:
+                rows.append((k, o, "turn", n))
+                left.append(o)
+        want |= {(k, o) for o in left}
+    got = [tuple(r) for r in conversation.roll_back(spark.createDataFrame(rows, "k long, o long, kind string, n int").repartition(3), "k", "o", "kind", "n").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_watermarks(spark):
+    """Late input counts as the known one + 1, step by step."""
+    rng, rows, want = random.Random(10), [], []
+    for k in range(30):
+        known, done = -1, -1
+        for o in range(rng.randrange(1, 25)):
+            kind, value = rng.choice(["enqueue", "enqueue", "succeed", "fail"]), rng.randrange(12)
+            rows.append((k, o, kind, value))
+            if kind == "enqueue":
+                known = value if value > known else known + 1
+            elif kind == "succeed":
+                done = max(done, known)
+        want.append((k, kind, known, done, known > done))
+    d = spark.createDataFrame(rows, "key long, seq long, action string, value long").repartition(3)
+    assert sorted(tuple(r) for r in store.watermarks(d).select("key", "status", "input", "success", "pending").collect()) == want
+
+
+def test_delta_tables(spark, tmp_path):
+    """Ten and more batches of changes: the table read by merging, runs compacted by size, few rows written for each row that came."""
+    rng, now = random.Random(11), {}
+    schema, out = "path string, change string, version long", f"{tmp_path}/out"
+    frame = lambda rows: spark.createDataFrame(rows, schema).coalesce(1)
+    assert tables.read(spark, out) is None
+    came = 0
+    for batch in range(14):
+        rows = [(f"p{rng.randrange(60)}", rng.choice(["modified", "modified", "removed"]), 1000 * batch + k) for k in range(rng.choice([1, 30, 200]))] if batch != 7 else []
+        came += len({r[0] for r in rows})
+        for again in (0, 1) if batch in (3, 8) else (0,):  # a batch that is run again replaces itself
+            tables.apply(frame(rows), out, batch)
+        touched = {}
+        for p, change, v in rows:
+            touched[p] = max(touched.get(p, -1), v if change != "removed" else -1)
+        now = {**now, **touched}
+        now = {p: v for p, v in now.items() if v >= 0}
+        assert {r["path"]: r["version"] for r in tables.read(spark, out).collect()} == now, batch
+    runs = tables.runs(spark, out)
+    assert len(runs) <= 3 * 3 and sum(r["written"] for r in tables.history(spark, out).collect()) <= 3 * came
+    assert spark.read.parquet(*[f"{out}/runs/{r['run']}" for r in runs]).count() <= came
 
 
 def test_left_bytes(spark):

@@ -126,6 +126,22 @@ def j07_code_inherits(spark, sf):
     return _edges(spark, sf, "Inherits")
 
 
+def x01_code_changes(spark, sf):
+    """All edges after three batches of changed files, kept up by resolving anew what they touch: equal to those of all files."""
+    files, k = _files(spark, sf), F.col("p_partkey")
+    code = lambda d: python_code.extract(d.select("path", "code"))
+    early = files.where(k % 7 != 0).withColumn("code", F.when(k % 5 == 1, F.replace(F.replace("code", F.lit("def helper_"), F.lit("def other_")), F.lit("def common"), F.lit("def general"))).otherwise(F.col("code")))
+    late = files.where((k % 7 == 0) | (k % 5 == 1))
+    extra = files.where(k % 50 == 0).select(F.concat(F.lit("src/aa/extra"), k, F.lit(".py")).alias("path"), F.lit("def common(n):\n    return helper_7(n)\n").alias("code"))
+    some = files.where(k % 11 == 0).select("path", "code")
+    rows = code(early).checkpoint()
+    edges = python_code.build_edges(rows, "src").checkpoint()
+    for new, changed in ((late, late), (extra, extra.select("path").union(some.select("path"))), (some, extra.select("path").union(some.select("path")))):
+        rows, edges, _ = python_code.refresh(rows, edges, code(new), changed, "src")
+    names = _labels(rows)
+    return edges.join(names.toDF("src_id", "src"), "src_id").join(names.toDF("dst_id", "dst"), "dst_id").select("kind", "src", "dst")
+
+
 def g01_code_callers(spark, sf):
     """Callers of every definition, most called first."""
     return _edges(spark, sf, "Calls").groupBy("dst").agg(F.count("*").alias("calls"), F.countDistinct("src").alias("callers"))
@@ -138,7 +154,7 @@ def s16_block(spark, sf):
     return blocks.indented_block(x, "p_partkey", "code", "anchor", "levels", "siblings", "header", "most")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "sejg" and n[1:3].isdigit()}
+QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "sejgx" and n[1:3].isdigit()}
 X = f"WITH x AS (SELECT *, h % 25 AS fh, {PATH} AS path FROM (SELECT *, p_partkey AS k, p_partkey // 2 AS h FROM part)), f AS (SELECT *, {_code()} AS code FROM x)"
 DEFS = f"""{X}, n AS (SELECT k, path, 'class' AS kind, 'Part' || k AS name, 5 AS start_line, 12 AS end_line FROM x UNION ALL SELECT k, path, 'method', 'price', 8, 9 FROM x UNION ALL SELECT k, path, 'method', 'scale', 11, 12 FROM x
   UNION ALL SELECT k, path, 'function', 'helper_' || k, 14, 16 FROM x UNION ALL SELECT k, path, 'function', 'common', 18, 19 FROM x WHERE k % 2 = 0)"""
@@ -165,3 +181,4 @@ ORACLES = {
     "j07_code_inherits": f"{X} SELECT a.path || ':Part' || a.k AS src, b.path || ':Part' || b.k AS dst FROM x a JOIN x b ON b.k = a.k - 25",
     "g01_code_callers": f"{CALLS} SELECT dst, count(*) AS calls, count(DISTINCT src) AS callers FROM e GROUP BY 1",
 }
+ORACLES["x01_code_changes"] = " UNION ALL ".join(f"SELECT '{kind}' AS kind, * FROM ({ORACLES[name]})" for kind, name in (("Defines", "j01_code_defines"), ("Calls", "j02_code_calls"), ("Imports", "j04_code_imports"), ("Inherits", "j07_code_inherits")))

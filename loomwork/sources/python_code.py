@@ -114,8 +114,25 @@ def guess_calls(calls, rows, local):
     return asked.join(best, ["needle", "name"]).groupBy("path", "name").agg(F.min("best")["dst_id"].alias("third"))
 
 
-def build_edges(rows, root):
-    """Edges (src_id, dst_id, kind) of extracted rows: Defines, Imports, Calls, Inherits.
+def _wanted(imports, files):
+    """``imports`` with one row for the module (symbol '') and for each imported name: the dotted module it may be a file of, and the module's parent for plain absolute ones."""
+    imports = imports.join(files.select("path", "file_id", F.col("module").alias("here")), "path")
+    package = F.when(F.col("path").endswith("/__init__.py"), F.col("level") - 1).otherwise(F.col("level"))
+    parts = F.split("here", r"\.")
+    up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - package)), ".")
+    target = F.when(F.col("level") > 0, F.concat_ws(".", F.nullif(up, F.lit("")), F.nullif("name", F.lit("")))).otherwise(F.col("name"))
+    imports = imports.select("path", "file_id", "name", (F.col("level") == 0).alias("absolute"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("names", F.array().cast("array<string>")))).alias("symbol"), target.alias("module"))
+    above = F.when(F.col("absolute") & (F.col("symbol") == "") & F.contains("module", F.lit(".")), F.regexp_replace("module", r"\.[^.]*$", ""))
+    module = F.when(F.col("symbol") == "", F.col("module")).otherwise(F.concat_ws(".", F.nullif("module", F.lit("")), "symbol"))
+    return imports.withColumn("parent", above).withColumn("module", module)
+
+
+def _files(rows, root):
+    return rows.where("kind = 'file'").select("path", F.col("id").alias("file_id"), module_path(F.col("path"), root).alias("module"))
+
+
+def build_edges(rows, root, only=None):
+    """Edges (src_id, dst_id, kind) of extracted rows: Defines, Imports, Calls, Inherits; with ``only(path)`` those that begin in these files.
 
     A called name goes to the definition of that name in the same file, else in a module that the file imports, else to the first
     one (by path and line) whose path contains a module or name that the file imports, else to the first of all; calls of itself are left out.
@@ -123,29 +140,25 @@ def build_edges(rows, root):
     name, else with its last segment, else to the first file whose path contains the module with '/' for '.' and '::'; and to each imported name's first definition.
     A base goes to the first class, struct, enum or interface of its name.
     """
-    files = rows.where("kind = 'file'").select("path", F.col("id").alias("file_id"), module_path(F.col("path"), root).alias("module"))
+    mine = rows if only is None else rows.join(only.select("path").distinct(), "path", "left_semi")
+    files = _files(rows, root)
     defs = rows.where(F.col("kind").isin(*DEFINITIONS)).select("name", "id", "kind", "path", "start_line")
-    defines = defs.join(files, "path").select(F.col("file_id").alias("src_id"), F.col("id").alias("dst_id"), F.lit("Defines").alias("kind"))
+    defines = mine.where(F.col("kind").isin(*DEFINITIONS)).select("id", "path").join(files, "path").select(F.col("file_id").alias("src_id"), F.col("id").alias("dst_id"), F.lit("Defines").alias("kind"))
 
-    imports = rows.where("kind = 'import'").join(files.select("path", "file_id", F.col("module").alias("here")), "path")
-    package = F.when(F.col("path").endswith("/__init__.py"), F.col("level") - 1).otherwise(F.col("level"))
-    parts = F.split("here", r"\.")
-    up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - package)), ".")
-    target = F.when(F.col("level") > 0, F.concat_ws(".", F.nullif(up, F.lit("")), F.nullif("name", F.lit("")))).otherwise(F.col("name"))
-    imports = imports.select("path", "file_id", "name", (F.col("level") == 0).alias("absolute"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("names", F.array().cast("array<string>")))).alias("symbol"), target.alias("module"))
-    wanted = imports.withColumn("module", F.when(F.col("symbol") == "", F.col("module")).otherwise(F.concat_ws(".", F.nullif("module", F.lit("")), "symbol")))
+    wanted = _wanted(mine.where("kind = 'import'"), files)
     known = files.select("module", F.col("file_id").alias("dst_id"))
     parent = known.select(F.col("module").alias("parent"), F.col("dst_id").alias("parent_id"))
-    above = F.when(F.col("absolute") & (F.col("symbol") == "") & F.contains("module", F.lit(".")), F.regexp_replace("module", r"\.[^.]*$", ""))
-    to_file = cut(wanted.withColumn("parent", above).join(known, "module", "left").join(parent, "parent", "left").withColumn("dst_id", F.coalesce("dst_id", "parent_id")))
+    to_file = cut(wanted.join(known, "module", "left").join(parent, "parent", "left").withColumn("dst_id", F.coalesce("dst_id", "parent_id")))
     guessed = guess_imports(to_file.where("dst_id is null and symbol = ''"), rows).select("file_id", F.col("found").alias("dst_id"))
     to_file = to_file.select(F.col("file_id").alias("src_id"), "dst_id", "path").where("dst_id is not null")
+    said = wanted.select(F.col("symbol").alias("name")).union(mine.where("kind in ('call', 'base')").select("name")).distinct()
+    defs = cut(defs.join(said, "name", "left_semi")) if only is not None else defs
     first_def = graph.first_by(defs, ["name"], "path", "start_line", "id").select(F.col("name").alias("symbol"), F.col("id").alias("dst_id"))
-    to_symbol = imports.where("symbol not in ('', '*')").join(first_def, "symbol").select(F.col("file_id").alias("src_id"), "dst_id")
+    to_symbol = wanted.where("symbol not in ('', '*')").join(first_def, "symbol").select(F.col("file_id").alias("src_id"), "dst_id")
     import_edges = to_file.select("src_id", "dst_id").union(guessed).union(to_symbol).distinct().withColumn("kind", F.lit("Imports"))
 
     seen = to_file.join(files.select(F.col("file_id").alias("dst_id"), F.col("path").alias("def_path")), "dst_id").select("path", "def_path").distinct()
-    calls = rows.where("kind = 'call'").select("path", "name", F.col("id").alias("src_id"))
+    calls = mine.where("kind = 'call'").select("path", "name", F.col("id").alias("src_id"))
     asked = calls.select("path", "name").distinct()
     # tier by tier, so that a name which many files define and call doesn't meet all of its definitions
     local = graph.first_by(defs, ["path", "name"], "start_line", "id").select(F.col("path").alias("def_path"), "name", F.col("id").alias("dst_id"))
@@ -158,5 +171,34 @@ def build_edges(rows, root):
     call_edges = calls.join(found, ["path", "name"]).where("src_id <> dst_id").select("src_id", "dst_id", F.lit("Calls").alias("kind"))
 
     classes = graph.first_by(defs.where(F.col("kind").isin(*TYPES)), ["name"], "path", "start_line", "id").select("name", F.col("id").alias("dst_id"))
-    inherits = rows.where("kind = 'base'").select("name", F.col("id").alias("src_id")).distinct().join(classes, "name").select("src_id", "dst_id", F.lit("Inherits").alias("kind"))
+    inherits = mine.where("kind = 'base'").select("name", F.col("id").alias("src_id")).distinct().join(classes, "name").select("src_id", "dst_id", F.lit("Inherits").alias("kind"))
     return defines.union(import_edges.select("src_id", "dst_id", "kind")).union(call_edges).union(inherits)
+
+
+def refresh(rows, edges, new_rows, changed, root):
+    """Rows and edges after the files ``changed(path)`` have become ``new_rows`` (gone, if they have none there), as a rebuild would give them: (rows, edges, affected).
+
+    ``affected(path)`` are the files whose edges are resolved anew: the changed ones; those that call, inherit from or import a name of which the changed
+    files gained or lost a definition; and those of whose imports one may mean, by module or by a contained path, a file that came or went. Edges
+    that begin in other files stay as they are.
+    """
+    changed = cut(changed.select("path").distinct())
+    old, kept = cut(rows.join(changed, "path", "left_semi")), rows.join(changed, "path", "left_anti")
+    new_rows = cut(new_rows.select(*rows.columns))
+    now = cut(kept.unionByName(new_rows))
+    ids = lambda r: r.where(F.col("kind").isin("file", *DEFINITIONS)).select("id", "kind", "name", "path")
+    moved = cut(ids(old).join(ids(new_rows).select("id"), "id", "left_anti").union(ids(new_rows).join(ids(old).select("id"), "id", "left_anti")))
+    names, came = moved.select("name").distinct(), moved.where("kind = 'file'")
+    others = now.join(changed, "path", "left_anti")
+    imports = others.where("kind = 'import'")
+    meant = _wanted(imports, _files(now, root))
+    modules = came.select(module_path(F.col("path"), root).alias("module")).distinct()
+    normal = F.replace(F.replace("name", F.lit("."), F.lit("/")), F.lit("::"), F.lit("/"))
+    needles = cut(imports.select("path", F.explode(F.concat(F.array("name", normal), F.coalesce("names", F.array().cast("array<string>")))).alias("needle")).where("needle not in ('', '*')").distinct())
+    inside = path_index.pairs(came.select("path"), needles.select("needle")).select("needle").distinct()
+    said = others.where("kind in ('call', 'base')").select("path", "name").union(meant.select("path", "symbol")).union(meant.select("path", "name")).union(meant.select("path", F.substring_index("name", ".", -1)))
+    affected = changed.union(said.join(names, "name", "left_semi").select("path")).union(meant.join(modules, "module", "left_semi").select("path"))
+    affected = affected.union(meant.join(modules.toDF("parent"), "parent", "left_semi").select("path")).union(needles.join(inside, "needle", "left_semi").select("path"))
+    affected = cut(affected.distinct())
+    gone = rows.join(affected, "path", "left_semi").where(F.col("kind").isin("file", *DEFINITIONS)).select(F.col("id").alias("src_id")).distinct()
+    return now, cut(edges.join(gone, "src_id", "left_anti").select(*edges.columns).unionByName(build_edges(now, root, affected).select(*edges.columns))), affected

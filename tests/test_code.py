@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomwork.operators import path_index
 from loomwork.sources import python_code
 
@@ -240,3 +242,37 @@ def test_cut_sources():
     for path, code in (("a.ts", SCRIPT), ("a.rs", RUST), ("a.go", GO), ("a.java", JAVA), ("a.c", C), ("a.cpp", CPP)):
         for n in range(len(code)):
             python_code.parse(path, code[:n])
+
+
+def module(rng, names):
+    """A module of a few functions and classes that import and call names at random."""
+    lines = []
+    for _ in range(rng.randrange(3)):
+        lines.append(rng.choice(["import {a}.{b}", "import {b}", "from {a} import {b}", "from .{a} import {b}", "from {a}.{b} import *", "import zz.{b}"]).format(a=rng.choice(names), b=rng.choice(names)))
+    for _ in range(rng.randrange(1, 4)):
+        name = rng.choice(names)
+        lines += [f"class {name}({rng.choice(names)}):", f"    def {rng.choice(names)}(self):", f"        {rng.choice(names)}()"] if rng.random() < 0.4 else [f"def {name}():", f"    {rng.choice(names)}()"]
+    return "\n".join(lines) + "\n"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_refresh_equals_a_rebuild(spark, seed):
+    rng = random.Random(seed)
+    names, code = [f"n{k}" for k in range(40)], {}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "path string, code string").coalesce(1)
+    code = {f"{rng.choice('abc')}/{rng.choice(names)}{rng.choice(['', 'x'])}.py": module(rng, names) for _ in range(25)}
+    rows = python_code.extract(frame(code)).checkpoint()
+    edges = python_code.build_edges(rows, "").checkpoint()
+    fewer = 0
+    for _ in range(2):
+        new = {rng.choice(sorted(code)): module(rng, names), f"{rng.choice('abc')}/{rng.choice(names)}y.py": module(rng, names)}
+        gone = [p for p in rng.sample(sorted(code), 2) if p not in new]
+        code = {p: c for p, c in {**code, **new}.items() if p not in gone}
+        changed = spark.createDataFrame([(p,) for p in [*new, *gone]], "path string")
+        rows, edges, affected = python_code.refresh(rows, edges, python_code.extract(frame(new)), changed, "")
+        whole = python_code.extract(frame(code)).cache()
+        plain = lambda e: sorted(tuple(r) for r in e.select("src_id", "dst_id", "kind").collect())
+        assert plain(edges) == plain(python_code.build_edges(whole, ""))
+        assert sorted(map(repr, rows.select("path", "kind", "name", "start_line").collect())) == sorted(map(repr, whole.select("path", "kind", "name", "start_line").collect()))
+        fewer += len(code) - affected.where(F.col("path").isin(list(code))).count()
+    assert fewer > 0

@@ -341,25 +341,23 @@ def _compare(share):
         row, both = row[order], np.zeros((len(asks), n), np.float32)
         for lo in range(0, column.max(initial=-1) + 1, 4096):
             z = slice(*np.searchsorted(column, [lo, lo + 4096]))
-            m = np.zeros((n, 4096), np.float32)
+            m = np.zeros((n, min(4096, column[-1] + 1 - lo)), np.float32)
             m[row[z], column[z] - lo] = 1
             both += m[asks] @ m.T
-        size = np.array([len(x) for x in sets], float)
-        both = np.rint(both).astype(np.int64)
-        i, j = np.nonzero(100 * both >= share * (size[asks][:, None] + size[None, :] - both))
-        ids, group, parent = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        links = []
-        for x, y in zip(asks[i].tolist(), j.tolist(), strict=True):
-            a, b = root(group[x]), root(group[y])
-            if a != b:
-                parent[a] = b
-                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        size, ids = np.array([len(x) for x in sets], np.int64), pdf["id"].to_numpy()
+        names, group = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        label, links = np.arange(len(names)), []  # of each group, the set that it has joined
+        for lo in range(0, len(asks), 256):
+            common = np.rint(both[lo : lo + 256]).astype(np.int64)
+            hit = 100 * common >= share * (size[asks[lo : lo + 256]][:, None] + size[None, :] - common)
+            for a, row in zip(asks[lo : lo + 256], hit, strict=True):
+                near = np.flatnonzero(row)
+                own = label[group[a]]
+                other, first = np.unique(label[group[near]], return_index=True)
+                new = other != own
+                if new.any():  # one link for each set that joins
+                    links += [(min(ids[a], ids[k]), max(ids[a], ids[k])) for k in near[first[new]]]
+                    label[np.isin(label, other[new])] = own
         return pd.DataFrame(links, columns=["a", "b"])
 
     return compare

@@ -222,3 +222,36 @@ def test_spectra_combine_and_refine_from_a_part_of_the_directions(spark):
     values, vectors, trace = whitening.refine(fit, 1, 1000, x.mean(0), rng.standard_normal((30, 6)), 4)
     want = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1]
     assert np.allclose(values[:4], want[:4], rtol=1e-11) and abs(trace - want.sum()) < 1e-6
+
+
+def test_dense_tile_joins_what_links_join():
+    """A tile of one template: the links written give the components of all pairs in range, and are few."""
+    from loomwork.llm import lsh_forest
+
+    rng = np.random.default_rng(12)
+    template = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    for n, changes in ((300, 7), (700, 3)):
+        sets = []
+        for _ in range(n):
+            s = template.copy()
+            s[rng.choice(60, changes, replace=False)] = rng.integers(0, 1 << 62, changes, dtype=np.uint64)
+            sets.append(np.unique(s))
+        pdf = pd.DataFrame({"id": np.arange(n) * 3, "asks": (np.arange(n) % 2 == 0).astype(np.int64), "comp": np.arange(n) // 2 * 10, "shingles": [s.tobytes() for s in sets]})
+        links = lsh_forest._compare(85)(pdf)
+        parent = {c: c for c in pdf["comp"]}
+
+        def root(x, parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i in range(0, n, 2):
+            for j in range(n):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                    parent[root(pdf["comp"][i], parent)] = root(pdf["comp"][j], parent)
+        got = {c: c for c in pdf["comp"]}
+        for a, b in links.itertuples(index=False):
+            got[root(pdf["comp"][a // 3], got)] = root(pdf["comp"][b // 3], got)
+        same = lambda p: {frozenset(c for c in p if root(c, p) == r) for r in {root(c, p) for c in p}}
+        assert same(got) == same(parent) and len(links) == len(set(pdf["comp"])) - len(same(parent))

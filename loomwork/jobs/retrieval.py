@@ -1,17 +1,20 @@
 """Retrieval queries (R, O08): BM25, cosine, ranking."""
 
 import uuid
+import zipfile
+from pathlib import Path
 
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
+import pyspark
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.functions import stem
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.jobs import code
 from loomwork.operators import bm25, postings, vectors
-from loomwork.operators.lineage import checkpoint_dir
+from loomwork.operators.lineage import checkpoint_dir, cut
 from loomwork.sources.tables import table
 
 TOKENS_SQL = "tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM documents)"
@@ -100,11 +103,21 @@ def _cosine_sql(k, least):
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= {least}) WHERE rank <= {k}"""
 
 
+def stop_words():
+    """English stop words as Spark's own remover has them, read from its resources without a session."""
+    for jar in Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"):
+        with zipfile.ZipFile(jar) as z:
+            return sorted({w.lower() for w in z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()})
+    raise FileNotFoundError("spark-mllib")
+
+
 def r07_tool_search(spark, sf):
-    """Search without English stop words, best 8, document frequencies (no stemming: no stemmer is at hand)."""
-    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")])
+    """Search by stems without English stop words, best 8, document frequencies. Each distinct term is stemmed once."""
+    stop = F.array(*[F.lit(w) for w in stop_words()])
     plain = lambda df: df.withColumn("text", F.array_join(F.filter(bm25.terms(F.col("text")), lambda t: ~F.array_contains(stop, t)), " "))
-    return bm25.search(plain(_docs(spark, sf)), plain(_asked(spark, sf)), k=8, df_mode="document")
+    docs, asked = plain(_docs(spark, sf)), plain(_asked(spark, sf))
+    terms = docs.select("text").union(asked.select("text")).select(F.explode(bm25.terms(F.col("text"))).alias("term")).distinct()
+    return bm25.search(docs, asked, k=8, df_mode="document", vocabulary=cut(stem.stems(terms)))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -143,6 +156,13 @@ ORACLES = {
     "s06_index_search": _bm25_sql("SELECT doc_id, text FROM documents", 10, "count(*)"),
     "s06_index_delta": _bm25_sql("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", 5, "count(*)"),
     "r03_code_search": _bm25_sql(code.TEXTS_SQL, 10, "count(*)", "SELECT DISTINCT p_type AS query_id, 'def \"\"\"Helper of ' || p_type || '.\"\"\"' AS text FROM part"),
+    "r07_tool_search": f"""WITH raw AS (SELECT false AS asks, doc_id AS id, text FROM documents UNION ALL SELECT true, item_id, text FROM benchmark),
+      t AS (SELECT asks, id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM raw), kept AS (SELECT * FROM t WHERE term NOT IN ({', '.join("'" + w.replace("'", "''") + "'" for w in stop_words())})),
+      words AS (SELECT DISTINCT term FROM kept), st AS ({stem.stems_sql("words")}), s AS (SELECT asks, id, stem FROM kept JOIN st USING (term)),
+      q AS (SELECT id AS query_id, stem, count(*) AS qtf FROM s WHERE asks GROUP BY ALL), tf AS (SELECT stem, id AS doc_id, count(*) AS tf FROM s WHERE NOT asks AND stem IN (SELECT stem FROM q) GROUP BY ALL),
+      df AS (SELECT stem, count(*) AS df FROM tf GROUP BY 1), len AS (SELECT d.doc_id, count(k.term) AS len FROM documents d LEFT JOIN kept k ON k.id = d.doc_id AND NOT k.asks GROUP BY 1), n AS (SELECT count(*) AS n, avg(len) AS avg_len FROM len),
+      sc AS (SELECT query_id, tf.doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM tf JOIN df USING (stem) JOIN len USING (doc_id) JOIN q USING (stem), n GROUP BY ALL)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 8""",
     "r05_cosine_knn": _cosine_sql(5, -1),
     "r06_cosine_knn_positive": _cosine_sql(3, 0),
     "r09_score_order": "SELECT page_id, url, length(html) AS score, row_number() OVER (ORDER BY length(html) DESC, url, page_id) AS rank FROM pages ORDER BY rank LIMIT 100",

@@ -18,16 +18,22 @@ def lengths(docs, doc_id="doc_id", text="text"):
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.size(terms(F.col(text))), F.lit(0)).cast("long").alias("len"))
 
 
-def search(docs, queries, k=10, k1=1.5, b=0.75, df_mode="collection"):
+def search(docs, queries, k=10, k1=1.5, b=0.75, df_mode="collection", vocabulary=None):
     """Best ``k`` documents of ``queries(query_id, text)``: query_id, doc_id, score, rank; ties by doc_id.
 
     ``df`` of a term is its number of occurrences ("collection") or of documents ("document"). Repeated
     query terms count repeatedly. Only documents' terms that occur in a query are counted: the query
-    terms are joined before the aggregation, so the shuffle holds matches, not all tokens.
+    terms are joined before the aggregation, so the shuffle holds matches, not all tokens. With ``vocabulary(term, stem)``
+    terms of one stem count as one.
     """
     asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").distinct()
-    tokens = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+    tokens = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
+    if vocabulary is None:
+        tokens = tokens.join(asked.select("term").distinct(), "term", "left_semi")
+    else:
+        asked = asked.join(vocabulary, "term").groupBy("query_id", F.col("stem").alias("term")).agg(F.sum("qtf").alias("qtf"))
+        wanted = vocabulary.join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
+        tokens = tokens.join(wanted, "term").select("doc_id", F.col("stem").alias("term"))
     tf = tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg((F.sum("tf") if df_mode == "collection" else F.count("*")).alias("df"))
     size = lengths(docs)

@@ -1,11 +1,13 @@
 import random
 
+import duckdb
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwork.functions import policy
+from loomwork.functions import policy, stem
 from loomwork.functions import text as tx
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.functions.text import redact, seek_lines, truncate_text, truncated
@@ -215,3 +217,21 @@ def test_non_public(spark):
     outside = ["8.8.8.8", "172.32.0.1", "198.20.0.0", "2001:db8::1", "::ffff:8.8.8.8", "example.com", "10.0.0", "256.1.1.1", ":", ""]
     rows = spark.createDataFrame([(h,) for h in [*inside, *outside, None]], "host string").select("host", non_public(F.col("host")).alias("x")).collect()
     assert [r.host for r in rows if r.x] == inside and [r.host for r in rows if r.x is False] == outside and rows[-1].x is None
+
+
+#: Samples that were published with the algorithm.
+STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss
+ fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog
+ vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr
+ electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt
+ homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll""".split()
+
+
+def test_stems(spark):
+    pairs = list(zip(STEMS[::2], STEMS[1::2], strict=True))
+    odd = ["a", "is", "x1s", "été", "", "Cats", None, "naïves"]
+    got = {r["term"]: r["stem"] for r in stem.stems(spark.createDataFrame([(w,) for w, _ in pairs] + [(w,) for w in odd], "term string")).collect()}
+    assert {w: got[w] for w, _ in pairs} == dict(pairs) and all(got[w] == w for w in odd)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE words AS SELECT unnest(?) AS term", [[w for w, _ in pairs]])
+    assert dict(con.sql(stem.stems_sql("words")).fetchall()) == dict(pairs)

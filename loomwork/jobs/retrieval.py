@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.functions import stem
+from loomwork.functions import align, stem
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.jobs import code
 from loomwork.operators import bm25, postings, vectors
@@ -133,11 +133,12 @@ def r10_fuzzy_match(spark, sf):
 
 
 def r08_fuzzy_search(spark, sf):
-    """Best 5 addresses for each needle; ties by address."""
-    found = r10_fuzzy_match(spark, sf).join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
-    best = W.partitionBy("needle").orderBy("score", "url", "page_id")
-    total = F.count("*").over(W.partitionBy("needle"))
-    return found.select("needle", "page_id", "url", "score", total.alias("matches"), F.row_number().over(best).alias("rank")).where("rank <= 5")
+    """Best 5 addresses for each part's last word, by alignment, and how many match; ties by address."""
+    needles = table(spark, sf, "part").select(F.substring(F.substring_index("p_name", " ", -1), 1, 4).alias("needle")).union(table(spark, sf, "nation").select(F.lower(F.substring("n_name", 1, 3)))).distinct()
+    found = align.matches(table(spark, sf, "pages").select("page_id", "url"), needles, "url")
+    best = W.partitionBy("needle").orderBy(F.desc("score"), "url", "page_id")
+    top = found.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+    return top.join(found.groupBy("needle").agg(F.count("*").alias("matches")), "needle").select("needle", "page_id", "url", "score", "matches", "rank")
 
 
 def r09_score_order(spark, sf):

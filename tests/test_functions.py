@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import duckdb
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwork.functions import policy, stem
+from loomwork.functions import align, policy, stem
 from loomwork.functions import text as tx
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.functions.text import redact, seek_lines, truncate_text, truncated
@@ -235,3 +236,33 @@ def test_stems(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE words AS SELECT unnest(?) AS term", [[w for w, _ in pairs]])
     assert dict(con.sql(stem.stems_sql("words")).fetchall()) == dict(pairs)
+
+
+def every_alignment(text, needle):
+    """The best score over all places, one by one."""
+    seen = text if needle != needle.lower() else text.lower()
+    best = None
+    for at in itertools.combinations(range(len(text)), len(needle)):
+        if any(seen[a] != c for a, c in zip(at, needle, strict=True)):
+            continue
+        score = 0
+        for k, a in enumerate(at):
+            before = text[a - 1] if a else ""
+            bonus = 8 if text[a].isalnum() and not before.isalnum() else 7 if before.islower() and text[a].isupper() or text[a].isdigit() and before.isalnum() and not before.isdigit() else 0
+            gap = a - at[k - 1] - 1 if k else 0
+            score += 16 + (2 * bonus if k == 0 else max(bonus, 4) if gap == 0 else bonus - 3 - (gap - 1))
+        best = score if best is None else max(best, score)
+    return best if needle else None
+
+
+def test_alignment(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abAB/_.1é") for _ in range(rng.randrange(0, 13))) for _ in range(250)] + ["", "fooBar/baz_qux"]
+    needles = ["a", "ab", "aBa", "b1", "//a", "éa", "fb", "zzzz", "abab", ""]
+    pairs = [(t, n) for t in texts for n in needles]
+    assert align.scores([t for t, _ in pairs], [n for _, n in pairs]) == [every_alignment(t, n) for t, n in pairs]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i long, t string")
+    n = spark.createDataFrame([(x,) for x in [*needles, needles[0], None]], "needle string")
+    got = {(r["i"], r["needle"]): r["score"] for r in align.matches(d, n, "t", block=3).collect()}
+    assert got == {(i, x): every_alignment(t, x) for i, t in enumerate(texts) for x in needles if every_alignment(t, x) is not None}
+    assert align.scores(["a" * 5000 + "b"], ["aab"]) == [16 * 3 + 2 * 0 + 4 + 4]

@@ -105,6 +105,12 @@ def x12_roll_back(spark, sf):
     return cv.roll_back(x, "conv_id", "turn", "kind", "n")
 
 
+def t19_head_tail_buffer(spark, sf):
+    """What a buffer of 600 bytes keeps of each conversation's texts, piece by piece."""
+    x = _items(spark, sf).select("conv_id", "turn", F.col("text").cast("binary").alias("data"))
+    return cv.head_tail(x, "conv_id", "turn", "data", 600).select("conv_id", "turn", "part", F.octet_length("data").cast("long").alias("bytes"), F.md5(F.hex("data").cast("binary")).alias("digest"))
+
+
 def x13_merge_deltas(spark, sf):
     parts = F.sort_array(F.collect_list(F.struct("turn", "text")))
     return _items(spark, sf).where("role = 'assistant'").groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "")).alias("digest"))
@@ -152,12 +158,16 @@ def a12_usage_kinds(spark, sf):
 
 
 KINDS = ("function_call", "function_output", "custom_call", "custom_output", "shell_call", "message")
-QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "sjwxa" and n[1:3].isdigit()}
+QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "sjwxat" and n[1:3].isdigit()}
 C = "conversations"
 TOK = "CAST(ceil(strlen(text) / 4) AS BIGINT)"
 CALLS = f"""c AS (SELECT DISTINCT l_orderkey AS conv_id, l_linenumber * 1000000 + l_partkey AS ord, ({list(KINDS)})[l_suppkey % 6 + 1] AS kind, CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 2 END AS call_id FROM lineitem),
   q AS (SELECT *, CASE kind WHEN 'function_call' THEN 'function_output' WHEN 'shell_call' THEN 'function_output' WHEN 'custom_call' THEN 'custom_output' END AS want FROM c)"""
 ORACLES = {
+    "t19_head_tail_buffer": """WITH c AS (SELECT conv_id, turn, hex(encode(text)) AS h, strlen(text) AS n FROM conversations), b AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS hi, sum(n) OVER (PARTITION BY conv_id) AS total FROM c),
+      p AS (SELECT conv_id, turn, 'head' AS part, substr(h, 1, CAST(2 * (least(hi, 300) - (hi - n)) AS BIGINT)) AS h FROM b WHERE n > 0 AND hi - n < 300
+        UNION ALL SELECT conv_id, turn, 'tail', substr(h, CAST(2 * (greatest(hi - n, 300, total - 300) - (hi - n)) + 1 AS BIGINT)) FROM b WHERE n > 0 AND hi > greatest(300, total - 300))
+      SELECT conv_id, turn, part, CAST(length(h) / 2 AS BIGINT) AS bytes, md5(h) AS digest FROM p""",
     "x12_roll_back": """WITH e AS (SELECT conv_id, turn, length(text) % 7 = 0 AS back FROM conversations),
       s AS (SELECT *, sum(CASE WHEN back THEN -2 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM e), d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY conv_id ORDER BY turn)) AS depth FROM s)
       SELECT conv_id, turn FROM d a WHERE NOT back AND NOT EXISTS (SELECT 1 FROM d b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.depth < a.depth)""",

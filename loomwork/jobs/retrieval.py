@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from loomwork.functions import align, stem
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.jobs import code
-from loomwork.operators import bm25, postings, vectors
+from loomwork.operators import bm25, order, postings, vectors
 from loomwork.operators.lineage import checkpoint_dir, cut
 from loomwork.sources.tables import table
 
@@ -142,10 +142,8 @@ def r08_fuzzy_search(spark, sf):
 
 
 def r09_score_order(spark, sf):
-    """Rows in order of score, descending, then path: the ordinal of each page by length of its text."""
-    order = W.orderBy(F.desc("score"), "url", "page_id")
-    top = table(spark, sf, "pages").select("page_id", "url", F.length("html").alias("score")).orderBy(F.desc("score"), "url", "page_id").limit(100)
-    return top.withColumn("rank", F.row_number().over(order))
+    """All rows in order of score, descending, then path: the ordinal of each page by length of its text."""
+    return order.ranked(table(spark, sf, "pages").select("page_id", "url", F.length("html").alias("score")), F.desc("score"), "url", "page_id")
 
 
 QUERIES = {f.__name__: f for f in (r01_tokenize, r02_bm25_postings, r03_bm25_search, r04_bm25_remove, r05_cosine_knn, r06_cosine_knn_positive, r07_tool_search, r08_fuzzy_search, r09_score_order, r10_fuzzy_match, s06_index_search, s06_index_delta, r03_code_search)}
@@ -166,5 +164,5 @@ ORACLES = {
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 8""",
     "r05_cosine_knn": _cosine_sql(5, -1),
     "r06_cosine_knn_positive": _cosine_sql(3, 0),
-    "r09_score_order": "SELECT page_id, url, length(html) AS score, row_number() OVER (ORDER BY length(html) DESC, url, page_id) AS rank FROM pages ORDER BY rank LIMIT 100",
+    "r09_score_order": "SELECT page_id, url, length(html) AS score, row_number() OVER (ORDER BY length(html) DESC, url, page_id) AS rank FROM pages",
 }

@@ -82,3 +82,21 @@ def roll_back(events, key, ord_, kind, n):
     x = events.withColumn("_sum", F.sum(F.when(F.col(kind) == "rollback", -F.greatest(F.coalesce(F.col(n), F.lit(0)), F.lit(0))).otherwise(1)).over(so_far))
     x = x.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far))).withColumn("_least", F.min("_depth").over(later))
     return x.where((F.col(kind) != "rollback") & (F.col("_least") >= F.col("_depth"))).select(key, ord_)
+
+
+def head_tail(chunks, key, ord_, data, most):
+    """What a buffer of ``most`` bytes keeps of each key's binary ``data`` in order: the first half of the budget and the last bytes behind it. One row for each kept piece: key, ord, part, data.
+
+    A chunk on a border is cut at the byte; a piece's place follows from the bytes before it and the total, so nothing is appended step by step. Null data are empty.
+    """
+    head, tail = most // 2, most - most // 2
+    size = F.coalesce(F.octet_length(data), F.lit(0)).cast("long")
+    w = W.partitionBy(key)
+    x = chunks.select(key, ord_, data, size.alias("_size"))
+    x = x.withColumn("_to", F.sum("_size").over(w.orderBy(ord_).rowsBetween(W.unboundedPreceding, 0))).withColumn("_from", F.col("_to") - F.col("_size")).withColumn("_total", F.sum("_size").over(w))
+    later = F.greatest(F.lit(head), F.col("_total") - tail)  # where the tail begins
+    piece = lambda lo, hi: F.substring(data, (lo - F.col("_from") + 1).cast("int"), (hi - lo).cast("int"))
+    first = F.struct(F.lit("head").alias("part"), piece(F.col("_from"), F.least(F.col("_to"), F.lit(head))).alias("data"))
+    last = F.struct(F.lit("tail").alias("part"), piece(F.greatest(F.col("_from"), later), F.col("_to")).alias("data"))
+    kept = F.filter(F.array(F.when((F.col("_size") > 0) & (F.col("_from") < head), first), F.when((F.col("_size") > 0) & (F.col("_to") > later), last)), lambda p: p.isNotNull())
+    return x.select(key, ord_, F.explode(kept).alias("_p")).select(key, ord_, "_p.part", "_p.data")

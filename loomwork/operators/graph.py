@@ -17,7 +17,7 @@ def neighbours(nodes, edges, kind, incoming, distinct=False):
 def within_hops(edges, seeds, hops):
     """Nodes at 1 to ``hops`` steps of ``seeds(id)``, any kind and direction, seeds excluded: id, hops (the least). Each frontier cuts its lineage; ends early when one is empty."""
     both = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
-    both = both.union(both.select("b", "a"))
+    both = cut(both.union(both.select("b", "a")).distinct().repartition("a"))  # read at every hop
     front = cut(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
     seen = front
     for k in range(1, hops + 1):
@@ -36,6 +36,7 @@ def shortest_paths(edges, sources, targets, max_hops=None, kinds=None):
     path; it ends when no new node is found, or after ``max_hops``. ``kinds`` filters edges; source = target is a path of 0 hops.
     """
     e = (edges.where(F.col("kind").isin(list(kinds))) if kinds else edges).select(F.col("src_id").alias("before"), F.col("dst_id").alias("at")).distinct()
+    e = cut(e.repartition("at"))  # read at every hop
     front = cut(targets.select(F.col("id").alias("target"), F.col("id").alias("at"), F.col("id").alias("path"), F.lit(0).alias("hops")).distinct())
     seen, k = front, 0
     while not front.isEmpty() and (max_hops is None or k < max_hops):
@@ -57,13 +58,14 @@ def resolve(calls, candidates, on, call_id, priority, order):
 
 
 def starting_with(rows, column, names, name):
-    """Rows whose ``column`` starts with any of ``names``; all rows if there are none. An equi-join on all beginnings."""
-    if names.isEmpty():
+    """Rows whose ``column`` starts with any of ``names``, repeated rows as often as they are there; all rows if there are no names. An equi-join of the column's distinct values, by all beginnings of the names' lengths."""
+    wanted = cut(names.select(F.col(name).alias("_begin")).where("_begin is not null").distinct())
+    sizes = [r[0] for r in wanted.select(F.length("_begin")).distinct().collect()]  # lengths of names
+    if not sizes and names.isEmpty():
         return rows
-    wanted = names.select(F.col(name).alias("_begin")).where("_begin is not null").distinct()
-    longest = wanted.agg(F.max(F.length("_begin"))).first()[0] or 0
-    cuts = F.expr(f"transform(sequence(0, least({int(longest)}, length({column}))), n -> substring({column}, 1, n))")
-    return rows.withColumn("_begin", F.explode(cuts)).join(wanted, "_begin", "left_semi").drop("_begin").distinct()
+    cuts = F.array_distinct(F.array(*[F.substring(column, 1, n) for n in sorted(sizes)])) if sizes else F.array().cast("array<string>")
+    fit = rows.select(column).distinct().withColumn("_begin", F.explode(cuts)).join(wanted, "_begin", "left_semi").select(column).distinct()
+    return rows.join(fit, column, "left_semi").select(*rows.columns)
 
 
 def remove(nodes, edges, gone):

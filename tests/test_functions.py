@@ -12,7 +12,7 @@ from loomwork.functions import align, policy, stem
 from loomwork.functions import text as tx
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.functions.text import redact, seek_lines, truncate_text, truncated
-from loomwork.operators import blocks, conversation, graph, store, vectors
+from loomwork.operators import blocks, conversation, graph, order, store, vectors
 from loomwork.streaming import tables
 
 
@@ -266,3 +266,34 @@ def test_alignment(spark):
     got = {(r["i"], r["needle"]): r["score"] for r in align.matches(d, n, "t", block=3).collect()}
     assert got == {(i, x): every_alignment(t, x) for i, t in enumerate(texts) for x in needles if every_alignment(t, x) is not None}
     assert align.scores(["a" * 5000 + "b"], ["aab"]) == [16 * 3 + 2 * 0 + 4 + 4]
+
+
+def test_head_tail_against_a_buffer(spark):
+    rng, rows, want = random.Random(13), [], {}
+    for k in range(60):
+        most, kept = 11, b""
+        data = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 2, 5, 30]))) for _ in range(rng.randrange(1, 8))]
+        rows += [(k, o, d) for o, d in enumerate(data)] + [(k, 99, None)]
+        whole = b"".join(data)
+        kept = whole[:5] + whole[5:][-6:] if len(whole) > 5 else whole
+        want[k] = kept
+    got = conversation.head_tail(spark.createDataFrame(rows, "k int, o int, d binary").repartition(3), "k", "o", "d", 11).collect()
+    for k, kept in want.items():
+        pieces = sorted((r["part"], r["o"], bytes(r["data"])) for r in got if r["k"] == k)
+        assert b"".join(d for _, _, d in pieces) == kept and all(d for _, _, d in pieces)
+
+
+def test_ranks(spark):
+    rng = random.Random(14)
+    rows = [(i, rng.choice([None, 1, 2, 3])) for i in range(500)]
+    got = order.ranked(spark.createDataFrame(rows, "i int, v int").repartition(7), F.desc("v"), "i").collect()
+    want = {i: k + 1 for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-(r[1] or 0), r[0])))}
+    assert {r["i"]: r["rank"] for r in got} == want
+    assert order.ranked(spark.createDataFrame([], "i int"), "i").count() == 0
+
+
+def test_starting_with_keeps_repeated_rows(spark):
+    d = spark.createDataFrame([("abc", 1), ("abc", 1), ("b", 2), (None, 3), ("xa", 4), ("", 5)], "t string, n int")
+    names = lambda *x: spark.createDataFrame([(v,) for v in x], "name string")
+    got = lambda *x: sorted(r["n"] for r in graph.starting_with(d, "t", names(*x), "name").collect())
+    assert got("ab", "a", "abc", None) == [1, 1] and got() == [1, 1, 2, 3, 4, 5] and got("") == [1, 1, 2, 4, 5] and got(None) == [] and got("abcd", "xa") == [4]

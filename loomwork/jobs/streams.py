@@ -9,7 +9,7 @@ from loomwork.operators import store
 from loomwork.operators.lineage import checkpoint_dir
 from loomwork.sources.tables import table
 from loomwork.streaming import logs as lg
-from loomwork.streaming import tables
+from loomwork.streaming import items, tables
 
 
 def scratch(spark):
@@ -49,6 +49,19 @@ def k11_session_index(spark, sf):
     return tables.read(spark, out).select(F.col("path").cast("long").alias("conv_id"), F.col("version").alias("turn"))
 
 
+def x11_item_stream(spark, sf):
+    """Items of conversations that arrive in three parts over three batches, the last parts first, and some without their last part: each is joined and emitted once."""
+    at = scratch(spark)
+    items.with_rocksdb(spark)
+    c = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(turn as int))").alias("ts"), ((F.col("conv_id") % 5 == 0) & (F.col("turn") % 3 == 1)).alias("torn"), F.explode(items.slices(F.col("text"), 3)).alias("p"))
+    parts = c.where(~F.col("torn") | (F.col("p.part") < 2)).select("key", "p.part", F.lit(3).alias("of"), "p.text", "ts")
+    over = spark.sql("select '' as key, 0 as part, 1 as of, '' as text, timestamp '2030-01-01' as ts")  # time goes on
+    for batch in (parts.where("part = 2"), parts.where("part = 0").unionByName(parts.where("part = 2")), parts.where("part = 1"), over):
+        batch.write.mode("append").parquet(f"{at}/in")
+        _done(items.run(items.join_parts(lg.stream(spark, f"{at}/in", parts.schema)), f"{at}/out", f"{at}/checkpoint"))
+    return spark.read.parquet(f"{at}/out").where("key <> ''").select("key", F.md5("text").alias("digest"), "parts", "complete")
+
+
 def x02_log_sink(spark, sf):
     at, e = _events(spark, sf)
     _done(lg.sink(e.withColumnRenamed("event_id", "id"), f"{at}/out", f"{at}/checkpoint"))
@@ -114,6 +127,8 @@ ORACLES = {
       s(key, n, known, success) AS (SELECT DISTINCT key, 0::BIGINT, -1::BIGINT, -1::BIGINT FROM e UNION ALL SELECT s.key, e.n, CASE WHEN action <> 'enqueue' THEN known WHEN value > known THEN value ELSE known + 1 END,
         CASE WHEN action = 'succeed' THEN greatest(success, known) ELSE success END FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
       SELECT key, arg_max(e.action, e.n) AS status, arg_max(known, e.n) AS input, arg_max(success, e.n) AS success, arg_max(known > success, e.n) AS pending FROM s JOIN e USING (key, n) GROUP BY 1""",
+    "x11_item_stream": """WITH c AS (SELECT conv_id || ':' || turn AS key, text, CAST(ceil(length(text) / 3.0) AS INTEGER) AS step, conv_id % 5 = 0 AND turn % 3 = 1 AS torn FROM conversations)
+      SELECT key, md5(CASE WHEN torn THEN left(text, 2 * step) ELSE text END) AS digest, CAST(CASE WHEN torn THEN 2 ELSE 3 END AS INTEGER) AS parts, NOT torn AS complete FROM c""",
     "x02_log_sink": "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
     "x03_log_tail": "SELECT event_id AS id, event_type FROM events ORDER BY event_id DESC LIMIT 200",
     "x04_backfill": "SELECT user_id, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1",

@@ -122,13 +122,13 @@ def test_hard_negatives(spark, small_trees, scale):
 
 
 def test_hard_negatives_bounds_save_scores(spark):
-    """Tight clusters of different norms: most candidates are never scored again."""
+    """Tight clusters of different norms: most candidates are never scored again. Without bounds half of the pairs are, as each is a candidate in one scan."""
     rng = np.random.default_rng(6)
     base = rng.standard_normal((40, 16))
     v = base[np.arange(4000) % 40] + 0.01 * rng.standard_normal((4000, 16))
     t = spark.createDataFrame([(i, i % 3, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>")
     r = hard_negatives.mine(t, every=5).first()
-    assert r["scored"] < 0.5 * r["pairs"]
+    assert r["scored"] < 0.2 * r["pairs"]
 
 
 def test_hard_negatives_without_rows(spark):

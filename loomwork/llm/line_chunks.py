@@ -128,14 +128,15 @@ def drop_repeated_chunks(docs):
 
     Of each chunk the first occurrence, by doc_id and then place, stays. All documents stay, some with
     empty text. Null and empty texts pass unchanged with 0 lines cut; rows alike in doc_id and text are one
-    document (both stay, with the same text); null ids come first in order. Texts of fewer than CHUNK lines hold no chunk, nor do texts
+    document (both stay, with the same text); null ids come first in order. Different texts of one doc_id are documents of their
+    own: where the 32-bit hashes that order them are equal, lines are still compared with each text, and cut from the text compared. Texts of fewer than CHUNK lines hold no chunk, nor do texts
     without blanks and newlines. Other columns pass through; a column named ``n_removed`` is replaced. An empty table gives an empty result.
     """
     S.ensure_checkpoint_dir(docs.sparkSession)
     folder = os.path.join(docs.sparkSession.sparkContext.getCheckpointDir(), f"chunks-{uuid.uuid4().hex}")
     docs = docs.drop("n_removed")
     own = docs.columns
-    # a document is known by doc_id and a hash of its text; _at deals both
+    # a document is found by doc_id and a short hash of its text, which _at deals; what is cut names the whole text by its digest
     by_doc = _stretches(_twins(docs.where("text <> ''").select("doc_id", "text", F.hash("text").alias("r")), folder))
     names = {c: f"own{k}" for k, c in enumerate(own)}  # so that no column's name clashes
     d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.hash("text").alias("_r")).withColumn("_at", F.xxhash64(names["doc_id"], "_r")).alias("d")
@@ -148,15 +149,18 @@ def drop_repeated_chunks(docs):
         same = (F.col("d._at") == F.col(f"o.{at}")) & column("doc_id").eqNullSafe(F.col(f"o.{id_}")) & (F.col("d._r") == F.col(f"o.{r}"))
         return d.join(other, same if when is None else same & read(when), how)
 
-    later = joined(by_doc, F.size("o._stretches")).select("o._at", "o._id", "o._r", F.explode(_with_lines(column("text"), F.col("o._stretches"))).alias("c"))
-    later = later.select("_at", "_id", "_r", "c.*").withColumn("first_at", F.xxhash64("first_id", "first_r"))
+    digest = F.unhex(F.md5(column("text").cast("binary")))
+    later = joined(by_doc, F.size("o._stretches")).select("o._at", "o._id", "o._r", digest.alias("_digest"), F.explode(_with_lines(column("text"), F.col("o._stretches"))).alias("c"))
+    later = later.select("_at", "_id", "_r", "_digest", "c.*").withColumn("first_at", F.xxhash64("first_id", "first_r"))
     both = joined(later, F.size("o.parts"), at="first_at", id_="first_id", r="first_r")
-    cuts = both.select("o._at", "o._id", "o._r", _equal_lines(column("text"), F.col("o.parts")).alias("cut"))
-    cuts = cuts.groupBy("_at", "_id", "_r").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("_cut"))
-    pieces = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("o._cut")), lambda i: F.get(p, i))
+    cuts = both.select("o._at", "o._id", "o._r", "o._digest", _equal_lines(column("text"), F.col("o.parts")).alias("cut"))
+    cuts = cuts.groupBy("_at", "_id", "_r").agg(F.collect_list(F.struct("_digest", "cut")).alias("_cuts"))
+    of_text = _let(digest, lambda own_digest: F.array_distinct(F.flatten(F.transform(F.filter("o._cuts", lambda x: x["_digest"] == own_digest), lambda x: x["cut"]))))
+    result = joined(cuts, how="left").withColumn("_cut", F.when(F.col("o._cuts").isNotNull(), of_text))
+    pieces = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_cut")), lambda i: F.get(p, i))
     left = F.array_join(_let(F.split(column("text"), AFTER_END), pieces), "")
-    text = F.when(F.col("o._cut").isNull(), column("text")).otherwise(left)
-    return joined(cuts, how="left").select(*[(text if c == "text" else column(c)).alias(c) for c in own], F.coalesce(F.size("o._cut"), F.lit(0)).alias("n_removed"))
+    text = F.when(F.col("_cut").isNull(), column("text")).otherwise(left)
+    return result.select(*[(text if c == "text" else column(c)).alias(c) for c in own], F.coalesce(F.size("_cut"), F.lit(0)).alias("n_removed"))
 
 
 def op5_line_chunks(spark, sf_dir):

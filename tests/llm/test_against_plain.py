@@ -325,6 +325,21 @@ def test_often_repeated_chunks(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in line_chunks.drop_repeated_chunks(d).collect()} == plain_chunks(texts)
 
 
+def test_line_chunks_with_equal_short_hashes(spark):
+    """Different texts of one doc_id whose 32-bit hashes are equal: only what is repeated goes."""
+    sentence = lambda name, n: " ".join(f"{name}{i % 89}{'zxq'[i % 3]}{i}" for i in range(n))
+    shared = sentence("passage", 60)
+    bodies = [shared + " " + sentence("left", 40), sentence("other", 110)]
+    made = spark.range(300_000).select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.concat(F.lit(b + " "), F.col("id").cast("string")).alias("text")) for k, b in enumerate(bodies)])).alias("x")).select("x.*")
+    pair = made.groupBy(F.hash("text").alias("r")).agg(F.min(F.when(F.col("k") == 0, F.col("text"))).alias("a"), F.min(F.when(F.col("k") == 1, F.col("text"))).alias("b")).where("a is not null and b is not null").first()
+    assert pair is not None
+    rows = [(1, shared + " " + sentence("first", 30)), (7, pair["a"]), (7, pair["b"])]
+    got = [r for r in line_chunks.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 7]
+    cut, whole = sorted(got, key=lambda r: -r["n_removed"])
+    assert cut["n_removed"] > 0 and shared not in cut["text"] and pair["a"].endswith(cut["text"][-200:])
+    assert whole["n_removed"] == 0 and whole["text"] == pair["b"]
+
+
 def test_line_chunks(spark):
     rng = random.Random(7)
     line = lambda: " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(6, 14))).capitalize() + "."

@@ -58,17 +58,28 @@ _PIECE = r"""'[^']*'|"[^"$`\\]*"|[^\s'"<>$`(){}&|;\\#]++"""
 _OPERATOR = r"&&|\|\||;|\|"
 
 
-def word_commands(lines, key, line):
-    """(key, n, words): the n-th command of each line, its words joined by line ends. Lines that hold anything but words, quoted words and operators between commands give no row; nor do null and empty lines."""
-    word = f"(?:{_PIECE})++"
-    command = rf"{word}(?:[ \t]+{word})*"
-    whole = rf"^[ \t]*{command}(?:[ \t]*(?:{_OPERATOR})[ \t]*{command})*[ \t]*$"
-    parts = F.regexp_extract_all(line, F.lit(rf"((?:{word}|{_OPERATOR}))"), 1)
-    x = lines.where(F.col(line).rlike(whole)).select(key, F.posexplode(parts).alias("_at", "_w"))
+_WORD = f"(?:{_PIECE})++"
+
+
+def is_word_list(line):
+    """Whether a line holds only words, quoted words and operators between commands."""
+    command = rf"{_WORD}(?:[ \t]+{_WORD})*"
+    return line.rlike(rf"^[ \t]*{command}(?:[ \t]*(?:{_OPERATOR})[ \t]*{command})*[ \t]*$")
+
+
+def command_arrays(lines, key, line):
+    """(key, n, w, line): the n-th command of each line as an array of words. Other lines than ``is_word_list`` give no row; nor do null and empty lines."""
+    parts = F.regexp_extract_all(line, F.lit(rf"((?:{_WORD}|{_OPERATOR}))"), 1)
+    x = lines.where(is_word_list(F.col(line))).select(key, F.col(line).alias("_line"), F.posexplode(parts).alias("_at", "_w"))
     x = x.withColumn("_op", F.col("_w").rlike(rf"^(?:{_OPERATOR})$"))
     n = F.coalesce(F.sum(F.col("_op").cast("int")).over(W.partitionBy(key).orderBy("_at")), F.lit(0)).cast("int")
-    words = x.withColumn("n", n).where("not _op").groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("_at", "_w"))).alias("_l"))
-    return words.select(key, "n", F.array_join(F.transform("_l", lambda p: F.regexp_replace(p["_w"], r"""'([^']*)'|"([^"]*)\"""", "$1$2")), "\n").alias("words"))
+    words = x.withColumn("n", n).where("not _op").groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("_at", "_w"))).alias("_l"), F.first("_line").alias("_line"))
+    return words.select(key, "n", F.transform("_l", lambda p: F.regexp_replace(p["_w"], r"""'([^']*)'|"([^"]*)\"""", "$1$2")).alias("w"), F.col("_line").alias("line"))
+
+
+def word_commands(lines, key, line):
+    """(key, n, words): the n-th command of each line, its words joined by line ends; rows as in ``command_arrays``."""
+    return command_arrays(lines, key, line).select(key, "n", F.array_join("w", "\n").alias("words"))
 
 
 #: Networks that aren't public.

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.functions import policy
+from loomwork.functions import commands, policy
 from loomwork.functions import text as tx
 from loomwork.sources.tables import table
 
@@ -280,6 +280,19 @@ def n06_word_commands(spark, sf):
     return policy.word_commands(e.select("event_id", line.alias("line")), "event_id", "line")
 
 
+def _shell_lines(spark, sf):
+    """Events as command lines of twelve kinds: event_id, line."""
+    forms = ["cd src/%1$s && cat %2$d.py", "cd /a && cd b && sed -n 1,20p %1$s/%2$d.rs | head -n 5", "rg -n -g *.py %1$s src/%2$d/", "ls -la packages/%2$d/src | wc -l", "echo start && cat %1$s && cat %1$s", "grep -e %1$s -m 3 logs/%2$d || true", "wc -l; sort", "find . -name %1$s", "cat %2$d > out", "true && nl -ba && python3 -c 'import os; os.walk(1)'", "head -n 5 %1$s; tail -n +3 %2$d; git ls-files build/", "cd %1$s && make"]
+    e, k = table(spark, sf, "events"), F.col("event_id") % 12
+    line = F.coalesce(*[F.when(k == i, F.format_string(f, "event_type", "user_id")) for i, f in enumerate(forms)])
+    return e.select("event_id", line.alias("line"))
+
+
+def n05_commands(spark, sf):
+    """What command lines do: files read below the folders gone to, lists, searches, others; repeats once."""
+    return commands.summaries(_shell_lines(spark, sf), "event_id", "line")
+
+
 def n08_path_by_id(spark, sf):
     """Path by key where that path exists, else the found one that holds the id, with whether the index is to be repaired."""
     there = _paths(spark, sf).where("p_partkey % 9 <> 0")
@@ -342,6 +355,11 @@ ORACLES = {
     "n03_commit_rows": "SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type AS subject FROM events WHERE event_id % 11 <> 0",
     "n04_default_first": "SELECT p_brand, row_number() OVER (ORDER BY p_brand <> 'Brand#9', p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)",
     "n05_collapse_repeats": "SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM events) WHERE l IS DISTINCT FROM event_type",
+    "n05_commands": """WITH e AS (SELECT event_id, event_id % 12 AS k, event_type AS t, CAST(user_id AS VARCHAR) AS u FROM events)
+      SELECT event_id, n, kind, cmd, name, query, path FROM e, LATERAL (VALUES (0, 0, 'read', 'cat ' || u || '.py', u || '.py', NULL, 'src/' || t || '/' || u || '.py'), (1, 0, 'read', 'sed -n 1,20p ' || t || '/' || u || '.rs', u || '.rs', NULL, '/a/b/' || t || '/' || u || '.rs'),
+        (2, 0, 'search', 'rg -n -g ''*.py'' ' || t || ' src/' || u || '/', NULL, t, u), (3, 0, 'list', 'ls -la packages/' || u || '/src', NULL, NULL, u), (4, 0, 'read', 'cat ' || t, t, NULL, t), (5, 0, 'search', 'grep -e ' || t || ' -m 3 logs/' || u, NULL, t, u),
+        (6, 0, 'unknown', 'wc -l; sort', NULL, NULL, NULL), (7, 0, 'search', 'find . -name ' || t, NULL, t, '.'), (8, 0, 'unknown', 'cat ' || u || ' > out', NULL, NULL, NULL), (9, 0, 'list', 'python3 -c ''import os; os.walk(1)''', NULL, NULL, NULL),
+        (10, 0, 'read', 'head -n 5 ' || t, t, NULL, t), (10, 1, 'read', 'tail -n +3 ' || u, u, NULL, u), (10, 2, 'list', 'git ls-files build/', NULL, NULL, 'build'), (11, 0, 'unknown', 'make', NULL, NULL, NULL)) v(j, n, kind, cmd, name, query, path) WHERE k = j""",
     "n06_word_commands": """SELECT event_id, n, array_to_string(words, chr(10)) AS words FROM (SELECT event_id, ['cat', event_type || '/' || user_id] AS a, CASE event_id % 7 WHEN 0 THEN ['ls', '-l'] WHEN 1 THEN ['head', '-n', '3'] WHEN 2 THEN ['echo', 'a && b'] ELSE ['echo', 'x y'] END AS b FROM events WHERE event_id % 7 IN (0, 1, 2, 5)),
       LATERAL (VALUES (0, a), (1, b)) v(n, words)""",
     "n08_path_by_id": f"""{P}, t AS (SELECT * FROM p WHERE p_partkey % 9 <> 0), s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'old/' || path ELSE path END AS stored FROM p WHERE p_partkey % 4 <> 0), g AS (SELECT * FROM s WHERE stored IN (SELECT path FROM t))

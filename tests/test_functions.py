@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwork.functions import align, policy, stem
+from loomwork.functions import align, commands, policy, stem
 from loomwork.functions import text as tx
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.functions.text import redact, seek_lines, truncate_text, truncated
@@ -297,3 +297,45 @@ def test_starting_with_keeps_repeated_rows(spark):
     names = lambda *x: spark.createDataFrame([(v,) for v in x], "name string")
     got = lambda *x: sorted(r["n"] for r in graph.starting_with(d, "t", names(*x), "name").collect())
     assert got("ab", "a", "abc", None) == [1, 1] and got() == [1, 1, 2, 3, 4, 5] and got("") == [1, 1, 2, 4, 5] and got(None) == [] and got("abcd", "xa") == [4]
+
+
+def test_command_summaries(spark):
+    cases = [
+        ("cat 'a b.txt'", [("read", "a b.txt")]),
+        ("cat a b", [("unknown", None)]),
+        ("cd /srv; cd app/ && cd ../lib && cat x.c", [("read", "/srv/app/../lib/x.c")]),
+        ("cd a && cd /b && cat /c/x && cat y", [("read", "/c/x"), ("read", "/b/y")]),
+        ("cat x; cd a; cat x", [("read", "x"), ("read", "a/x")]),
+        ("cd -P -- -odd && less -p word f", [("read", "-odd/f")]),
+        ("cd a", []),
+        ("cat f && cat f && ls && cat f", [("read", "f"), ("list", None), ("read", "f")]),
+        ("nl -ba && echo x && cat f && echo y", [("read", "f"), ("unknown", None)]),
+        ("echo a && nl -ba", [("unknown", None)]),
+        ("true", [("unknown", None)]),
+        ("true && true", []),
+        ("ls | wc -l", [("list", None)]),
+        ("wc -l f", [("unknown", None)]),
+        ("rg --files a/src | head -n 5", [("list", "a")]),
+        ("rg -A 3 needle a/b | xargs sed -i s/a/b/", [("search", "b"), ("unknown", None)]),
+        ("fd -t f main lib", [("search", "lib")]),
+        ("fd ./lib", [("list", "lib")]),
+        ("find a/b -type f", [("list", "b")]),
+        ("grep -r -- -x a/b", [("search", "b")]),
+        ("git grep -f pats a/b", [("search", "b")]),
+        ("git status", [("unknown", None)]),
+        ("head -n50 f", [("read", "f")]),
+        ("tail -c 5 f", [("unknown", None)]),
+        ("awk -F , '{print}' f", [("read", "f")]),
+        ("sed -n -e 5p f", [("read", "f")]),
+        ("sed s/a/b/ f", [("unknown", None)]),
+        ("python3 -c 'import glob; glob.glob(1)'", [("list", None)]),
+        ("python3 x.py", [("unknown", None)]),
+        ("cat $(ls)", [("unknown", None)]),
+        (None, []),
+        ("  ", []),
+    ]
+    got = commands.summaries(spark.createDataFrame([(i, line) for i, (line, _) in enumerate(cases)], "id long, line string"), "id", "line").orderBy("id", "n").collect()
+    for i, (line, want) in enumerate(cases):
+        rows = [r for r in got if r["id"] == i]
+        assert [(r["kind"], r["path"]) for r in rows] == want, line
+        assert [r["n"] for r in rows] == list(range(len(want)))

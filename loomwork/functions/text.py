@@ -103,3 +103,9 @@ def seek_lines(lines, pattern, start=0, at_end=False):
             if [same(x) for x in lines[i : i + len(pattern)]] == want:
                 return i
     return None
+
+
+def user_message(text, prefix, has_images):
+    """What follows the first ``prefix`` of a message, or all of it, without blanks around; ``[Image]`` where nothing is left but images, else null."""
+    own = F.when(F.contains(text, F.lit(prefix)), F.substring(text, F.instr(text, prefix) + len(prefix), F.length(text))).otherwise(text)
+    return F.coalesce(F.nullif(F.regexp_replace(own, r"^\s+|\s+$", ""), F.lit("")), F.when(has_images, F.lit("[Image]")))

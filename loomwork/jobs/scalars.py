@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from loomwork.functions import commands, policy
 from loomwork.functions import text as tx
+from loomwork.operators import events
 from loomwork.sources.tables import table
 
 #: Extensions of the languages.
@@ -130,6 +131,14 @@ def t07_user_message(spark, sf):
     return _docs(spark, sf).select("doc_id", F.when(F.instr(t, ":") > 0, F.trim(F.expr("substring(text, instr(text, ':') + 1)"))).otherwise(F.trim(t)).alias("message")).select("doc_id", F.md5("message").alias("digest"))
 
 
+def t07_previews(spark, sf):
+    """Previews of user messages, some behind a heading, some empty, every other with images."""
+    turn = F.col("turn")
+    text = F.when(turn % 3 == 0, F.concat(F.lit("context\n## My request: "), "text", F.lit(" \n"))).when(turn % 3 == 1, F.lit(" \n ")).otherwise(F.concat(F.lit("\t"), "text"))
+    x = table(spark, sf, "conversations").select("conv_id", "turn", text.alias("text"))
+    return x.select("conv_id", "turn", F.md5(tx.user_message(F.col("text"), "## My request:", F.col("conv_id") % 2 == 0)).alias("digest"))
+
+
 def t08_timestamps(spark, sf):
     """Two text forms of a time, read back to the second."""
     e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH-mm-ss")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("s"))
@@ -309,6 +318,13 @@ def n07_pair_events(spark, sf):
     return e.where("event_type = 'view'").select("event_id", "end")
 
 
+def n07_items(spark, sf):
+    """Events of a user as items: views begin a call, purchases end it, others are complete at once."""
+    what = F.when(F.col("event_type") == "view", "begin").when(F.col("event_type") == "purchase", "end").otherwise("message")
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", what.alias("what"), F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 3).alias("call"))
+    return events.items(e, "user_id", ["ts", "event_id"], "call", "what", F.date_trunc("day", "ts")).select("event_id", "event", "item", "begun")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "septajn" and n[1:3].isdigit()}
 HOST_SQL = "regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1)"
 P = f"WITH {PATH_SQL}"
@@ -333,6 +349,7 @@ ORACLES = {
     "t05_normal_host": f"SELECT page_id, CASE WHEN page_id % 3 = 2 THEN '::' || page_id ELSE lower({HOST_SQL}) END AS host FROM pages",
     "t06_private_address": "WITH x AS (SELECT c_custkey, ([10, 127, 172, 192, 100, 8])[c_custkey % 6 + 1] AS a, c_custkey % 256 AS b FROM customer) SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_custkey // 5 % 6 <> 3 ELSE a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) END AS private FROM x",
     "t07_user_message": "SELECT doc_id, md5(CASE WHEN instr(text, ':') > 0 THEN trim(substr(text, instr(text, ':') + 1)) ELSE trim(text) END) AS digest FROM documents",
+    "t07_previews": """SELECT conv_id, turn, md5(coalesce(nullif(CASE turn % 3 WHEN 1 THEN '' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END, ''), CASE WHEN conv_id % 2 = 0 THEN '[Image]' END)) AS digest FROM conversations""",
     "t08_timestamps": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events",
     "t09_time_argument": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events",
     "t10_normal_path": f"{P} SELECT p_partkey, path FROM p",
@@ -364,5 +381,10 @@ ORACLES = {
       LATERAL (VALUES (0, a), (1, b)) v(n, words)""",
     "n08_path_by_id": f"""{P}, t AS (SELECT * FROM p WHERE p_partkey % 9 <> 0), s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'old/' || path ELSE path END AS stored FROM p WHERE p_partkey % 4 <> 0), g AS (SELECT * FROM s WHERE stored IN (SELECT path FROM t))
       SELECT p.p_partkey, coalesce(g.stored, t.path) AS path, g.stored IS NULL AND t.path IS NOT NULL AS repaired FROM p LEFT JOIN g USING (p_partkey) LEFT JOIN t USING (p_partkey)""",
+    "n07_items": """WITH e AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'begin' WHEN 'purchase' THEN 'end' ELSE 'message' END AS what, CASE WHEN event_id % 7 <> 0 THEN event_id % 3 END AS call FROM events),
+      p AS (SELECT *, lag(what) OVER w AS kind, lag(event_id) OVER w AS b FROM e WHERE what <> 'message' AND call IS NOT NULL WINDOW w AS (PARTITION BY user_id, call ORDER BY ts, event_id)),
+      x AS (SELECT e.*, b AS begun FROM e LEFT JOIN p ON p.event_id = e.event_id AND p.what = 'end' AND kind = 'begin'),
+      n AS (SELECT *, sum(CASE WHEN begun IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS no FROM x)
+      SELECT n.event_id, CASE n.what WHEN 'begin' THEN 'item.started' ELSE 'item.completed' END AS event, 'item_' || CAST(coalesce(m.no, n.no) AS BIGINT) AS item, n.begun FROM n LEFT JOIN n m ON m.event_id = n.begun""",
     "n07_pair_events": "SELECT event_id, \"end\" FROM (SELECT event_id, event_type, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS \"end\" FROM events) WHERE event_type = 'view'",
 }

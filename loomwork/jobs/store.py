@@ -46,6 +46,13 @@ def s20_path_by_id(spark, sf):
     return t.select("id", "status", F.when(F.col("status") == "F", F.lit("archived")).otherwise(F.lit("active")).alias("root"))
 
 
+def s20_paths_asked(spark, sf):
+    """Paths of the orders that lines ask for, by a three-way argument."""
+    t = _thread(spark, sf).select("id", (F.col("status") == "F").alias("archived"), F.when(F.col("id") % 11 != 0, F.concat(F.lit("sessions/"), F.col("id").cast("string"))).alias("path"))
+    only = F.when(F.col("l_linenumber") % 3 == 0, True).when(F.col("l_linenumber") % 3 == 1, False)
+    return store.paths_by_id(t, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), only.alias("archived")))
+
+
 def k02_insert_logs(spark, sf):
     return logs(spark, sf).select("id", "estimated_bytes")
 
@@ -254,6 +261,8 @@ RUNNING = "sum(estimated_bytes) OVER (PARTITION BY {} ORDER BY ts DESC, id DESC
 ORACLES = {
     "s18_point_lookup": f"{T} SELECT * FROM thread WHERE id = 42",
     "s19_ordered_children": "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY 1",
+    "s20_paths_asked": """SELECT o_orderkey AS id, archived, 'sessions/' || o_orderkey AS path FROM orders JOIN (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN true WHEN 1 THEN false END AS archived FROM lineitem) ON l_orderkey = o_orderkey
+      WHERE o_orderkey % 11 <> 0 AND (archived IS NULL OR archived = (o_orderstatus = 'F'))""",
     "s20_path_by_id": f"{T} SELECT id, status, CASE WHEN status = 'F' THEN 'archived' ELSE 'active' END AS root FROM thread WHERE status IN ('F', 'O')",
     "k02_insert_logs": f"{L} SELECT id, estimated_bytes FROM logs",
     "k03_upsert": f"{T}, {INCOMING_SQL} SELECT * FROM inc UNION ALL SELECT * FROM thread WHERE id NOT IN (SELECT id FROM inc)",

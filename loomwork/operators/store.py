@@ -49,6 +49,12 @@ def partition_totals(rows, partition, size, cap):
     return rows.groupBy(*partition).agg(F.sum(size).alias("total_bytes")).where(F.col("total_bytes") > cap)
 
 
+def paths_by_id(threads, asked):
+    """Paths of ``threads(id, archived, path)`` for each row of ``asked(id, archived)``: only archived ones, only others, or (null) either; rows without such a thread or path are left out."""
+    x = asked.withColumnRenamed("archived", "_only").join(threads.select("id", "archived", "path"), "id")
+    return x.where((F.col("_only").isNull() | (F.col("_only") == F.col("archived"))) & F.col("path").isNotNull()).select("id", F.col("_only").alias("archived"), "path")
+
+
 def upsert(table, incoming, key, version=None):
     """``incoming`` replaces rows of the same key; with ``version`` only where its version is at least the row's. All columns of ``table``.
 

@@ -12,7 +12,7 @@ from loomwork.functions import align, commands, policy, stem
 from loomwork.functions import text as tx
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.functions.text import redact, seek_lines, truncate_text, truncated
-from loomwork.operators import blocks, conversation, graph, order, store, vectors
+from loomwork.operators import blocks, conversation, events, graph, order, store, vectors
 from loomwork.streaming import tables
 
 
@@ -339,3 +339,26 @@ def test_command_summaries(spark):
         rows = [r for r in got if r["id"] == i]
         assert [(r["kind"], r["path"]) for r in rows] == want, line
         assert [r["n"] for r in rows] == list(range(len(want)))
+
+
+def test_items_against_a_replay(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice(["begin", "end", "message"]), rng.choice([1, 2, None])) for i in range(400)]
+    got = events.items(spark.createDataFrame(rows, "id long, s long, what string, call long"), "s", ["id"], "call", "what", F.floor(F.col("id") / 30)).collect()
+    running, count, want = {}, {}, {}
+    for i, s, what, call in rows:
+        begun = running.pop((s, call), None) if what == "end" and call is not None else None
+        if begun is None:
+            number = count[s] = count.get(s, -1) + 1
+            if what == "begin" and call is not None:
+                running[s, call] = (i, number)
+        else:
+            number = begun[1]
+        want[i] = ("item.started" if what == "begin" else "item.completed", f"item_{number}", begun and begun[0])
+    assert {r["id"]: (r["event"], r["item"], r["begun"]) for r in got} == want and len(got) == len(rows)
+
+
+def test_user_message(spark):
+    rows = [("a ## Q: b ## Q: c \n", False, "b ## Q: c"), (" \t x\n", True, "x"), ("## Q:  ", True, "[Image]"), ("## Q:", False, None), ("", True, "[Image]"), (None, True, "[Image]"), (None, None, None)]
+    got = spark.createDataFrame(rows, "text string, images boolean, want string").withColumn("got", tx.user_message(F.col("text"), "## Q:", F.col("images"))).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]

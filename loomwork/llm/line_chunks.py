@@ -17,9 +17,9 @@ from . import _shared as S
 
 #: What ends a line: one character, a newline, or a blank after a character that isn't a common last letter or before some letters.
 UNCOMMON, BEGINS = "[^entrhdsailoyg]", "[bdklp]"
-ENDS = rf"\n| (?:(?<={UNCOMMON} )|(?={BEGINS}))"
-AFTER_END = rf"(?<=\n|{UNCOMMON} )|(?<= )(?={BEGINS})"
-CHUNK, CONTEXT = 6, 8
+ENDS = rf"[\n ](?:(?<=\n)|(?<={UNCOMMON} )|(?={BEGINS}))"
+AFTER_END = rf"(?<=[\n ])(?:(?<=\n)|(?<={UNCOMMON} )|(?={BEGINS}))"
+CHUNK, CONTEXT = 6, 8  # CHUNK is even
 #: Equal neighbouring lines count up to the last one of so many characters; shorter ones may be equal by chance.
 LONG_LINE = 12
 #: Chunk hashes seen in at least HOT_SEEN of the documents sampled (one in SAMPLE, by hash) are dealt by document, at most MAX_HOT of them.
@@ -36,19 +36,23 @@ def _lines(text):
     return F.split(text, ENDS)
 
 
-def _starts(h):
-    """Places of the lines at which chunks start that fit in the text; ``h``: line hashes."""
-    rolled = _let(h, lambda v: F.transform(v, lambda x, i: F.shiftleft(x, 1).bitwiseXOR(F.get(v, i + 1))))
-    least = lambda r, i: (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) <= F.get(r, i + 1))
-    places = lambda r: F.when(F.size(r) >= CHUNK, F.sequence(F.lit(0), F.size(r) - CHUNK)).otherwise(F.array().cast("array<int>"))
-    return _let(rolled, lambda r: F.filter(places(r), lambda i: (i == 0) | least(r, i)))
+def _rolled(h):
+    """A hash over each line and the next one; ``h``: line hashes."""
+    return F.transform(h, lambda x, i: F.shiftleft(x, 1).bitwiseXOR(F.get(h, i + 1)))
+
+
+def _starts(r):
+    """Places of the lines at which chunks start that fit in the text; ``r``: rolled hashes."""
+    least = lambda i: (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) <= F.get(r, i + 1))
+    places = F.when(F.size(r) >= CHUNK, F.sequence(F.lit(0), F.size(r) - CHUNK)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: (i == 0) | least(i))
 
 
 def _chunks(text):
-    """Structs s, ch: the first line and the hash of each chunk in the text."""
+    """Structs s, ch: the first line and the hash of each chunk in the text, over the rolled hashes of its pairs of lines."""
     hashes = F.transform(_lines(text), lambda x: F.xxhash64(x))
-    chunk = lambda h, s: F.struct(s.alias("s"), F.xxhash64(*[F.get(h, s + m) for m in range(CHUNK)]).alias("ch"))
-    return _let(hashes, lambda h: F.transform(_starts(h), lambda s: chunk(h, s)))
+    chunk = lambda r, s: F.struct(s.alias("s"), F.xxhash64(*[F.get(r, s + m) for m in range(0, CHUNK, 2)]).alias("ch"))
+    return _let(_let(hashes, _rolled), lambda r: F.transform(_starts(r), lambda s: chunk(r, s)))
 
 
 def _twins(texts, folder):

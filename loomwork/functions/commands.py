@@ -149,8 +149,7 @@ def summaries(lines, key, line):
     x = words.withColumn("tool", F.when(git, F.concat(F.lit("git "), F.get("w", F.lit(1)))).otherwise(head)).withColumn("args", F.slice("w", F.when(git, 3).otherwise(2), F.size("w")))
     x = x.withColumn("ops", _operands(F.col("tool"), F.col("args"))).withColumn("file", _file_read(F.col)).withColumn("formats", _formats(F.col))
     x = x.withColumn("only_formats", F.min("formats").over(every))
-    as_line = x.where("only_formats and n = 0").select("key", "n", "line")
-    x = x.where("not formats")
+    x = x.where("if(only_formats, n = 0, not formats)")  # on a window's result, so that the operands aren't worked out anew in a filter below it
     # folders gone to: from the last absolute one on
     dash = F.array_position("args", "--").cast("int")
     target = F.when(F.col("tool") == "cd", F.when(dash > 0, F.get("args", dash)).otherwise(F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter("args", lambda a: ~a.startswith("-"))), -1)))
@@ -159,7 +158,9 @@ def summaries(lines, key, line):
     x = x.withColumn("target", F.nullif(target, F.lit(""))).withColumn("base", F.max(F.when(absolute(F.col("target")), F.col("n"))).over(before))
     x = x.withColumn("gone", F.collect_list(F.when(F.col("target").isNotNull(), F.struct("n", "target"))).over(before)).where("tool <> 'cd'")
     folders = F.transform(F.filter("gone", lambda g: F.col("base").isNull() | (g["n"] >= F.col("base"))), lambda g: F.regexp_replace(g["target"], "/+$", ""))
-    x = x.withColumn("s", _summary(F.col)).withColumn("cmd", _quoted(F.col("w"))).withColumn("several", F.count("*").over(every) > 1).where("not (several and cmd = 'true')")
+    none = F.lit(None).cast("string")
+    x = x.withColumn("s", F.when(~F.col("only_formats"), _summary(F.col)).otherwise(F.struct(F.lit("unknown").alias("kind"), none.alias("query"), none.alias("path"))))
+    x = x.withColumn("cmd", F.when(F.col("only_formats"), F.col("line")).otherwise(_quoted(F.col("w")))).withColumn("several", F.count("*").over(every) > 1).where("not (several and cmd = 'true')")
     # what stays beside others: echo after something else, no bare nl
     bare = (F.col("s.kind") == "unknown") & (F.col("tool") == "nl")
     echo = F.col("tool") == "echo"
@@ -170,7 +171,5 @@ def summaries(lines, key, line):
     x = x.select("key", "n", kind.alias("kind"), "cmd", F.when(kind == "read", short_path(path)).alias("name"), "s.query", full.alias("path"))
     now = F.struct("kind", "cmd", "name", "query", "path")
     x = x.withColumn("same", now.eqNullSafe(F.lag(now).over(own("n")))).where("not same").drop("same").withColumn("n", F.row_number().over(own("n")) - 1)
-    none = F.lit(None).cast("string")
-    other = given.where(~policy.is_word_list(F.col("line"))).select("key", F.lit(0).alias("n"), "line").union(as_line.withColumn("n", F.lit(0)))
-    other = other.select("key", "n", F.lit("unknown").alias("kind"), F.col("line").alias("cmd"), none.alias("name"), none.alias("query"), none.alias("path"))
+    other = given.where(~policy.is_word_list(F.col("line"))).select("key", F.lit(0).alias("n"), F.lit("unknown").alias("kind"), F.col("line").alias("cmd"), none.alias("name"), none.alias("query"), none.alias("path"))
     return x.union(other).withColumnRenamed("key", key)

@@ -121,7 +121,8 @@ def severity_grades(labels, rows, tiers=2):
 def fit(docs, labels, tiers=2, max_rows=8_000, min_association=24.0, max_features=20_000, **kw):
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; severity has grades 0 to ``tiers``.
 
-    At most ``max_rows`` labelled documents are used, those of least hash of the id, with their whole texts.
+    At most ``max_rows`` labelled documents are used, those of least hash of the id, with their whole texts. Rows alike in doc_id and
+    text are one document, different texts of one doc_id are documents of their own; so what is fitted doesn't grow with repeated rows.
     Features are the words and their beginnings whose presence goes with toxic labels by a likelihood
     ratio of at least ``min_association`` (24: about one in a million by chance), counted on the executors;
     of these at most ``max_features``, the strongest. Rows with null id, text or label don't count; a document
@@ -131,7 +132,10 @@ def fit(docs, labels, tiers=2, max_rows=8_000, min_association=24.0, max_feature
     S.ensure_checkpoint_dir(spark)
     labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = labelled.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.where("text is not null").select("doc_id", "text")
+    known = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", F.md5(F.col("text").cast("binary")).alias("digest")).distinct()
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(max_rows)
+    texts = texts.withColumn("digest", F.md5(F.col("text").cast("binary"))).join(F.broadcast(known), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     rows = texts.select("grade", "text").mapInPandas(_features, "grade int, features array<binary>").checkpoint()
     total, positives = rows.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
     if not 0 < positives < total:

@@ -90,3 +90,21 @@ def test_pipeline_stages(spark, docs, tmp_path, k):
     if k < 4:
         assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0
+
+
+def test_toxicity_fits_repeated_rows_once(spark):
+    """Rows that repeat a labelled document neither weigh more nor go beyond max_rows; different texts of one id count each."""
+    rows = [(i, f"vile{i % 3} word{i} plain" if i % 4 == 0 else f"word{i} plain kind{i % 5}") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows * 5, "doc_id long, text string")
+    other = spark.createDataFrame([(0, f"text{k} plain") for k in range(200)], "doc_id long, text string")
+    model, again = toxicity.fit(once, labels), toxicity.fit(often, labels)
+    assert model.weights and model.weights == again.weights and list(model.thresholds) == list(again.thresholds)
+    seen = []
+    plain, toxicity.fit_rows = toxicity.fit_rows, lambda r, *a, **kw: seen.append(len(r)) or plain(r, *a, **kw)
+    try:
+        toxicity.fit(often.union(other), labels, max_rows=100, min_association=0.0)
+    finally:
+        toxicity.fit_rows = plain
+    assert seen == [100]

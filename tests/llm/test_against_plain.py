@@ -266,6 +266,40 @@ def test_seating_follows_its_distribution():
     assert (big >= 1).all() and (big < 5000).all()
 
 
+def test_discount_and_strength_are_drawn():
+    """Restaurants seated plainly by a known discount and strength, each table with a dish of its own: draws of the level come back to both, from far away."""
+    rng, d, s, sizes = random.Random(9), 0.6, 5.0, []
+    for _ in range(300):
+        at = []
+        for _ in range(200):
+            k = rng.choices(range(len(at) + 1), [*(x - d for x in at), s + d * len(at)])[0]
+            at[k : k + 1] = [at[k] + 1 if k < len(at) else 1]
+        sizes.append(at)
+    gen, level, mean = np.random.default_rng(9), (0.2, 50.0), np.zeros(2)
+    c, tables = np.array([x for at in sizes for x in at]), np.array([len(at) for at in sizes])
+    for k in range(120):
+        ones = pitman_yor._ones(gen, c, np.ones(len(c), np.int64), level[0], pitman_yor._stirling(level[0]))
+        level = pitman_yor.draw_level(gen, *level, np.full(300, 200), tables, ones)
+        mean += level if k >= 40 else (0, 0)
+    assert abs(mean[0] / 80 - d) < 0.03 and abs(mean[1] / 80 - s) < 1
+
+
+def test_dishes_of_a_restaurant_are_drawn_from_their_joint_distribution():
+    """Seated by a gamma variable, the numbers of tables of two dishes have the exact probabilities; by its mean they haven't."""
+    (d, s), c, share = (0.5, 0.3), 3, np.array([0.3, 0.4])
+    st, away = pitman_yor._stirling(d), []
+    rising = lambda n: math.prod(s + d * k for k in range(n))
+    want = np.array([[rising(a + b) * share[0] ** a * share[1] ** b * math.exp(st[c, a] + st[c, b]) for b in (1, 2, 3)] for a in (1, 2, 3)])
+    for exact in (True, False):
+        rng, t, seen = np.random.default_rng(2), np.ones(2, np.int64), np.zeros((3, 3))
+        for _ in range(30_000):
+            x = pitman_yor.Totals(np.array([0]), np.array([0]), t.sum(), (pitman_yor.TWO, pitman_yor.ONE, (d, s)), int(rng.integers(2**31))).new_tables[2][0] if exact else s + d * t.sum()
+            t = pitman_yor.seat(rng, np.full(2, c), x * share, d, st)
+            seen[t[0] - 1, t[1] - 1] += 1
+        away.append(np.abs(seen / seen.sum() - want / want.sum()).max())
+    assert away[0] < 0.012 < away[1]
+
+
 def plain_chunks(texts):
     """The rules of the module in plain Python over {doc_id: text}: the texts left."""
     size, context = line_chunks.CHUNK, line_chunks.CONTEXT

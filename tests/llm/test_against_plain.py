@@ -266,6 +266,29 @@ def test_seating_follows_its_distribution():
     assert (big >= 1).all() and (big < 5000).all()
 
 
+def test_dishes_are_seated_together():
+    """Dishes of like numbers of customers are drawn at once, each as it is by itself; those of one customer aren't worked on."""
+
+    class Counted:
+        def __init__(self):
+            self.rng, self.sizes = np.random.default_rng(9), []
+
+        def random(self, n):
+            self.sizes.append(n)
+            return self.rng.random(n)
+
+    rng, d = np.random.default_rng(1), 0.6
+    s, customers = pitman_yor._stirling(d), rng.permutation(np.r_[np.ones(50, np.int64), np.repeat(np.arange(2, 513), 3)])
+    weight, counted = rng.gamma(1, 5, len(customers)), Counted()
+    got, alone, want = pitman_yor.seat(counted, customers, weight, d, s), np.random.default_rng(9), np.ones(len(customers), np.int64)
+    for i in np.argsort(customers, kind="stable")[50:].tolist():
+        p = np.log(weight[i]) * np.arange(1, customers[i] + 1) + s[customers[i], 1 : customers[i] + 1]
+        p = np.cumsum(np.exp(p - p.max()))
+        want[i] = 1 + (p < alone.random() * p[-1]).sum()
+    assert (got == want).all() and sum(counted.sizes) == len(customers) - 50
+    assert len(counted.sizes) < 60  # not one for each of 511 numbers of customers
+
+
 def test_discount_and_strength_are_drawn():
     """Restaurants seated plainly by a known discount and strength, each table with a dish of its own: draws of the level come back to both, from far away."""
     rng, d, s, sizes = random.Random(9), 0.6, 5.0, []

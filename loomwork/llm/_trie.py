@@ -22,24 +22,37 @@ class Pieces:
         self.size, self.max_len = len(pieces), max(map(len, pieces))
         by_len = {}
         for i, p in enumerate(pieces):
-            by_len.setdefault(len(p), []).append((self.hash(p), i))
-        self.tables = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)], np.int64)) for n, x in by_len.items() if n}
+            by_len.setdefault(len(p), []).append(i)
+        self.tables, self.marks = {}, {}
+        for n, ids in by_len.items():
+            if n:
+                hashes = self.hash(np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8).reshape(-1, n))
+                order = np.argsort(hashes, kind="stable")
+                self.tables[n], self.marks[n] = (hashes[order], np.array(ids, np.int64)[order]), np.zeros(1 << 16, bool)
+                self.marks[n][self.mark(hashes)] = True
         self.powers = [np.uint64(pow(int(BASE), n, 2**64)) for n in range(self.max_len + 1)]
 
     @staticmethod
-    def hash(piece):
-        h = 0
-        for b in piece:
-            h = (h * int(BASE) + b + 1) % 2**64
+    def hash(pieces):
+        """Of strings of equal length, the rows of a matrix of bytes."""
+        h = np.zeros(len(pieces), np.uint64)
+        for b in pieces.T:
+            h = h * BASE + b.astype(np.uint64) + np.uint64(1)
         return h
 
+    @staticmethod
+    def mark(hashes):
+        """16 bits of each hash; the search passes over strings without a piece of the same ones."""
+        return (hashes * BASE) >> np.uint64(48)
+
     def find(self, n, hashes):
         """(positions, ids) of those hashes of strings of ``n`` bytes that are pieces."""
         table, ids = self.tables[n]
-        at = np.searchsorted(table, hashes)
+        maybe = np.flatnonzero(self.marks[n][self.mark(hashes)])
+        at = np.searchsorted(table, hashes[maybe])
         at[at == len(table)] = 0
-        hit = np.flatnonzero(table[at] == hashes)
-        return hit, ids[at[hit]]
+        hit = np.flatnonzero(table[at] == hashes[maybe])
+        return maybe[hit], ids[at[hit]]
 
 
 class Trie:

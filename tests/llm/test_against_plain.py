@@ -496,6 +496,26 @@ def test_token_counts(spark):
         assert r["forward_score"] == pytest.approx(sum(np.logaddexp.reduce([x for x, _ in s]) for s in scores))
 
 
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_languages_against_each_word(monkeypatch, held):
+    """Posteriors against each word by itself; a word that an earlier batch held isn't worked on again."""
+    trie, worked = _trie.Trie, []
+    monkeypatch.setattr(_trie, "Trie", lambda words, pieces: worked.extend(words) or trie(words, pieces))
+    monkeypatch.setattr(language_id, "HELD", held)
+    pieces = _trie.Pieces([b"ab", b"abc", "▁".encode(), "über".encode(), "▁ca".encode()])
+    prior, logp = np.log([0.3, 0.7]), np.log(np.random.default_rng(2).dirichlet(np.ones(pieces.size), 2).T)
+    model, known = language_id.Languages(["x", "y"], prior, logp), language_id.Words(2)
+    texts = [None, "", "² 12 _", "AB cab_über1abc", "ÜBER ab² ²b", "ab\x1fAbc\tcab", "b" * 300, "ſtraße İb", "ab " * 40]
+    for part in (texts, texts[::-1], [*texts, "cabab"]):
+        for t, lang, score in zip(part, *model.predict(part, pieces, known), strict=True):
+            found = [w.encode() for w in language_id.words(t)]
+            total = prior + sum(trie([w], pieces).forward(logp)[-1][0] for w in found)
+            assert lang == (("x", "y")[int(total.argmax())] if found else "und")
+            assert score == pytest.approx(1 / np.exp(total - total.max()).sum() if found else 0)
+    assert {"▁über".encode(), "▁cabab".encode()} < set(worked) and not any(len(w) > _trie.LONG for w in worked)
+    assert (len(worked) == len(set(worked))) == (held != 0) and known.held > sum(map(len, known.ids)) > 300
+
+
 def test_language_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     got = language_id.op6_language_id(spark, sf_dir.replace("0.001", "0.01")).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

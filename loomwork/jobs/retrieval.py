@@ -1,11 +1,8 @@
 """Retrieval queries (R, O08): BM25, cosine, ranking."""
 
 import uuid
-import zipfile
-from pathlib import Path
 
 import pandas as pd
-import pyspark
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +81,17 @@ def r03_code_search(spark, sf):
     return postings.search(asked, path).drop("blocks_read", "blocks_there")
 
 
+STOP_WORDS = """
+    a about above after again against all am an and any are aren't as at be because been before being below between both but by can can't cannot could
+    couldn't did didn't do does doesn't doing don don't down during each few for from further had hadn't has hasn't have haven't having he he'd he'll he's
+    her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is isn't it it's its itself just let's me more most mustn't my
+    myself no nor not now of off on once only or other ought our ours ourselves out over own s same shan't she she'd she'll she's should shouldn't so some
+    such t than that that's the their theirs them themselves then there there's these they they'd they'll they're they've this those through to too under
+    until up very was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's will with
+    won't would wouldn't you you'd you'll you're you've your yours yourself yourselves
+"""
+
+
 def _knn(spark, sf, **kw):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return vectors.knn(v, v.where("vec_id % 20 = 0"), **kw)
@@ -104,11 +112,8 @@ def _cosine_sql(k, least):
 
 
 def stop_words():
-    """English stop words as Spark's own remover has them, read from its resources without a session."""
-    for jar in Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"):
-        with zipfile.ZipFile(jar) as z:
-            return sorted({w.lower() for w in z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()})
-    raise FileNotFoundError("spark-mllib")
+    """English stop words as Spark's own remover has them; written down, so that neither a session nor Spark's jars beside the package are needed."""
+    return STOP_WORDS.split()
 
 
 def r07_tool_search(spark, sf):

@@ -3,15 +3,18 @@ import random
 
 import duckdb
 
+import pyspark
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from loomwork.functions import align, commands, policy, stem
 from loomwork.functions import text as tx
 from loomwork.functions.fuzzy import fuzzy_score
 from loomwork.functions.text import redact, seek_lines, truncate_text, truncated
+from loomwork.jobs import retrieval
 from loomwork.operators import blocks, conversation, events, graph, order, store, vectors
 from loomwork.streaming import tables
 
@@ -228,6 +231,12 @@ STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed
  homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll""".split()
 
 
+def test_stop_words_without_jars(spark, monkeypatch, tmp_path):
+    """Queries are built where Spark's jars don't lie beside the package; the words are those of Spark's remover."""
+    monkeypatch.setattr(pyspark, "__file__", str(tmp_path / "__init__.py"))
+    assert retrieval.stop_words() == sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords("english")})
+
+
 def test_stems(spark):
     pairs = list(zip(STEMS[::2], STEMS[1::2], strict=True))
     odd = ["a", "is", "x1s", "été", "", "Cats", None, "naïves"]

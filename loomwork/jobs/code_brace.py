@@ -8,8 +8,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from loomwork.jobs.code import PER_TASK, UNUSED
+from loomwork.operators.lineage import cut, shuffled
 from loomwork.sources import python_code
-from loomwork.sources.tables import table
+from loomwork.sources.tables import dealt, table
 
 SCRIPT = """import React, { helper«p» as other } from "src/ts«fp»/w«p»";
 import * as path from ''path'';
@@ -73,7 +75,7 @@ def _text(template, lang, escape=""):
 
 
 def _files(spark, sf):
-    x = table(spark, sf, "part").selectExpr("p_partkey as k", "p_name", "p_size", "greatest(p_partkey - 2, p_partkey % 2) as p", "case when p_partkey % 2 = 0 then 'ts' else 'rs' end as lang")
+    x = dealt(table(spark, sf, "part"), PER_TASK).selectExpr("p_partkey as k", "p_name", "p_size", "greatest(p_partkey - 2, p_partkey % 2) as p", "case when p_partkey % 2 = 0 then 'ts' else 'rs' end as lang")
     return x.selectExpr(f"{PATH} as path", f"case when lang = 'ts' then {_text(SCRIPT, 'ts', 'spark')} else {_text(RUST, 'rs', 'spark')} end as code")
 
 
@@ -105,8 +107,8 @@ def e09_brace_bases(spark, sf):
 
 def j02_brace_edges(spark, sf):
     """All edges: Defines, Imports, Calls and Inherits, both languages together."""
-    rows = _rows(spark, sf).checkpoint()
-    names = rows.where(F.col("kind").isin("file", *python_code.DEFINITIONS)).select("id", F.concat_ws(":", "path", "kind", "name").alias("label"))
+    rows = cut(_rows(spark, sf).drop(*UNUSED))
+    names = shuffled(rows).where(F.col("kind").isin("file", *python_code.DEFINITIONS)).select("id", F.concat_ws(":", "path", "kind", "name").alias("label"))
     e = python_code.build_edges(rows, "src")
     return e.join(names.toDF("src_id", "src"), "src_id").join(names.toDF("dst_id", "dst"), "dst_id").select("kind", "src", "dst")
 

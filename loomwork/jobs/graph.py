@@ -97,11 +97,15 @@ def j01_defines(spark, sf):
 
 
 def j02_calls(spark, sf):
-    calls = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("name"), "c_acctbal")
-    found = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("name"), "s_acctbal")
-    rank = F.when((F.col("s_acctbal") > F.col("c_acctbal")) & (F.col("s_acctbal") < F.col("c_acctbal") + 500), 1).when(F.col("s_suppkey") % 5 == F.col("c_custkey") % 5, 2).otherwise(3)
-    out = graph.resolve(calls, found, "name", "c_custkey", rank, "s_suppkey")
-    return out.where("s_suppkey <> c_custkey").select("c_custkey", "s_suppkey", "priority")
+    """Per customer the supplier of its nation with a balance less than 500 above its own, else of the same remainder, else any; the first by key of these, left out if it is the customer's number."""
+    calls = table(spark, sf, "customer").select(F.col("c_custkey").alias("ask"), F.col("c_nationkey").alias("name"), F.col("c_acctbal").alias("at")).where("ask is not null")
+    # keys that aren't there come last
+    found = table(spark, sf, "supplier").select(F.struct(F.col("s_suppkey").isNull().alias("none"), "s_suppkey").alias("key"), F.col("s_nationkey").alias("name"), F.col("s_acctbal").alias("at"), (F.col("s_suppkey") % 5).alias("rest"))
+    near = graph.least_in_band(calls, found.drop("rest"), 500).select("ask", F.lit(1).alias("priority"), "least")
+    alike = calls.withColumn("rest", F.col("ask") % 5).join(found.groupBy("name", "rest").agg(F.min("key").alias("least")), ["name", "rest"]).select("ask", F.lit(2), "least")
+    some = calls.join(found.groupBy("name").agg(F.min("key").alias("least")), "name").select("ask", F.lit(3), "least")
+    best = near.union(alike).union(some).groupBy(F.col("ask").alias("c_custkey")).agg(F.min(F.struct("priority", "least")).alias("best"))
+    return best.select("c_custkey", F.col("best.least.s_suppkey").alias("s_suppkey"), F.col("best.priority").alias("priority")).where("s_suppkey <> c_custkey")
 
 
 def j03_context(spark, sf):

@@ -52,9 +52,25 @@ def first_by(rows, key, *order):
     return rows.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def resolve(calls, candidates, on, call_id, priority, order):
-    """Of the candidates of equal name, the one of least priority, then order; a call of itself is dropped by the caller's filter."""
-    return first_by(calls.join(candidates, on).withColumn("priority", priority), [call_id], "priority", order)
+def least_in_band(asks, points, width):
+    """``asks(ask, name, at)`` with ``least``: the least ``key`` of ``points(key, name, at)`` of the same name with ``ask.at < at < ask.at + width``; asks without one are left out.
+
+    Points are dealt to steps of ``width``, so a band ends in the step behind the one it begins in: its least is that of the first step's rest and of the last step's beginning,
+    running minima over asks and points in order instead of pairs of them. Bands that rounding ends elsewhere meet the points of their steps. Numbers that aren't finite are in no band.
+    """
+    step, real = F.floor(F.col("at") / width), F.abs("at") < float("inf")
+    points = points.where(real & F.col("name").isNotNull()).withColumn("step", step)
+    ends = asks.where(real & F.col("name").isNotNull()).withColumn("step", step).withColumn("end", F.col("at") + F.lit(float(width))).withColumn("last", F.floor(F.col("end") / width))
+    plain, none = F.coalesce(F.col("last") == F.try_add("step", F.lit(1)), F.lit(False)), F.lit(None)
+    sides = [(points.select("name", "step", F.lit(up).alias("up"), F.when(F.lit(up), F.col("at")).otherwise(-F.col("at")).alias("at"), F.lit(1).alias("point"), none.cast(asks.schema["ask"].dataType).alias("ask"), "key")) for up in (True, False)]
+    key = none.cast(points.schema["key"].dataType).alias("key")
+    first = ends.where(plain).select("name", "step", F.lit(False), -F.col("at"), F.lit(0), "ask", key)
+    last = ends.where(plain).select("name", "last", F.lit(True), "end", F.lit(0), "ask", key)
+    # an ask stands before the points of equal number, which aren't in its band
+    before = W.partitionBy("name", "step", "up").orderBy("at", "point").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = sides[0].union(sides[1]).union(first).union(last).withColumn("least", F.min("key").over(before)).where("point = 0 and least is not null").select("ask", "least")
+    odd = ends.where(~plain).select("ask", "name", F.col("at").alias("begin"), "end", F.explode(F.sequence("step", "last")).alias("step")).join(points, ["name", "step"])
+    return found.union(odd.where("at > begin and at < end").select("ask", "key")).groupBy("ask").agg(F.min("least").alias("least"))
 
 
 def starting_with(rows, column, names, name):

@@ -1,12 +1,13 @@
 """Queries that failed on tables of 1 GB and more: what they keep off the driver, and their results against plain ones."""
 
 import math
-
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork import jobs
-from loomwork.operators import path_index
+from loomwork.operators import graph, path_index
 
 
 def plan(df, capsys):
@@ -24,6 +25,38 @@ def test_modules_are_dealt_to_tasks(spark, sf_dir, monkeypatch):
         assert module._files(spark, sf_dir).rdd.getNumPartitions() == math.ceil(200 / 32)
 
 
+def test_calls_in_bands(spark, sf_dir):
+    """The least key in a band of balances, against all pairs; with equal numbers, steps' ends, numbers that rounding moves, and ones that aren't finite."""
+    rng = random.Random(6)
+    odd = [0.0, -0.0, -1e-17, 500.0, 499.99999999999994, 1000.0, -500.0, 1e17, 1e17 + 16, 1e300, math.inf, -math.inf, math.nan, None]
+    number = lambda: rng.choice([rng.choice(odd), rng.choice([-250.0, 0.1, 999.9]), round(rng.uniform(-1500, 3000), 2)])
+    points = [(k, rng.choice([1, 2, None]), number()) for k in rng.sample(range(10_000), 400)]
+    asks = [(k // 2, rng.choice([1, 2, 3, None]), number()) for k in range(600)]
+    inside = lambda a, p: None not in (a, p) and a < p < a + 500
+    want = {}
+    for ask, name, at in asks:
+        fit = [k for k, n, p in points if n is not None and n == name and inside(at, p)]
+        if fit:
+            want[ask] = min([*fit, *([want[ask]] if ask in want else [])])
+    schema = "{} long, name int, at double"
+    got = graph.least_in_band(spark.createDataFrame(asks, schema.format("ask")), spark.createDataFrame(points, schema.format("key")), 500)
+    assert {r["ask"]: r["least"] for r in got.collect()} == want and len(want) > 50
+
+
+def test_calls_meet_no_pairs(spark, sf_dir, tmp_path):
+    """Rows joined grow with the tables, not with customers times suppliers of a nation."""
+    for name, keys in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        t.crossJoin(spark.range(20).withColumnRenamed("id", "_i")).withColumn(keys, F.col(keys) + F.col("_i") * 1000).drop("_i").write.parquet(f"{tmp_path}/{name}.parquet")
+    calls = jobs.queries()["j02_calls"](spark, str(tmp_path))
+    c, s = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("customer", "supplier"))
+    rank = "case when s_acctbal > c_acctbal and s_acctbal < c_acctbal + 500 then 1 when s_suppkey % 5 = c_custkey % 5 then 2 else 3 end as priority"
+    pairs = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).selectExpr("c_custkey", "s_suppkey", rank)
+    want = graph.first_by(pairs, ["c_custkey"], "priority", "s_suppkey").where("s_suppkey <> c_custkey")
+    assert sorted(map(tuple, calls.collect())) == sorted(map(tuple, want.select("c_custkey", "s_suppkey", "priority").collect()))
+    assert "row_number" not in calls._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["j01_code_defines", "j02_code_calls", "j04_code_imports", "j07_code_inherits", "g01_code_callers", "x01_code_changes", "j02_brace_edges"])
 def test_parsed_rows_are_not_broadcast(spark, sf_dir, capsys, name):
     """Spark takes rows parsed from a small table for few; they went to the driver whole."""

@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork import jobs
-from loomwork.operators import graph, path_index
+from loomwork.operators import graph, path_index, vectors
 
 
 def plan(df, capsys):
@@ -57,6 +58,27 @@ def test_calls_meet_no_pairs(spark, sf_dir, tmp_path):
     assert "row_number" not in calls._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("blocks", [None, (64 * 8, 50 * 8, 1000)])
+def test_knn_against_all_pairs(spark, capsys, monkeypatch, blocks):
+    """Neighbours with many equal scores, copies and opposite vectors, in one block or many; queries aren't broadcast."""
+    for name, n in zip(("QUERIES", "VECTORS", "SCORES"), blocks or (), strict=False):
+        monkeypatch.setattr(vectors, name, n)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (900, 8)).astype(float)
+    x[rng.choice(900, 300, False)] = x[0]
+    x[rng.choice(900, 100, False)] += rng.normal(size=(100, 8))
+    ids = rng.permutation(900)
+    v = spark.createDataFrame([(int(i), [float(c) for c in r]) for i, r in zip(ids, x, strict=True)] + [(1000, [math.nan] * 8), (1020, [math.inf] * 8), (1040, [1.0, None] * 4), (1060, []), (1080, [2.0])], "vec_id long, embedding array<double>").repartition(3)
+    got = vectors.knn(v, v.where("vec_id % 20 = 0"), k=7, min_score=0.25)
+    assert "CartesianProduct" in plan(got, capsys)
+    norms, want = np.linalg.norm(x, axis=1), {(1080, 1, 1080, 1.0)}
+    for i in np.flatnonzero((ids % 20 == 0) & (norms > 0)):
+        s = np.round(np.divide(x @ x[i], norms * norms[i], out=np.zeros(900), where=norms > 0), 6)
+        top = [j for j in np.lexsort((ids, -s))[:7] if s[j] >= 0.25]
+        want |= {(int(ids[i]), r + 1, int(ids[j]), float(s[j])) for r, j in enumerate(top)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("name", ["j01_code_defines", "j02_code_calls", "j04_code_imports", "j07_code_inherits", "g01_code_callers", "x01_code_changes", "j02_brace_edges"])
 def test_parsed_rows_are_not_broadcast(spark, sf_dir, capsys, name):
     """Spark takes rows parsed from a small table for few; they went to the driver whole."""

@@ -85,6 +85,12 @@ def test_parsed_rows_are_not_broadcast(spark, sf_dir, capsys, name):
     assert "Broadcast" not in plan(jobs.queries()[name](spark, sf_dir), capsys)
 
 
+def test_code_texts_are_not_broadcast(spark, sf_dir, capsys):
+    from loomwork.jobs import code
+
+    assert "Broadcast" not in plan(code.element_texts(spark, sf_dir), capsys)
+
+
 def test_grams_are_not_broadcast(spark, capsys):
     frame = lambda *rows: spark.createDataFrame([(r,) for r in rows], "path string")
     got = path_index.pairs(frame("src/a.py", "src/b.py"), frame("a.p", "b", "zz").toDF("needle"))

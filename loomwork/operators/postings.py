@@ -19,6 +19,8 @@ from loomwork.operators import bm25
 from loomwork.operators.lineage import cut
 
 VERSION, RANGE = 1, 1024
+#: Parts to which documents, then their terms, are dealt for a write, by bucket; groups of buckets, to which a document's terms are sent together.
+PARTS, GROUPS = 256, 8
 #: A query's first ranges are k, and so many at least: each may hold only one of the best documents.
 FIRST = 2
 
@@ -61,11 +63,13 @@ def _read(spark, index, name, gens=None):
     return spark.read.schema(SCHEMAS[name].format(index.id_type)).parquet(f"{index.path}/{name}").where(F.col("gen").isin(gens or index.gens))
 
 
-def _write(df, index, name, gen):
+def _write(df, index, name, gen, dealt=False):
+    """Adds rows to a table; ``dealt``: those of a bucket already lie in few partitions."""
     by = ["gen", "bucket"] if "bucket" in SCHEMAS[name] else ["gen"]
     df = df.withColumn("gen", F.lit(gen))
     if "bucket" in by:
-        df = df.withColumn("bucket", _bucket(df.columns[0], index)).hint("rebalance", "bucket").sortWithinPartitions("gen", "bucket", df.columns[0])
+        df = df.withColumn("bucket", _bucket(df.columns[0], index))
+        df = (df if dealt else df.hint("rebalance", "bucket")).sortWithinPartitions("gen", "bucket", df.columns[0])
     df.write.mode("append").partitionBy(*by).parquet(f"{index.path}/{name}")
 
 
@@ -84,19 +88,30 @@ def add(docs, path, buckets=64):
         remove(docs.select("doc_id"), path)
     index = opened(spark, path) or Index(path, [], buckets, docs.schema["doc_id"].dataType.simpleString())
     gen = _next(index)
-    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    terms = one.select("doc_id", F.explode_outer(bm25.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("term").alias("tf"))
-    forward = terms.groupBy("doc_id").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("len"), F.filter(F.collect_list(F.struct("term", "tf")), lambda t: t["term"].isNotNull()).alias("terms"))
-    _write(forward, index, "forward", gen)
+    # one shuffle of the texts, by bucket and a part of it, in which documents are made one, counted and written
+    part = lambda column, groups: F.pmod(F.xxhash64(F.lit(3), column), F.lit(-(-PARTS // groups)))
+    at = ["_bucket", "_part", "doc_id"]
+    dealt = docs.where("doc_id is not null").select("doc_id", "text", _bucket("doc_id", index).alias("_bucket"), part("doc_id", index.buckets).alias("_part")).repartition("_bucket", "_part")
+    one = dealt.groupBy(*at).agg(F.min("text").alias("text"))
+    terms = one.select(*at, F.explode_outer(bm25.terms(F.col("text"))).alias("term")).groupBy(*at, "term").agg(F.count("term").alias("tf"))
+    forward = terms.groupBy(*at).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("len"), F.filter(F.collect_list(F.struct("term", "tf")), lambda t: t["term"].isNotNull()).alias("terms"))
+    _write(forward.drop("_bucket", "_part"), index, "forward", gen, dealt=True)
     forward = _read(spark, index, "forward", [gen])
     # ranges: classes of lengths, four for each doubling, split by hash into parts of about RANGE
     kind = F.floor(4 * F.log2(F.col("len") + 1)).cast("int")
     sizes = {r["kind"]: r["count"] for r in forward.groupBy(kind.alias("kind")).count().collect()} or {0: 1}  # some 200 classes at most
     parts = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, -(-n // RANGE))])
     span = F.xxhash64(F.lit(gen), kind, F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.element_at(parts, kind)))  # ranges that met by chance would only be bounded together
-    entries = forward.select(span.alias("span"), "doc_id", "len", F.explode("terms").alias("t")).select("span", "doc_id", "len", "t.term", "t.tf")
-    blocks = entries.groupBy("term", "span").agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("postings"))
-    _write(blocks, index, "blocks", gen)
+    # a document's terms of a group of buckets travel as one text (there are no spaces in them) to where the group's blocks of its range are made and written
+    groups = min(GROUPS, index.buckets)
+    terms = F.transform("terms", lambda t: F.struct((_bucket(t["term"], index) % groups).alias("group"), t["term"].alias("term"), t["tf"].cast("int").alias("tf")))
+    rows = forward.select(span.alias("span"), "doc_id", "len", terms.alias("terms")).withColumn("_group", F.explode(F.array_distinct("terms.group")))
+    own = rows.select("_group", part("span", groups).alias("_part"), "span", "doc_id", "len", F.filter("terms", lambda t: t["group"] == F.col("_group")).alias("t"))
+    sent = own.select("_group", "_part", "span", "doc_id", "len", F.array_join("t.term", " ").alias("term"), F.col("t.tf").alias("tf")).repartition("_group", "_part")
+    sent = sent.select("_group", "_part", "span", "doc_id", "len", F.explode(F.arrays_zip(F.split("term", " ").alias("term"), "tf")).alias("t")).select("_group", "_part", "span", "doc_id", "len", "t.term", F.col("t.tf").cast("long").alias("tf"))
+    blocks = sent.groupBy("_group", "_part", "term", "span").agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("postings"))
+    _write(blocks.drop("_group", "_part"), index, "blocks", gen, dealt=True)
+    entries = forward.select(F.explode("terms").alias("t")).select("t.term", "t.tf")
     _write(entries.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), index, "terms", gen)
     _write(forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")), index, "stats", gen)
     _finish(spark, index, gen)

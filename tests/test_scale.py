@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork import jobs
-from loomwork.operators import graph, path_index, vectors
+from loomwork.operators import graph, path_index, postings, vectors
 
 
 def plan(df, capsys):
@@ -96,3 +96,21 @@ def test_grams_are_not_broadcast(spark, capsys):
     got = path_index.pairs(frame("src/a.py", "src/b.py"), frame("a.p", "b", "zz").toDF("needle"))
     text = plan(got, capsys)
     assert text.count("SortMergeJoin") >= 2 and sorted(map(tuple, got.collect())) == [("a.p", "src/a.py"), ("b", "src/b.py")]
+
+
+def test_index_is_written_with_one_shuffle_a_table(spark, capsys, monkeypatch, tmp_path):
+    """Texts and postings were shuffled once to be grouped and again, as long as before, to be written by bucket."""
+    seen, write = {}, postings._write
+
+    def spy(df, index, name, gen, *more, **kw):
+        def said(self, path, parquet=type(df.write).parquet):
+            seen[name] = plan(self._df, capsys)
+            parquet(self, path)
+
+        with monkeypatch.context() as m:
+            m.setattr(type(df.write), "parquet", said)
+            write(df, index, name, gen, *more, **kw)
+
+    monkeypatch.setattr(postings, "_write", spy)
+    postings.add(spark.createDataFrame([(k, f"a b{k % 7} c{k}") for k in range(50)], "doc_id long, text string"), str(tmp_path), buckets=4)
+    assert {n: seen[n].count("Exchange") for n in ("forward", "blocks")} == {"forward": 1, "blocks": 1}
